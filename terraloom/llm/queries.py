@@ -6,6 +6,9 @@ from importlib import import_module
 
 #: Module -> its query.
 MODULES = {
+    "quality": "op2_quality",
+    "license_scan": "op5_license_scan",
+    "packing": "op6_packing",
     "pii": "op10_pii",
 }
 
