@@ -9,6 +9,7 @@ MODULES = {
     "quality": "op2_quality",
     "license_scan": "op5_license_scan",
     "packing": "op6_packing",
+    "ngram_join": "op7_ngram_join",
     "pii": "op10_pii",
 }
 
