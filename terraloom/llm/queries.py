@@ -10,6 +10,7 @@ MODULES = {
     "license_scan": "op5_license_scan",
     "packing": "op6_packing",
     "ngram_join": "op7_ngram_join",
+    "nn_descent": "op9_nn_descent",
     "pii": "op10_pii",
 }
 
