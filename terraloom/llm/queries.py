@@ -7,6 +7,7 @@ from importlib import import_module
 #: Module -> its query.
 MODULES = {
     "quality": "op2_quality",
+    "fixity": "op3_warc_fixity",
     "license_scan": "op5_license_scan",
     "packing": "op6_packing",
     "ngram_join": "op7_ngram_join",
