@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module -> its query.
 MODULES = {
+    "lm_score": "op1_lm_score",
     "quality": "op2_quality",
     "fixity": "op3_warc_fixity",
     "license_scan": "op5_license_scan",
