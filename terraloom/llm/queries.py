@@ -9,9 +9,11 @@ MODULES = {
     "lm_score": "op1_lm_score",
     "quality": "op2_quality",
     "fixity": "op3_warc_fixity",
+    "token_edit": "op4_token_edit",
     "license_scan": "op5_license_scan",
     "packing": "op6_packing",
     "ngram_join": "op7_ngram_join",
+    "unigram": "op8_unigram",
     "nn_descent": "op9_nn_descent",
     "pii": "op10_pii",
 }
