@@ -5,19 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import pii
+from terraloom.llm import ngram_join, packing, pii, quality
 from terraloom.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the boosted trees.
+
+    The trees are fitted on labelled documents among `docs`. Rows go by their own verdict:
+    of rows that share an id, or have none, each stays or goes with its text."""
+    trees = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.keep(docs, trees).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar 5-word shingle sets: that of smallest id.
+
+    Documents without an id or without words are not in any group and stay. Of repeated
+    rows (same id, same text) one stays."""
+    groups = written(ngram_join.jaccard_groups(docs, words=5, num=80, den=100).filter("doc_id IS NOT NULL"))
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    again = written(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return docs.join(written(gone), "doc_id", "left_anti").select(*COLUMNS)
+    once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(written(gone.union(again)), "doc_id", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
+
+
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by the name of its kind."""
     return pii.redact(pii.detect(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-STAGES = [("personal data", mask_personal_data)]
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", reject_low_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("personal data", mask_personal_data),
+    ("packing", pack_windows),
+]
 
+#: Boosted trees and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

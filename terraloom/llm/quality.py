@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, small_batches, table
+from .common import rows_of, small_batches, table, utf8
 
 #: Labelled documents that the classifier is fitted on at most: those of smallest hash.
 SAMPLE = 20_000
@@ -224,6 +224,22 @@ def rate(documents: DataFrame, trees: Trees | None, key: str = "doc_id", text: s
     return documents.select(documents[key].alias("_key"), documents[text].alias("_text")).mapInArrow(run, schema)
 
 
+def keep(documents: DataFrame, trees: Trees | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents that rate() would keep, with all their columns, whatever
+    their names. Each row goes by its own text, so no join is needed."""
+    small_batches(documents.sparkSession)
+    at = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([statistics(t) for t in utf8(b.column(at))], np.int64).reshape(-1, len(_COUNT_TYPES))
+            score = trees.score(features(found)) if trees and len(found) else np.ones(len(found))
+            failed = (found[:, 0] < MIN_WORDS) | (100 * found[:, 4] > MAX_REPEATED * found[:, 0])
+            yield b.filter(pa.array(~failed & (score >= threshold)))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict for every whole text of documents."""
     docs = table(spark, sf_dir, "documents")
