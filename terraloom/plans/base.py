@@ -34,7 +34,7 @@ def r6(c: Column | str, digits: int = 6) -> Column:
 
 def q6(x: str, digits: int = 6) -> str:
     """The same in DuckDB."""
-    return f"(round({x}, {digits}) + 0.0)"
+    return f"(round(CAST({x} AS DOUBLE), {digits}) + 0.0)"
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
