@@ -32,11 +32,12 @@ def line(axis: str, half: int | tuple[int, int], scene: str | None = None) -> Wi
 
 def mirrored(df: DataFrame, axis: str, half: int, repeat_edge: bool) -> DataFrame:
     """df (with sizes) and its border mirrored outward along an axis; repeat_edge tells
-    whether the edge pixel itself is repeated."""
+    whether the edge pixel itself is repeated. Only border pixels are repeated, in place:
+    the input is read once."""
     n, k, e = F.col("_h" if axis == "row" else "_w"), F.col(axis), 0 if repeat_edge else 1
-    low = df.filter((k >= e) & (k < half + e)).withColumn(axis, e - 1 - k + F.lit(0))
-    high = df.filter((k <= n - 1 - e) & (k > n - 1 - e - half)).withColumn(axis, 2 * n - 1 - e - k)
-    return df.unionByName(low).unionByName(high)
+    low = F.when((k >= e) & (k < half + e), e - 1 - k)
+    high = F.when((k <= n - 1 - e) & (k > n - 1 - e - half), 2 * n - 1 - e - k)
+    return df.withColumn(axis, F.explode(F.array_compact(F.array(k, low, high))))
 
 
 def box_sums(df: DataFrame, size: int, sums: dict[str, Column], repeat_edge: bool = True, scene: str | None = None) -> DataFrame:

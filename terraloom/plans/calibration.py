@@ -53,7 +53,7 @@ def _method(name):
     return run
 
 
-query("pf21_method_m0", f"""WITH {G}, w AS (SELECT label = 9 AS water FROM g) SELECT count(*) AS n, count_if(water) AS low, true AS metric, 0.5::DOUBLE AS mean_sigma FROM w""")(lambda spark, sf_dir: _method("M0")(spark, sf_dir).select("n", "low", "metric", "mean_sigma"))
+query("pf21_method_m0", f"""WITH {G}, w AS (SELECT label = 9 AS water FROM g) SELECT count(*) AS n, CAST(count_if(water) AS BIGINT) AS low, true AS metric, 0.5::DOUBLE AS mean_sigma FROM w""")(lambda spark, sf_dir: _method("M0")(spark, sf_dir).select("n", "low", "metric", "mean_sigma"))
 query("pf35_method_m1")(_method("M1"))
 query("pf34_method_m2_cell")(_method("M2_cell"))
 query("pf34_method_m2_smooth")(_method("M2_smooth"))
