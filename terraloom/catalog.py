@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of terraloom.plans that hold QUERIES (name -> function) and SQL (name -> text).
-PLANS: tuple[str, ...] = ("metrics", "scalars", "windows", "calibration", "joins", "ground")
+PLANS: tuple[str, ...] = ("metrics", "scalars", "windows", "calibration", "joins", "ground", "inout", "events")
 
 
 def _all(attribute: str) -> dict:
