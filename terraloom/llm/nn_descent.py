@@ -122,11 +122,14 @@ def _refine(graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(t: pa.Table) -> pa.RecordBatch:
             node, nbr, floor = (t[c].to_numpy() for c in ("node", "nbr", "floor"))
-            x = _unit(t["vec"].to_pylist(), kind)
+            vectors = t["vec"].to_pylist()
+            x = _unit(vectors, kind) if len({len(v) for v in vectors}) == 1 else None
             cut = np.concatenate([[0], np.nonzero(node[1:] != node[:-1])[0] + 1, [len(node)]])
             a, b, s = [], [], []
             for low, high in zip(cut[:-1], cut[1:], strict=True):
-                c = x[low:high] @ x[low:high].T
+                # neighbours are of one length, whatever other nodes' are
+                u = x[low:high] if x is not None else _unit(vectors[low:high], kind)
+                c = u @ u.T
                 better = np.triu((c > floor[low:high, None]) | (c > floor[None, low:high]), 1)
                 i, j = np.nonzero(better)
                 a.append(nbr[low + i])
