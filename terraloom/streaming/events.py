@@ -88,6 +88,18 @@ def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> Da
     return df.sparkSession.table(name)
 
 
+def run_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
+    """Append all that a stream holds now to JSON lines under `path`; the checkpoint
+    remembers offsets and state, so the next call continues behind the last event. A
+    batch that is run again replaces its own folder and adds nothing twice."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{path}/batch={number}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def append(df: DataFrame, path: str) -> None:
     """Add events to a log of JSON lines."""
     df.write.mode("append").json(path)
