@@ -311,3 +311,18 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 3-word shingle sets have a similarity of 0.9 or more."""
     return jaccard_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: The same groups by comparing all pairs that share a shingle.
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS x FROM t),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT t.doc_id, CAST(len(any_value(s)) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM t JOIN r ON r.a = t.doc_id GROUP BY t.doc_id
+"""

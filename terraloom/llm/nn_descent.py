@@ -245,3 +245,14 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all embeddings at a cosine of 0.9."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: The same links by comparing all pairs; the audit is expected to miss none.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+n AS (SELECT vec_id, count(b) AS n FROM v LEFT JOIN p ON a = vec_id GROUP BY vec_id),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT vec_id, n AS n_links, c AS component_id, vec_id = c AS kept, 1.0::DOUBLE AS audit_recall FROM n JOIN c ON a = vec_id
+"""
