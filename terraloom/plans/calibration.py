@@ -150,7 +150,8 @@ def _distorted(spark, sf_dir):
 @query("tl3_sequential_alignment", f'WITH {G} SELECT "row", col, {q6("v", 4)} AS v FROM g WHERE "row" < 500')
 def tl3(spark, sf_dir):
     p, d = _distorted(spark, sf_dir)
-    spark.sparkContext.getCheckpointDir() or _checkpoint(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        _checkpoint(spark)
     m, _ = L.align_sequential(d, [r.asDict() for r in p.orderBy("tile_id").collect()], 50)
     return m.select("row", "col", r6("v", 4).alias("v"))
 

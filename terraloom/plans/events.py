@@ -80,7 +80,8 @@ _batch("baseline_sliding_windows", "1 hour", "30 minutes")
 
 def _streamed(spark, sf_dir):
     """The events as a stream: a log written and read again, one file after the other."""
-    path = f"file://{mkdtemp(prefix='terraloom-')}/log"
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="terraloom-")
+    path = f"{base.rstrip('/')}/log-{uuid.uuid4().hex}"
     V.append(table(spark, sf_dir, "events").select(C("user_id").cast("string").alias("job"), C("event_id").alias("seq"), C("ts").cast("timestamp").alias("time"), C("event_type").alias("type"), C("event_type").alias("stage"), F.lit(None).cast("double").alias("seconds"), "value"), path)
     return V.stream(spark, path), path + "-checkpoint"
 

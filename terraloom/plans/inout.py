@@ -284,3 +284,97 @@ def so6(spark, sf_dir):
 @query("so7_id_intersection", "SELECT DISTINCT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def so7(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").distinct()
+
+
+@query("sk1_guarded_surface_kinds", "SELECT * FROM (VALUES ('relative', 'none', false), ('relative', 'metres', true), ('absolute', 'metres', false), ('absolute', 'feet', true)) AS x(kind, units, refused)")
+def sk1(spark, sf_dir):
+    rows = []
+    for kind, units in (("relative", "none"), ("relative", "metres"), ("absolute", "metres"), ("absolute", "feet")):
+        try:
+            sinks.check_surface(kind, units, "EPSG:32644", "EGM2008")
+            rows.append((kind, units, False))
+        except ValueError:
+            rows.append((kind, units, True))
+    return spark.createDataFrame(rows, "kind string, units string, refused boolean")
+
+
+@query("sk4_confidence_bands", f'WITH {G}, b AS (SELECT "row", col, label, CASE WHEN abs(v) < 0.02 THEN 1 ELSE 0 END | CASE WHEN label = 2 THEN 4 ELSE 0 END AS bits FROM g) SELECT "row", col, CASE WHEN bits > 0 THEN 1 ELSE 2 END AS band1, bits AS band2 FROM b')
+def sk4(spark, sf_dir):
+    from terraloom.functions import scalars as X
+
+    b = grid(spark, sf_dir).withColumn("bits", X.confidence_reasons(F.abs("v"), F.abs("v") < 0.02, water=C("label") == 2))
+    return b.select("row", "col", X.confidence_level(C("v"), C("bits")).alias("band1"), C("bits").alias("band2"))
+
+
+@query("sk7_slope_levels", f"WITH {G} SELECT \"row\", col, {q6('greatest(0, least(1, abs(v) * 200 / 60))')} AS level FROM g")
+def sk7(spark, sf_dir):
+    return grid(spark, sf_dir).select("row", "col", r6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.abs("v") * 200 / 60))).alias("level"))
+
+
+@query("sk8_tile_overlay", "SELECT CAST(t AS INTEGER) AS tile_id, 150.0e0 * t / 2 AS top, 0.0e0 AS left_, 100.0e0 AS height, 32.0e0 AS width FROM range(3) x(t)")
+def sk8(spark, sf_dir):
+    from terraloom.operators import tiles as L
+
+    p = L.plan(spark, 500, 64, 200, 50)
+    return p.select("tile_id", (C("row0") / 2).alias("top"), (C("col0") / 2).alias("left_"), (C("h") / 2).alias("height"), (C("w") / 2).alias("width"))
+
+
+@query("sk10_binary_mesh", f"WITH {G} SELECT CAST(1 AS BIGINT) AS files, CAST(16 * 64 AS BIGINT) AS vertices, CAST(15 * 63 * 2 AS BIGINT) AS faces")
+def sk10(spark, sf_dir):
+    v, f = T.mesh(grid(spark, sf_dir).filter("row < 16").select("row", "col", "v"), 1.0, 1.0)
+    vs = np.array([[r["x"], r["y"], r["z"]] for r in v.orderBy("vid").collect()])
+    fs = np.array([[r["a"], r["b"], r["c"]] for r in f.collect()])
+    return spark.createDataFrame([(int(sinks.glb(vs, fs)[:4] == b"glTF"), len(vs), len(fs))], "files long, vertices long, faces long")
+
+
+_SHIFTED = 'v + 0.4 - 0.001 * "row"'
+
+
+@query("sk15_surface_to_egm2008_dt4", f'WITH {G} SELECT "row", col, {q6(_SHIFTED, 5)} AS h FROM g')
+def sk15(spark, sf_dir):
+    from terraloom.operators import regrid as J
+
+    lattice = spark.range(70 * 9).select(F.floor(C("id") / 9).alias("row"), (C("id") % 9).alias("col"))
+    a, b = lattice.withColumn("v", F.lit(0.4)), lattice.withColumn("v", 0.008 * C("row"))
+    x = J.convert_datum(grid(spark, sf_dir).select("row", "col", C("v").alias("h")), a, b, C("row") / 8, C("col") / 8, ["row", "col"])
+    return x.select("row", "col", r6("h", 5).alias("h"))
+
+
+def _crops(spark):
+    rows = [(i, 6, 8, bytearray(((np.arange(6 * 8 * 3) * (i + 1)) % 256).astype(np.uint8).tobytes())) for i in range(5)]
+    return spark.createDataFrame(rows, "tile_id long, h int, w int, rgb binary")
+
+
+@query("ud1_predictor_interface_ud2_registry", "SELECT i AS tile_id, CAST(sum(3 * k * (i + 1) % 256) AS DOUBLE) AS total, count(*) AS n FROM range(5) a(i), range(48) b(k) GROUP BY 1")
+def ud1(spark, sf_dir):
+    from terraloom.functions.predictors import predict
+
+    p = predict(_crops(spark), "red")
+    return p.select("tile_id", F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("data").cast("long").alias("n"))
+
+
+@query("pf48_predictor_contract", "SELECT i AS tile_id, true AS shape_ok FROM range(5) a(i)")
+def pf48(spark, sf_dir):
+    from terraloom.functions.predictors import predict
+
+    return predict(_crops(spark), "half").select("tile_id", (F.size("data") == C("h") * C("w")).alias("shape_ok"))
+
+
+@query("ag45_benchmark_matrix", "SELECT p_brand, CASE WHEN p_size > 45 THEN 'OOM' WHEN p_retailprice < 950 THEN 'ERROR' ELSE 'OK' END AS status, count(*) AS n FROM part GROUP BY 1, 2")
+def ag45(spark, sf_dir):
+    status = F.when(C("p_size") > 45, "OOM").when(C("p_retailprice") < 950, "ERROR").otherwise("OK")
+    return table(spark, sf_dir, "part").groupBy("p_brand", status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("sk12_job_log_append", "SELECT event_id, event_type FROM events")
+def sk12(spark, sf_dir):
+    from tempfile import mkdtemp
+
+    from terraloom.streaming import events as V
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="terraloom-")
+    path = f"{base.rstrip('/')}/log-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 60)}"
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    V.append(e.filter("event_id % 2 = 0"), path)
+    V.append(e.filter("event_id % 2 = 1"), path)
+    return spark.read.schema("event_id long, event_type string").json(path)
