@@ -21,7 +21,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?=(?:[0-9][\x20-]?){13})[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
 }
 #: A text without this can't hold the kind; a cheap test before the pattern runs.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
@@ -94,6 +94,8 @@ def _spans(t: Column, kind: str) -> Column:
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
     kept = F.filter(F.aggregate(steps, start, step, lambda a: a["out"]), lambda s: _confirmed(kind, s["value"]))
+    if kind == "iban":  # it stands alone: no letter or digit touches it
+        kept = F.filter(kept, lambda s: ~F.concat_ws(" ", F.substring(t, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substring(t, s["end"] + 1, F.lit(1))).rlike("[A-Za-z0-9]"))
     hint = F.contains(t, F.lit(HINTS[kind])) if kind in HINTS else t.rlike("[0-9]{2}")
     return F.when(hint, kept).otherwise(F.array().cast(_SPANS))
 
@@ -155,3 +157,40 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         _listed(F.col("pii")).alias("spans"),
         F.coalesce(F.array_max(F.transform("pii", lambda s: s["score"])), F.lit(0.0)).alias("top_score"),
     )
+
+
+#: The plain patterns, which the possessive ones above equal.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": PATTERNS["phone"],
+    "iban": PATTERNS["iban"],
+}
+
+
+def _found_sql(kind: str, order: int) -> str:
+    near = f"lower(concat_ws(' ', substr(t, greatest(a - {CONTEXT}, 0) + 1, a - greatest(a - {CONTEXT}, 0)), substr(t, e + 1, {CONTEXT})))"
+    digits = "regexp_replace(x, '[^0-9]', '', 'g')"
+    luhn = "list_sum(list_transform(range(1, length(n) + 1), lambda j: CASE WHEN j % 2 = 0 THEN 2 * CAST(substr(n, length(n) - j + 1, 1) AS INTEGER) // 10 + 2 * CAST(substr(n, length(n) - j + 1, 1) AS INTEGER) % 10 ELSE CAST(substr(n, length(n) - j + 1, 1) AS INTEGER) END)) % 10 = 0"
+    plain = "replace(x, ' ', '')"
+    number = f"list_transform(string_split(substr({plain}, 5) || substr({plain}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)"
+    test = {
+        "email": "true",
+        "ip": "list_bool_and(list_transform(string_split(x, '.'), lambda p: regexp_matches(p, '^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$')))",
+        "card": f"length(n) BETWEEN 13 AND 19 AND {luhn}",
+        "phone": "length(n) BETWEEN 9 AND 15",
+        "iban": f"length({plain}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, {number}), lambda r, y: CASE WHEN y < 10 THEN (r * 10 + y) % 97 ELSE (r * 100 + y) % 97 END) = 1 AND NOT regexp_matches(substr(t, a, CASE WHEN a > 0 THEN 1 ELSE 0 END) || ' ' || substr(t, e + 1, 1), '[A-Za-z0-9]')",
+    }[kind]
+    lengths = "coalesce(list_sum(list_transform({0}, lambda p: length(p))), 0)"
+    return f"""SELECT doc_id, '{kind}' AS kind, {order} AS o, a, e, round({SCORES[kind]} + CASE WHEN regexp_matches({near}, '(^|[^a-z])({WORDS[kind]})($|[^a-z])') THEN {RAISE} ELSE 0 END, 2) AS score FROM
+ (SELECT *, CAST(a + length(x) AS BIGINT) AS e, {digits} AS n FROM (SELECT doc_id, t, v[i] AS x, CAST({lengths.format('g[1:i]')} + {lengths.format('v[1:i - 1]')} AS BIGINT) AS a
+  FROM (SELECT doc_id, t, g, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, t, string_split_regex(t, '{_PLAIN[kind]}') AS g, regexp_extract_all(t, '{_PLAIN[kind]}') AS v FROM d)))) WHERE {test}"""
+
+
+_LIST = "coalesce(string_agg(kind || ':' || a || ':' || e, ',' ORDER BY o, a){0}, '')"
+
+ORACLE_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_found_sql(k, i) for i, k in enumerate(PATTERNS))})
+SELECT d.doc_id AS doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in PATTERNS)}, sha256({_LIST.format(" FILTER (WHERE kind <> 'iban')")}) AS base_sha256, {_LIST.format(" FILTER (WHERE kind IS NOT NULL)")} AS spans, CAST(coalesce(max(score), 0) AS DOUBLE) AS top_score
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""

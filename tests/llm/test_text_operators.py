@@ -89,6 +89,22 @@ def test_pii_iban_context_and_redaction(spark):
     assert "<IBAN>" in got[0][0]["text"] and "DE89" not in got[0][0]["text"]
 
 
+def test_pii_sql_twin_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(12)
+    noise = ["".join(rng.choice("ab1234567890@.+- ()é,DE") for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    ibans = ["xDE89370400440532013000", "DE89370400440532013000", "éDE89 3704 0044 0532 0130 00.", "DE89370400440532013000x", "iban: GB82 WEST 1234 5698 7654 32"]
+    frame(spark, ODD + PII + ibans + noise).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = pii.op10_pii(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r for r in c.sql(pii.ORACLE_SQL).fetchall()}
+    names = [x[0] for x in c.sql(pii.ORACLE_SQL).description]
+    assert {r["doc_id"]: tuple(r[n] for n in names) for r in df.collect()} == want
+    assert sum(r[names.index("n_iban")] for r in want.values()) == 5
+
+
 def test_pii_query_digest(spark):
     for r in pii.op10_pii(spark, SF).limit(100).collect():
         base = [s for s in r["spans"].split(",") if s and not s.startswith("iban")]
