@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.operators import errors, terrain
+from terraloom.operators import errors, graph, terrain
 from terraloom.operators.relational import hashed_sample
 
 
@@ -160,7 +160,7 @@ def calibrate(df: DataFrame, method: str, gate: Gate | None = None, max_slope: f
     the gate refuses. Sums, fits and gates are reports of a row each; pixels stay in
     Spark."""
     gate = gate or Gate()
-    x = df if "low" in df.columns else terrain.lowpass(df, lowpass_px, "r", "low")
+    x = graph._cut(df if "low" in df.columns else terrain.lowpass(df, lowpass_px, "r", "low"))
     low_conf = F.col("dem").isNull() | F.coalesce(F.col("water"), F.lit(False))
     coverage = x.agg(F.avg(F.col("dem").isNotNull().cast("double")).alias("c")).first()["c"]
     report: dict = {"method": method, "coverage": coverage}
@@ -175,8 +175,17 @@ def calibrate(df: DataFrame, method: str, gate: Gate | None = None, max_slope: f
         if counts.get("fit", 0) < max(gate.min_anchors, MIN_FIT):
             fails.append(f"only {counts.get('fit', 0)} fit anchors")
         else:
-            f = huber_fit(fit_px, "low", "dem")
-            spread = bootstrap_std(fit_px, "low", "dem", seed, gate.bootstrap)["a_std"]
+            # at most MAX_FIT anchors come to the driver; all held-out ones are scored in Spark
+            some = hashed_sample(fit_px.select("row", "col", "low", "dem"), MAX_FIT, seed, "row", "col").toPandas()
+            px, py = some["low"].to_numpy(float), some["dem"].to_numpy(float)
+            if px.std() == 0:
+                report |= {"reasons": ["no variation in the relative signal on the anchors"], "metric": False}
+                return x.select("row", "col", F.lit(None).cast("double").alias("z"), F.lit(None).cast("double").alias("sigma"), low_conf.alias("low_confidence")), report
+            a, b, scale = huber(px, py)
+            f = {"a": a, "b": b, "scale": scale}
+            m, rng = min(len(px), RESAMPLE), np.random.default_rng(seed)
+            draws = [rng.integers(0, len(px), m) for _ in range(gate.bootstrap)]
+            spread = float(np.std([huber(px[i], py[i])[0] for i in draws if px[i].std() > 0])) * (m / len(px)) ** 0.5
             held = marked.filter("reason = 'held'").withColumn("_p", f["a"] * F.col("low") + f["b"])
             stats = errors.error_metrics(held, "_p", "dem").first()
             report |= {"a": f["a"], "b": f["b"], "a_std": spread, "heldout": stats.asDict()}

@@ -14,20 +14,26 @@ def nearest(fine: DataFrame, coarse: DataFrame, row: Column, col: Column, value:
 
 
 def bilinear(fine: DataFrame, coarse: DataFrame, row: Column, col: Column, keys: list[str], value: str = "v", into: str = "ref", extrapolate: bool = False, size: tuple[int, int] | None = None) -> DataFrame:
-    """fine (unique by keys) with coarse interpolated at fractional (row, col), in units of
-    coarse pixel centres: four weighted neighbours a pixel, valid ones renormalised.
+    """fine with coarse interpolated at fractional (row, col), in units of coarse pixel
+    centres; valid neighbours' weights are renormalised. The coarse grid is brought into
+    brackets of four corners first, so each fine pixel meets one row in one join; keys
+    name columns of fine that stay.
 
     extrapolate: brackets stay inside a lattice of `size` and weights may leave [0, 1]."""
     r0, c0 = F.floor(row), F.floor(col)
     if extrapolate:
         r0 = F.greatest(F.lit(0), F.least(r0, F.lit(size[0] - 2)))
         c0 = F.greatest(F.lit(0), F.least(c0, F.lit(size[1] - 2)))
-    x = fine.select(*keys, r0.cast("long").alias("_r0"), c0.cast("long").alias("_c0"), (row - r0).alias("_fr"), (col - c0).alias("_fc"))
-    four = F.array(*(F.struct((F.col("_r0") + i).alias("r"), (F.col("_c0") + j).alias("c"), ((F.col("_fr") if i else 1 - F.col("_fr")) * (F.col("_fc") if j else 1 - F.col("_fc"))).alias("w")) for i in (0, 1) for j in (0, 1)))
-    n = x.select(*keys, F.explode(four).alias("n")).filter("n.w <> 0").select(*keys, F.col("n.r").alias("_r"), F.col("n.c").alias("_c"), F.col("n.w").alias("_w"))
-    c = coarse.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("_v")).filter("_v IS NOT NULL")
-    got = n.join(c, ["_r", "_c"]).groupBy(*keys).agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias(into))
-    return fine.join(got, keys, "left")
+    x = fine.withColumns({"_r0": r0.cast("long"), "_c0": c0.cast("long"), "_fr": row - r0, "_fc": col - c0})
+    at = [(i, j) for i in (0, 1) for j in (0, 1)]
+    places = F.array(*(F.struct((F.col("row") - i).cast("long").alias("r"), (F.col("col") - j).cast("long").alias("c"), F.lit(2 * i + j).alias("k")) for i, j in at))
+    corners = coarse.filter(F.col(value).isNotNull()).select(F.explode(places).alias("p"), F.col(value).alias("_v"))
+    brackets = corners.groupBy(F.col("p.r").alias("_r0"), F.col("p.c").alias("_c0")).agg(*(F.max(F.when(F.col("p.k") == k, F.col("_v"))).alias(f"_v{k}") for k in range(4)))
+    got = x.join(brackets, ["_r0", "_c0"], "left")
+    weights = [(F.col("_fr") if i else 1 - F.col("_fr")) * (F.col("_fc") if j else 1 - F.col("_fc")) for i, j in at]
+    total = sum((F.coalesce(w * F.col(f"_v{k}"), F.lit(0.0)) for k, w in enumerate(weights)), F.lit(0.0))
+    known = sum((F.when(F.col(f"_v{k}").isNotNull(), w).otherwise(0.0) for k, w in enumerate(weights)), F.lit(0.0))
+    return got.withColumn(into, F.try_divide(total, known)).drop("_r0", "_c0", "_fr", "_fc", "_v0", "_v1", "_v2", "_v3")
 
 
 def cells_inside(cells: DataFrame, a: float, b: float, c: float, d: float, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
