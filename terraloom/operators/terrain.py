@@ -73,14 +73,15 @@ def roughness(df: DataFrame, size: int, scene: str | None = None) -> DataFrame:
 
 def gradient(df: DataFrame, res: tuple[float, float], scene: str | None = None) -> DataFrame:
     """df with gx, gy: central differences, one-sided at the border; nodata spreads."""
-    x = with_size(df, scene)
-    for axis, step, name, n in (("col", res[0], "gx", "_w"), ("row", res[1], "gy", "_h")):
+    x = df
+    for axis, step, name in (("col", res[0], "gx"), ("row", res[1], "gy")):
         other = "col" if axis == "row" else "row"
         w = Window.partitionBy(*_keys(scene), other).orderBy(axis)
         before, after = F.lag("v").over(w), F.lead("v").over(w)
-        first, last = F.col(axis) == 0, F.col(axis) == F.col(n) - 1
+        # the border is where no pixel is, not where one is nodata: no size is needed
+        first, last = F.lag(F.lit(True)).over(w).isNull(), F.lead(F.lit(True)).over(w).isNull()
         x = x.withColumn(name, F.when(first, (after - F.col("v")) / step).when(last, (F.col("v") - before) / step).otherwise((after - before) / (2 * step)))
-    return x.drop("_h", "_w")
+    return x
 
 
 def slope(df: DataFrame, res: tuple[float, float], scene: str | None = None) -> DataFrame:
