@@ -4,11 +4,14 @@
 2. Several hyperplane codes order the nodes; neighbours in an order start the graph.
 3. Rounds of neighbours-of-neighbours: each node's neighbours (either direction, LIST at
    most of each) are compared with each other, and better ones enter the lists.
-4. Edges of the threshold or more join nodes into regions. A list may be saturated (all
-   its neighbours pass), so every region's lists are enlarged to the whole region: its
-   members are compared in blocks of BLOCK rows, and links are counted, not listed.
-5. An audit compares AUDIT nodes with all others. Links that it finds missing are added,
-   and below RECALL the graph gets further starting orders and rounds.
+4. All pairs that pass the threshold when they are compared join nodes into regions,
+   whether or not a list keeps them.
+5. A list may be saturated (all its neighbours pass). Members of a region need no list of
+   each other, as the region is compared in full at the end; so in the next attempt, with
+   new starting orders, every node has a further list of LIST neighbours outside its region,
+   and so on until an attempt joins no regions and an audit misses nothing.
+6. A region's members are compared in blocks of BLOCK rows; links are counted, not listed.
+7. The audit compares AUDIT nodes with all others. Links that it finds missing are added.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from .common import components, table, written
 
 LIST = 12
 TABLES, NEXT = 8, 3
-ROUNDS, ATTEMPTS = 4, 3
+#: Rounds of an attempt at most, and attempts after which a recall below RECALL is an error.
+ROUNDS, ATTEMPTS = 4, 60
 BLOCK = 64
+EDGE = "node long, nbr long, cos double, inside boolean"
 #: Nodes whose true links are found by brute force, those of smallest hash.
 AUDIT, RECALL = 512, 0.98
 
@@ -56,9 +61,10 @@ def _vectors(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, str]:
 
 
 def _start(nodes: DataFrame, kind: str, count: int, seed: int) -> DataFrame:
-    """First edges (node, nbr, cos): NEXT followers in each of TABLES orders. An order
-    sorts by length, hyperplane code and projection; it is dealt by range, so that a
-    dense region is split over tasks like any other."""
+    """First edges (node, nbr, cos, inside): NEXT followers in each of TABLES orders, and
+    the NEXT rows before the run of a row's region. An order sorts by length, hyperplane
+    code and projection; it is dealt by range, so that a dense region is split over tasks
+    like any other. `inside` tells an edge within a region (nodes has `region`)."""
     bits = max(1, int(np.ceil(np.log2(max(count, 2) / 16))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +81,7 @@ def _start(nodes: DataFrame, kind: str, count: int, seed: int) -> DataFrame:
                 codes = ((y[:, :, :bits] > 0) << np.arange(bits)).sum(axis=2)
                 sub = b.take(pa.array(at))
                 for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t)), pa.array(np.full(len(at), int(size))), pa.array(codes[:, t].astype(np.int64)), pa.array(y[:, t, bits]), sub.column("node"), sub.column("vec")], ["t", "size", "code", "place", "node", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t)), pa.array(np.full(len(at), int(size))), pa.array(codes[:, t].astype(np.int64)), pa.array(y[:, t, bits]), sub.column("node"), sub.column("region"), sub.column("vec")], ["t", "size", "code", "place", "node", "region", "vec"])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.RecordBatch | None = None
@@ -86,58 +92,80 @@ def _start(nodes: DataFrame, kind: str, count: int, seed: int) -> DataFrame:
             new = len(kept) if kept else 0
             n = len(whole)
             group = np.stack([whole[c].to_numpy() for c in ("t", "size", "code")], axis=1)
-            node, vectors, sizes = whole["node"].to_numpy(), whole["vec"].to_pylist(), whole["size"].to_numpy()
+            node, region, vectors, sizes = whole["node"].to_numpy(), whole["region"].to_numpy(), whole["vec"].to_pylist(), whole["size"].to_numpy()
+            fresh = (group[1:] != group[:-1]).any(axis=1) | (region[1:] != region[:-1])
+            run = np.maximum.accumulate(np.concatenate([[0], np.where(fresh, np.arange(1, n), 0)]))
             out = []
             for size in np.unique(sizes):
                 at = np.nonzero(sizes == size)[0]
                 x = _unit([vectors[i] for i in at], kind)
+                # lengths sort within an order, so a length's rows of one order are contiguous
+                first = np.searchsorted(at, run[at])
                 for step in range(1, NEXT + 1):
-                    i, j = np.arange(len(at) - step), np.arange(step, len(at))
-                    ok = (group[at[i]] == group[at[j]]).all(axis=1) & (at[j] >= new) & (node[at[i]] != node[at[j]])
-                    i, j = i[ok], j[ok]
-                    out.append((node[at[i]], node[at[j]], (x[i] * x[j]).sum(axis=1)))
-            a, c, s = (np.concatenate(p) for p in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, c])), pa.array(np.concatenate([c, a])), pa.array(np.concatenate([s, s]))], ["node", "nbr", "cos"])
-            kept = whole.slice(max(0, n - NEXT)).combine_chunks().to_batches()[0]
-
-    rows = written(nodes.select("node", "vec").mapInArrow(code, "t long, size long, code long, place double, node long, vec binary"))
+                    for i in (np.arange(len(at)) - step, first - step):
+                        j = np.nonzero(i >= 0)[0]
+                        i = i[j]
+                        ok = (group[at[i]] == group[at[j]]).all(axis=1) & (at[j] >= new) & (node[at[i]] != node[at[j]])
+                        i, j = i[ok], j[ok]
+                        out.append((node[at[i]], node[at[j]], (x[i] * x[j]).sum(axis=1), region[at[i]] == region[at[j]]))
+            a, c, s, same = (np.concatenate(p) for p in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, c])), pa.array(np.concatenate([c, a])), pa.array(np.concatenate([s, s])), pa.array(np.concatenate([same, same]))], ["node", "nbr", "cos", "inside"])
+            # the next rows need the last ones, and those before the last run
+            last = int(run[-1])
+            kept = whole.take(pa.array(np.r_[max(0, last - NEXT) : last, max(last, n - NEXT) : n])).combine_chunks().to_batches()[0]
+
+    rows = written(nodes.select("node", "region", "vec").mapInArrow(code, "t long, size long, code long, place double, node long, region long, vec binary"))
     order = ["t", "size", "code", "place", "node"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(follow, "node long, nbr long, cos double")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(follow, EDGE)
 
 
 def _best(edges: DataFrame) -> DataFrame:
-    """The LIST best neighbours of each node, each once."""
-    w = Window.partitionBy("node").orderBy(F.desc("cos"), "nbr")
-    return edges.groupBy("node", "nbr").agg(F.max("cos").alias("cos")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= LIST).drop("r")
+    """The LIST best neighbours of each node within its region and outside, each once."""
+    w = Window.partitionBy("node", "inside").orderBy(F.desc("cos"), "nbr")
+    return edges.groupBy("node", "nbr", "inside").agg(F.max("cos").alias("cos")).select("node", "nbr", "cos", "inside").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= LIST).drop("r")
 
 
-def _refine(graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
-    """New edges among each node's neighbours that beat the worst of either one's list."""
-    back = Window.partitionBy("node").orderBy(F.desc("cos"), "nbr")
-    reverse = graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "cos").withColumn("r", F.row_number().over(back)).filter(F.col("r") <= LIST).drop("r")
+def _refine(graph: DataFrame, nodes: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """New edges among each node's neighbours, between regions, that beat the worst of
+    either one's list; and, with a null cosine, pairs that join all of these neighbours
+    whose cosines link them across regions, whether an edge beats a list or not."""
+    back = Window.partitionBy("node", "inside").orderBy(F.desc("cos"), "nbr")
+    reverse = graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "cos", "inside").withColumn("r", F.row_number().over(back)).filter(F.col("r") <= LIST).drop("r")
     around = graph.select("node", "nbr").union(reverse.select("node", "nbr")).distinct()
-    floor = graph.groupBy("node").agg(F.when(F.count("*") >= LIST, F.min("cos")).otherwise(-1.0).alias("floor"))
-    known = written(nodes.select("node", "vec").join(floor, "node", "left").select(F.col("node").alias("nbr"), "vec", F.coalesce("floor", F.lit(-1.0)).alias("floor")))
+    floor = graph.filter("NOT inside").groupBy("node").agg(F.when(F.count("*") >= LIST, F.min("cos")).otherwise(-1.0).alias("floor"))
+    known = written(nodes.select("node", "vec", "region").join(floor, "node", "left").select(F.col("node").alias("nbr"), "vec", "region", F.coalesce("floor", F.lit(-1.0)).alias("floor")))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(t: pa.Table) -> pa.RecordBatch:
-            node, nbr, floor = (t[c].to_numpy() for c in ("node", "nbr", "floor"))
+            node, nbr, floor, region = (t[c].to_numpy() for c in ("node", "nbr", "floor", "region"))
             vectors = t["vec"].to_pylist()
             x = _unit(vectors, kind) if len({len(v) for v in vectors}) == 1 else None
             cut = np.concatenate([[0], np.nonzero(node[1:] != node[:-1])[0] + 1, [len(node)]])
             a, b, s = [], [], []
+            joined: list[tuple[np.ndarray, np.ndarray]] = []
             for low, high in zip(cut[:-1], cut[1:], strict=True):
                 # neighbours are of one length, whatever other nodes' are
                 u = x[low:high] if x is not None else _unit(vectors[low:high], kind)
                 c = u @ u.T
-                better = np.triu((c > floor[low:high, None]) | (c > floor[None, low:high]), 1)
+                apart = region[low:high, None] != region[None, low:high]
+                better = np.triu(apart & ((c > floor[low:high, None]) | (c > floor[None, low:high])), 1)
                 i, j = np.nonzero(better)
                 a.append(nbr[low + i])
                 b.append(nbr[low + j])
                 s.append(c[i, j])
+                linked = apart & (c >= threshold)
+                if linked.any():
+                    label, before = np.arange(high - low), None
+                    while before is None or (label != before).any():
+                        before, label = label, np.minimum(label, np.where(linked, label[None, :], high - low).min(axis=1))
+                    i = np.nonzero(label != np.arange(high - low))[0]
+                    joined.append((nbr[low + i], nbr[low + label[i]]))
             a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
             key, first = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0, return_index=True)
-            return pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(s[first])], ["node", "nbr", "cos"])
+            more = np.unique(np.concatenate([np.stack(p, axis=1) for p in joined]), axis=0) if joined else np.empty((0, 2), np.int64)
+            cos = pa.array(np.concatenate([s[first], np.zeros(len(more))]), mask=np.arange(len(key) + len(more)) >= len(key))
+            key = np.concatenate([key, more])
+            return pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), cos, pa.array(np.zeros(len(key), bool))], ["node", "nbr", "cos", "inside"])
 
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -153,12 +181,24 @@ def _refine(graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
         if held:
             yield pairs(pa.Table.from_batches(held).combine_chunks())
 
-    lists = around.join(known, "nbr").select("node", "nbr", "vec", "floor")
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(local, "node long, nbr long, cos double")
+    lists = around.join(known, "nbr").select("node", "nbr", "vec", "floor", "region")
+    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(local, EDGE)
 
 
 def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("node", "nbr", "cos").union(edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "cos"))
+    return edges.select("node", "nbr", "cos", "inside").union(edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "cos", "inside"))
+
+
+def _labelled(graph: DataFrame, found: DataFrame) -> DataFrame:
+    """The graph with `inside` by the components found."""
+    mine, other = found.select("node", F.col("component").alias("mine")), found.select(F.col("node").alias("nbr"), F.col("component").alias("other"))
+    return graph.drop("inside").join(mine, "node", "left").join(other, "nbr", "left").select("node", "nbr", "cos", F.coalesce(F.expr("mine = other"), F.lit(False)).alias("inside"))
+
+
+def _state(graph: DataFrame, threshold: float) -> tuple:
+    """What a round is expected to better: passing edges, and the mean cosine outside regions."""
+    r = graph.agg(F.count(F.when(F.col("cos") >= threshold, 1)), F.round(F.avg(F.when(~F.col("inside"), F.col("cos"))), 2)).first()
+    return tuple(r)
 
 
 def _audit(nodes: DataFrame, kind: str, threshold: float) -> DataFrame:
@@ -216,24 +256,34 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = written(rows)
     nodes = written(rows.filter("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("copies")).select("vec", "least", "copies", F.coalesce("least", F.xxhash64("vec")).alias("node")))
     count = nodes.count()
-    graph = written(spark.createDataFrame([], "node long, nbr long, cos double"))
+    graph = written(spark.createDataFrame([], EDGE))
+    found = written(spark.createDataFrame([], "node long, component long"))
     truth, recall = written(_audit(nodes, kind, threshold)), 1.0
     total = truth.count()
     for attempt in range(ATTEMPTS if count > 1 else 0):
-        graph = written(_best(graph.union(_start(nodes, kind, count, attempt))))
-        passing = graph.filter(F.col("cos") >= threshold).count()
+        placed = written(nodes.select("node", "vec").join(found, "node", "left").select("node", "vec", F.coalesce("component", "node").alias("region")))
+        first = written(_start(placed, kind, count, attempt))
+        joins = first.filter(f"cos >= {threshold!r} AND NOT inside").select("node", "nbr")
+        graph = written(_best(_labelled(graph, found).union(first)))
+        state = _state(graph, threshold)
         for _ in range(ROUNDS):
-            graph = written(_best(graph.union(_both(_refine(graph, nodes, kind)))))
-            before, passing = passing, graph.filter(F.col("cos") >= threshold).count()
-            if passing == before:
+            new = written(_refine(graph, placed, kind, threshold))
+            joins = joins.union(new.filter("cos IS NULL").select("node", "nbr"))
+            graph = written(_best(graph.union(_both(new.filter("cos IS NOT NULL")))))
+            before, state = state, _state(graph, threshold)
+            if state == before:
                 break
-        close = graph.filter(F.col("cos") >= threshold).select("node", "nbr")
-        found = written(components(close.select(F.col("node").alias("a"), F.col("nbr").alias("b"))))
+        joins = written(joins.distinct())
+        quiet = joins.isEmpty()
+        if not quiet:
+            found = written(components(found.union(joins).toDF("a", "b")))
         joined = truth.join(found, "node").join(found.select(F.col("node").alias("nbr"), F.col("component").alias("other")), "nbr").filter("component = other").count()
         recall = joined / total if total else 1.0
-        if recall >= RECALL:
+        if quiet and joined == total:
             break
-    edges = written(graph.filter(F.col("cos") >= threshold).select("node", "nbr").union(truth.select("node", "nbr")))
+    if recall < RECALL:
+        raise RuntimeError(f"the graph joins {recall:.4f} of the audited links after {ATTEMPTS} attempts")
+    edges = written(found.toDF("node", "nbr").union(truth.select("node", "nbr")))
     regions = written(_regions(nodes.select("node", "vec", "copies"), edges, kind, threshold))
     least = written(regions.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("reached")))
     links = regions.join(least, "component").select("node", "links", "reached")

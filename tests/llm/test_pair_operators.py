@@ -147,6 +147,45 @@ def test_near_duplicate_vectors_match_brute_force(spark):
     assert nn_descent.near_duplicates(df.filter("vec_id = 3")).first()["n_links"] == 1
 
 
+def linked_groups(rng, pairs, size=20, width=64):
+    """Pairs of groups of close copies (cosines about 0.999) whose cross cosines are 0.92 to 0.93."""
+    out = []
+    for _ in range(pairs):
+        q, _ = np.linalg.qr(rng.normal(size=(width, 2)))
+        for at in (0.0, np.arccos(0.926)):
+            x = q[:, 0] * np.cos(at) + q[:, 1] * np.sin(at)
+            out.append(x + 0.003 * rng.normal(size=(size, width)) / np.sqrt(width) * 8)
+    return np.concatenate(out)
+
+
+def brute_vectors(x):
+    """(links, component) of each row, by all pairs."""
+    u = x.astype("float32").astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    root = union(zip(*map(list, np.nonzero(hit)), strict=True), range(len(x)))
+    least = {}
+    for i in range(len(x)):
+        least[root(i)] = min(least.get(root(i), i), i)
+    return {i: (int(hit[i].sum()), least[root(i)]) for i in range(len(x))}
+
+
+def near(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype("float32"))], "vec_id long, embedding array<float>").repartition(4)
+    return nn_descent.near_duplicates(df).collect()
+
+
+def test_near_duplicates_beyond_full_lists(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "AUDIT", 4)  # the audit alone does not find the links
+    rng = np.random.default_rng(4)
+    x = np.concatenate([linked_groups(rng, 30), rng.normal(size=(300, 64))])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near(spark, x)}
+    want = brute_vectors(x)
+    assert want[0] == (39, 0) and want[20] == (39, 0)
+    assert got == want
+
+
 def test_pipeline_stages_match_brute_force(spark):
     rng = random.Random(3)
     docs = [(i, t, "en", "s", len(t or "")) for i, t in corpus(rng, alone=30)]
