@@ -11,7 +11,8 @@
    new starting orders, every node has a further list of LIST neighbours outside its region,
    and so on until an attempt joins no regions and an audit misses nothing.
 6. A region's members are compared in blocks of BLOCK rows; links are counted, not listed.
-7. The audit compares AUDIT nodes with all others. Links that it finds missing are added.
+7. The audit compares nodes with all others until it has met AUDIT true links or all nodes.
+   It measures and calls for further attempts; its links are no part of the result.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ TABLES, NEXT = 8, 3
 ROUNDS, ATTEMPTS = 4, 60
 BLOCK = 64
 EDGE = "node long, nbr long, cos double, inside boolean"
-#: Nodes whose true links are found by brute force, those of smallest hash.
+#: True links that the audit finds by brute force, from nodes in order of hash; also the
+#: nodes of its first pass. Passes double up to PASS nodes.
 AUDIT, RECALL = 512, 0.98
+PASS = 8192
 
 
 def _unit(vectors: list[bytes], kind: str) -> np.ndarray:
@@ -202,28 +205,47 @@ def _state(graph: DataFrame, threshold: float) -> tuple:
 
 
 def _audit(nodes: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """All true links (node, nbr, cos) of AUDIT nodes; their vectors go to every task."""
-    asked = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(AUDIT).select("node", "vec").collect()
+    """All true links (node, nbr, cos) of nodes in order of hash: of as many as have AUDIT
+    links together, or of all. A pass sends its nodes' vectors to every task."""
+    order = nodes.select("node", "vec", F.xxhash64("node", F.lit(11)).alias("h"))
+    out, total, size, last = None, 0, AUDIT, None
+    while True:
+        rest = order if last is None else order.filter((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("node") > last[1])))
+        asked = rest.orderBy("h", "node").limit(size).collect()
+        if out is None or asked:
+            links = written(_links(nodes, asked, kind, threshold))
+            out = links if out is None else out.union(links)
+            total += links.count()
+        if len(asked) < size or total >= AUDIT:
+            return out
+        last, size = (asked[-1]["h"], asked[-1]["node"]), min(2 * size, PASS)
+
+
+def _links(nodes: DataFrame, asked: list, kind: str, threshold: float) -> DataFrame:
+    """All true links (node, nbr, cos) of the asked nodes."""
     names, vectors = np.array([r["node"] for r in asked], np.int64), [bytes(r["vec"]) for r in asked]
+    step = max(1, 4_000_000 // max(1, len(asked)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        units: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in {len(v) for v in vectors}:
+            theirs = [i for i, v in enumerate(vectors) if len(v) == size]
+            units[size] = names[theirs], _unit([vectors[i] for i in theirs], kind)
+        for b in (part for whole in batches for part in (whole.slice(i, step) for i in range(0, len(whole), step))):
             node, vec = b.column("node").to_numpy(), b.column("vec").to_pylist()
-            for size in {len(v) for v in vec}:
-                mine, theirs = [i for i, v in enumerate(vec) if len(v) == size], [i for i, v in enumerate(vectors) if len(v) == size]
-                if theirs:
-                    c = _unit([vectors[i] for i in theirs], kind) @ _unit([vec[i] for i in mine], kind).T
-                    i, j = np.nonzero(c >= threshold)
-                    a, o, s = names[theirs][i], node[mine][j], c[i, j]
-                    ok = a != o
-                    yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(o[ok]), pa.array(s[ok])], ["node", "nbr", "cos"])
+            for size in {len(v) for v in vec} & set(units):
+                mine = [i for i, v in enumerate(vec) if len(v) == size]
+                c = units[size][1] @ _unit([vec[i] for i in mine], kind).T
+                i, j = np.nonzero(c >= threshold)
+                a, o, s = units[size][0][i], node[mine][j], c[i, j]
+                ok = a != o
+                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(o[ok]), pa.array(s[ok])], ["node", "nbr", "cos"])
 
     return nodes.select("node", "vec").mapInArrow(run, "node long, nbr long, cos double")
 
 
-def _regions(nodes: DataFrame, edges: DataFrame, kind: str, threshold: float) -> DataFrame:
+def _regions(nodes: DataFrame, found: DataFrame, kind: str, threshold: float) -> DataFrame:
     """(node, component, links) of the nodes in regions: their links inside, by weight."""
-    found = written(components(edges.select(F.col("node").alias("a"), F.col("nbr").alias("b"))))
     sizes = written(found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     rows = found.join(sizes, "component").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -249,7 +271,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     or more. A vector that is null, empty, zero, or has null or non-finite components
     links with nothing. Repeated rows are linked copies of one vector; rows with a null key
     count as links but name no component, and are not kept. audit_recall is the share of
-    the audited nodes' true links that the graph had joined before they were added. Other
+    the audited nodes' true links that the graph has joined, 1 where they have none. Other
     columns are not returned. An empty table gives none."""
     spark = df.sparkSession
     rows, kind = _vectors(df, key, vector)
@@ -258,7 +280,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     count = nodes.count()
     graph = written(spark.createDataFrame([], EDGE))
     found = written(spark.createDataFrame([], "node long, component long"))
-    truth, recall = written(_audit(nodes, kind, threshold)), 1.0
+    truth, recall = _audit(nodes, kind, threshold), 1.0
     total = truth.count()
     for attempt in range(ATTEMPTS if count > 1 else 0):
         placed = written(nodes.select("node", "vec").join(found, "node", "left").select("node", "vec", F.coalesce("component", "node").alias("region")))
@@ -283,8 +305,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             break
     if recall < RECALL:
         raise RuntimeError(f"the graph joins {recall:.4f} of the audited links after {ATTEMPTS} attempts")
-    edges = written(found.toDF("node", "nbr").union(truth.select("node", "nbr")))
-    regions = written(_regions(nodes.select("node", "vec", "copies"), edges, kind, threshold))
+    regions = written(_regions(nodes.select("node", "vec", "copies"), found, kind, threshold))
     least = written(regions.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("reached")))
     links = regions.join(least, "component").select("node", "links", "reached")
     final = written(nodes.join(links, "node", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("reached", "least").alias("component_id")))

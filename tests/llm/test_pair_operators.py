@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -186,6 +187,23 @@ def test_near_duplicates_beyond_full_lists(spark, monkeypatch):
     assert got == want
 
 
+def test_audit_counts_true_links_and_adds_none(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(1500, 32))
+    x = np.concatenate([base, base[:12] + 0.05 * rng.normal(size=(12, 32))])  # sparse copies
+    want = brute_vectors(x)
+    monkeypatch.setattr(nn_descent, "AUDIT", 20)
+    df = spark.createDataFrame([(i, v.astype("float32").tobytes()) for i, v in enumerate(x)], "node long, vec binary")
+    assert nn_descent._audit(df, "<f4", 0.9).count() >= 20
+    got = near(spark, x)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want and got[0]["audit_recall"] == 1.0
+    # a graph that finds nothing is not answered by the audit's own links
+    monkeypatch.setattr(nn_descent, "ATTEMPTS", 1)
+    monkeypatch.setattr(nn_descent, "_start", lambda nodes, *_: nodes.sparkSession.createDataFrame([], "node long, nbr long, cos double, inside boolean"))
+    with pytest.raises(RuntimeError, match="audited links"):
+        near(spark, np.concatenate([x[:12], x[-12:]]))
+
+
 def test_pipeline_stages_match_brute_force(spark):
     rng = random.Random(3)
     docs = [(i, t, "en", "s", len(t or "")) for i, t in corpus(rng, alone=30)]
