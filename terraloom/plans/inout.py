@@ -333,8 +333,9 @@ _SHIFTED = 'v + 0.4 - 0.001 * "row"'
 @query("sk15_surface_to_egm2008_dt4", f'WITH {G} SELECT "row", col, {q6(_SHIFTED, 5)} AS h FROM g')
 def sk15(spark, sf_dir):
     from terraloom.operators import regrid as J
+    from terraloom.plans import joins
 
-    lattice = spark.range(70 * 9).select(F.floor(C("id") / 9).alias("row"), (C("id") % 9).alias("col"))
+    lattice = joins.lattice(spark, grid(spark, sf_dir))
     a, b = lattice.withColumn("v", F.lit(0.4)), lattice.withColumn("v", 0.008 * C("row"))
     x = J.convert_datum(grid(spark, sf_dir).select("row", "col", C("v").alias("h")), a, b, C("row") / 8, C("col") / 8, ["row", "col"])
     return x.select("row", "col", r6("h", 5).alias("h"))

@@ -60,8 +60,9 @@ def ag35(spark, sf_dir):
 q AS (SELECT y, x, floor(fr) + i AS r, floor(fc) + j AS c, (CASE i WHEN 1 THEN fr - floor(fr) ELSE 1 - fr + floor(fr) END) * (CASE j WHEN 1 THEN fc - floor(fc) ELSE 1 - fc + floor(fc) END) AS w FROM p, range(2) a(i), range(2) b(j))
 SELECT y AS "row", x AS col, {q6('sum(w * m) / sum(w) FILTER (WHERE m IS NOT NULL)')} AS v FROM q LEFT JOIN k USING (r, c) GROUP BY 1, 2""")
 def rs1(spark, sf_dir):
+    h, w = grid(spark, sf_dir).agg(F.max("row") + 1, F.max("col") + 1).first()
     t = spark.range(800).select(F.floor(C("id") / 20).alias("row"), (C("id") % 20).alias("col"))
-    x = J.bilinear(t, coarse(spark, sf_dir), (C("row") + 0.5) * 62 / 40 - 0.5, (C("col") + 0.5) * 8 / 20 - 0.5, ["row", "col"], "v", "out")
+    x = J.bilinear(t, coarse(spark, sf_dir), (C("row") + 0.5) * (h // 8) / 40 - 0.5, (C("col") + 0.5) * (w // 8) / 20 - 0.5, ["row", "col"], "v", "out")
     return x.select("row", "col", r6("out").alias("v"))
 
 
@@ -134,9 +135,15 @@ def po1(spark, sf_dir):
     return J.rasterize(t.select("id", F.array(p(x, y), p(x + a, y), p(x, y + a), p(x, y)).alias("ring")))
 
 
+def lattice(spark, g, step=8):
+    """Lattice points (row, col) every `step` pixels around all pixels of g."""
+    h, w = (int(n) // step + 2 for n in g.agg(F.max("row"), F.max("col")).first())
+    return spark.range(h * w).select(F.floor(C("id") / w).alias("row"), (C("id") % w).alias("col"))
+
+
 @query("dt1_datum_conversion", f"""WITH {G}, s AS (SELECT CAST(i AS BIGINT) AS r, CAST(j AS BIGINT) AS c, i * 0.5e0 + j * 0.25e0 - (i * 0.1e0 - j * 0.3e0) AS m FROM range(64) a(i), range(9) b(j)) SELECT "row", col, {q6('v + ("row" / 8.0) * 0.4 + (col / 8.0) * 0.55', 5)} AS h FROM g""")
 def dt1(spark, sf_dir):
-    lat = spark.range(64 * 9).select(F.floor(C("id") / 9).alias("row"), (C("id") % 9).alias("col"))
+    lat = lattice(spark, grid(spark, sf_dir))
     a = lat.withColumn("v", C("row") * 0.5 + C("col") * 0.25)
     b = lat.withColumn("v", C("row") * 0.1 - C("col") * 0.3)
     x = J.convert_datum(grid(spark, sf_dir).select("row", "col", C("v").alias("h")), a, b, C("row") / 8, C("col") / 8, ["row", "col"])
