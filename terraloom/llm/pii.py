@@ -23,6 +23,22 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
 }
+#: Characters of an IBAN by country (the registry's).
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _country(n: int) -> str:
+    tail = rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+    return rf"(?:{LENGTHS[n].replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{tail}"
+
+
+#: An IBAN of its country's length. The pattern above, for any code, may take letters of the next word.
+COUNTRIES = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(map(_country, LENGTHS))})(?![A-Za-z0-9])"
 #: A text without this can't hold the kind; a cheap test before the pattern runs.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 #: Words that raise a span's score when they stand within CONTEXT characters of it.
@@ -80,10 +96,9 @@ def _confirmed(kind: str, v: Column) -> Column:
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def _spans(t: Column, kind: str) -> Column:
-    """All matches of a kind with their places: what lies between matches and the
-    matches themselves add up to the places."""
-    pattern = PATTERNS[kind]
+def _matches(t: Column, pattern: str, kind: str) -> Column:
+    """All confirmed matches of a pattern with their places: what lies between matches
+    and the matches themselves add up to the places."""
     between, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     steps = F.filter(F.zip_with(between, found, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value"))), lambda x: x["value"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
@@ -93,10 +108,17 @@ def _spans(t: Column, kind: str) -> Column:
         end = begin + F.length(x["value"])
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    kept = F.filter(F.aggregate(steps, start, step, lambda a: a["out"]), lambda s: _confirmed(kind, s["value"]))
+    return F.filter(F.aggregate(steps, start, step, lambda a: a["out"]), lambda s: _confirmed(kind, s["value"]))
+
+
+def _spans(t: Column, kind: str) -> Column:
+    """All spans of a kind, by start."""
+    kept = _matches(t, PATTERNS[kind], kind)
     if kind == "iban":  # it stands alone: no letter or digit touches it
-        kept = F.filter(kept, lambda s: ~F.concat_ws(" ", F.substring(t, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substring(t, s["end"] + 1, F.lit(1))).rlike("[A-Za-z0-9]"))
-    hint = F.contains(t, F.lit(HINTS[kind])) if kind in HINTS else t.rlike("[0-9]{2}")
+        exact = _matches(t, COUNTRIES, kind)
+        other = F.filter(kept, lambda s: ~F.exists(exact, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
+        kept = F.filter(F.array_sort(F.concat(exact, other)), lambda s: ~F.concat_ws(" ", F.substring(t, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substring(t, s["end"] + 1, F.lit(1))).rlike("[A-Za-z0-9]"))
+    hint = F.contains(t, F.lit(HINTS[kind])) if kind in HINTS else t.rlike("[0-9]" if kind == "card" else "[0-9]{2}")
     return F.when(hint, kept).otherwise(F.array().cast(_SPANS))
 
 

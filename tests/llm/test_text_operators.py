@@ -89,6 +89,14 @@ def test_pii_iban_context_and_redaction(spark):
     assert "<IBAN>" in got[0][0]["text"] and "DE89" not in got[0][0]["text"]
 
 
+def test_pii_ibans_before_words_and_spaced_cards(spark):
+    texts = ["pay ES91 2100 0418 4502 0005 1332 Please", "ES9121000418450200051332 BANK", "AT61 1904 3002 3457 3201 DE89 3704 0044 0532 0130 00 Bank", "BE68 5390 0754 7034 12 times", "CZ65 0800 0000 1920 0014 5399 A", "xES9121000418450200051332", "ES9121000418450200051333 BANK"]
+    want = [["ES91 2100 0418 4502 0005 1332"], ["ES9121000418450200051332"], ["AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"], ["BE68 5390 0754 7034"], ["CZ65 0800 0000 1920 0014 5399"], [], []]
+    got = rows(pii.detect(frame(spark, [*texts, "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"])))
+    assert [[t[s["start"] : s["end"]] for s in g[0]["pii"] if s["kind"] == "iban"] for t, g in zip(texts, (got[i] for i in range(len(texts))), strict=True)] == want
+    assert [s["kind"] for s in got[len(texts)][0]["pii"]] == ["card"]
+
+
 def test_pii_sql_twin_on_odd_texts(spark, tmp_path):
     import duckdb
 
