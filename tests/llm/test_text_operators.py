@@ -254,37 +254,61 @@ def test_packing_covers_every_token_once(spark):
 
 def test_packing_chooses_the_smallest_sum_of_squares():
     rng = np.random.default_rng(1)
-    for _ in range(200):
+    for _ in range(300):
         w = 12
         levels = packing.LevelArray(w)
-        levels.counts[1:w] = rng.integers(0, 4, w - 1)
+        levels.counts[1:w] = rng.integers(0, 4 if rng.random() < 0.5 else 40, w - 1)
         size = int(rng.integers(1, w))
         cost = {}
-        for h in range(0, w - size + 1):
+        for h in range(w):
             if h and not levels.counts[h]:
                 continue
             c = levels.counts.copy()
-            if h:
-                c[h] -= 1
+            c[h] -= h > 0
             if h + size < w:
                 c[h + size] += 1
-            cost[h] = int((c[1:w] ** 2).sum())
+            elif h + size > w:
+                c[h + size - w] += 1
+            cost[h] = int((c[1:w] ** 2).sum()) + packing.CUT * (h + size > w)
         assert cost[levels.choose(size)] == min(cost.values())
 
 
-def test_packing_merges_when_many_windows_are_open():
-    p = packing.Packer(0, window=16, open_limit=3)
+@pytest.mark.parametrize("sizes", ["any", "same", "over half"])
+def test_packing_keeps_every_id_and_bounds_open_windows(sizes):
+    p = packing.Packer(0, window=64)
     rng = np.random.default_rng(2)
-    docs = [rng.integers(0, 99, rng.integers(1, 40)).astype("<u4") for _ in range(200)]
-    out = [x for i, d in enumerate(docs) for x in p.add(i, d)] + list(p.finish())
+    n = {"any": lambda: rng.integers(1, 200), "same": lambda: 38, "over half": lambda: rng.integers(33, 64)}[sizes]
+    docs = [rng.integers(0, 99, n()).astype("<u4") for _ in range(3000)]
+    out, most = [], 0
+    for i, d in enumerate(docs):
+        out += list(p.add(i, d))
+        most = max(most, int(p.levels.counts.max()))
+        assert len(p.held) == p.levels.counts.sum()
+    assert most <= packing.CUT / 2 + 2
+    before = len(out)
+    out += list(p.finish())
+    assert before > 0.8 * len(out)
     for i, d in enumerate(docs):
         mine = sorted(x[1:4] for x in out if x[0] == i)
-        assert sum(x[1] for x in mine) == len(d)
-        assert all(zlib.crc32(d[s : s + n].tobytes()) == c for s, n, c in mine)
+        assert [x[0] for x in mine] == list(np.cumsum([0, *(x[1] for x in mine)])[:-1]) and sum(x[1] for x in mine) == len(d)
+        assert all(zlib.crc32(d[s : s + k].tobytes()) == c for s, k, c in mine)
     fill = {}
-    for x in out:
-        fill[x[5]] = fill.get(x[5], 0) + x[2]
-    assert all(v == 16 or v & (v - 1) == 0 for v in fill.values())
+    for x in sorted(out, key=lambda x: (x[5], x[6])):
+        assert x[6] == fill.get(x[5], 0)
+        fill[x[5]] = x[6] + x[2]
+    partial = [v for v in fill.values() if v < 64]
+    assert all(v & (v - 1) == 0 for v in partial) and len(partial) <= 6
+
+
+LONG_SPACE = [" " * 1_000_000 + "x", "\n" * 1_000_000, " \n\t" * 400_000 + "x y", ("a" + " " * 9_999) * 40, "b" + " " * 10_000 + "c\u00a0" + "\u3000" * 20_000]
+
+
+def test_encoding_of_very_long_white_space():
+    import public_tokenizers
+
+    path, ranks = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
+    for t in LONG_SPACE:
+        assert packing.encode(t, path, ranks).tolist() == tokenizer().encode(t, add_special_tokens=False).ids
 
 
 def test_fast_and_plain_tokenizer_agree_on_characters():
