@@ -41,13 +41,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/terraloom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut there, and a lost
-    executor costs no more than a new read of that table."""
+    executor costs no more than a new read of that table. The table goes when the
+    application ends, or with discard()."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        files, at = _files(df.sparkSession, df.scratch)
+        files.delete(at, True)
 
 
 def without(batch: pa.RecordBatch, *names: str) -> list[int]:

@@ -1,9 +1,11 @@
 """Token counts kept up to date under edits.
 
-A document is a segment tree over its pre-tokens: leaves hold LEAF of them, inner nodes
-sums of characters and tokens. An edit finds its leaf by characters, splits anew only
-from a pre-token or two before it to the first old boundary that the new split meets
-again, and updates the sums above the leaves it touched.
+A document keeps a segment tree over its pre-tokens: a leaf stands for about LEAF of them,
+and heap arrays hold the sums of characters, tokens and pre-tokens below each node. plant()
+makes the trees, a table with a row a document; apply_edits() takes that table, finds the
+leaves that an edit touches by the character sums, splits and encodes only them (with the
+characters of context that a split looks ahead), and returns the table with its sums
+updated, ready for the next edits. Text outside those leaves is never encoded again.
 """
 
 from __future__ import annotations
@@ -16,31 +18,57 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, small_batches, table
+from .common import rows_of, small_batches, table, written
 
 LEAF = 64
-#: Counts of pre-tokens that a task remembers.
-REMEMBERED = 1_000_000
+#: Characters that the split of a pre-token may look past its end.
+LOOK = 2
+#: Counts of pre-tokens that a task remembers, each of at most SHORT characters.
+REMEMBERED, SHORT = 1_000_000, 64
+SUMS = ("chars", "tokens", "pieces")
 
 
 class TokenTree:
-    """Pre-tokens of one document with token sums."""
+    """Sums over one document's pre-tokens; leaves are texts that begin and end at a
+    pre-token's boundary, empty ones where an edit left fewer."""
 
-    def __init__(self, text: str, split: Callable[[str], list[str]], count: Callable[[str], int]):
-        self.split, self.count = split, count
+    def __init__(self, leaves: list[str], sums: dict[str, list[int]], split: Callable[[str], list[str]], count: Callable[[str], int]):
+        self.leaves, self.split, self.count = leaves, split, count
+        self.chars, self.tokens, self.pieces = (sums[s] for s in SUMS)
+        self.size = len(self.chars) // 2
         self.reencoded = 0
-        self._plant(split(text))
-
-    def _plant(self, pieces: list[str]) -> None:
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.size + i] = sum(map(len, leaf))
-            self.tokens[self.size + i] = sum(map(self.count, leaf))
+
+    @classmethod
+    def plant(cls, text: str, split: Callable[[str], list[str]], count: Callable[[str], int]) -> TokenTree:
+        """The tree of a text, all of which is split and counted."""
+        found = split(text)
+        parts = [found[i : i + LEAF] for i in range(0, len(found), LEAF)] or [[]]
+        tree = cls([], {s: [0, 0] for s in SUMS}, split, count)
+        tree._build(["".join(p) for p in parts], [sum(map(count, p)) for p in parts], [len(p) for p in parts])
+        return tree
+
+    @classmethod
+    def load(cls, text: str, sums: dict[str, list[int]], split: Callable[[str], list[str]], count: Callable[[str], int]) -> TokenTree:
+        """The tree of stored sums: the text is cut at the leaves' ends, nothing is encoded."""
+        leaves, at = [], 0
+        for n in sums["chars"][len(sums["chars"]) // 2 :]:
+            leaves.append(text[at : at + n])
+            at += n
+        return cls(leaves, sums, split, count)
+
+    def _build(self, leaves: list[str], tokens: list[int], pieces: list[int]) -> None:
+        self.size = 1 << (len(leaves) - 1).bit_length()
+        empty = self.size - len(leaves)
+        self.leaves = leaves + [""] * empty
+        self.chars = [0] * self.size + [len(x) for x in self.leaves]
+        self.tokens = [0] * self.size + tokens + [0] * empty
+        self.pieces = [0] * self.size + pieces + [0] * empty
         for i in range(self.size - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+            self._sum(i)
+
+    def _sum(self, i: int) -> None:
+        for s in (self.chars, self.tokens, self.pieces):
+            s[i] = s[2 * i] + s[2 * i + 1]
 
     @property
     def n_tokens(self) -> int:
@@ -52,122 +80,107 @@ class TokenTree:
 
     @property
     def n_pieces(self) -> int:
-        return sum(map(len, self.leaves))
+        return self.pieces[1]
 
     def text(self) -> str:
         """The document as it is now."""
-        return "".join("".join(leaf) for leaf in self.leaves)
+        return "".join(self.leaves)
 
-    def _locate(self, at: int) -> tuple[int, int, int]:
-        """Leaf, index and first character of the pre-token that holds a character (the
-        last one, for the end)."""
-        if at >= self.n_chars:
-            at = max(0, self.n_chars - 1)
+    def _leaf(self, at: int) -> tuple[int, int]:
+        """The leaf that holds a character, and the first character of that leaf."""
         node, left = 1, at
         while node < self.size:
             node *= 2
             if left >= self.chars[node]:
                 left -= self.chars[node]
                 node += 1
-        leaf = node - self.size
-        start = at - left
-        for i, piece in enumerate(self.leaves[leaf] if leaf < len(self.leaves) else ()):
-            if left < len(piece):
-                return leaf, i, start
-            left -= len(piece)
-            start += len(piece)
-        return 0, 0, 0
-
-    def _before(self, leaf: int, i: int, start: int) -> tuple[int, int, int]:
-        """The pre-token before one, or that one if it is the first."""
-        b, j = leaf, i - 1
-        while j < 0:
-            b -= 1
-            if b < 0:
-                return leaf, i, start
-            j = len(self.leaves[b]) - 1
-        return b, j, start - len(self.leaves[b][j])
+        return node - self.size, at - left
 
     def edit(self, start: int, delete: int, insert: str) -> int:
         """Replace `delete` characters from `start` on by `insert` (both clamped to the
         text); the number of tokens then."""
         start = min(max(start, 0), self.n_chars)
         delete = min(max(delete, 0), self.n_chars - start)
-        # the split of a pre-token may look one character past its end
-        leaf, i, begin = self._before(*self._locate(max(0, start - 2)))
-        shift, look = len(insert) - delete, 4
+        stop, shift = start + delete, len(insert) - delete
+        first, begin = self._leaf(max(0, start - LOOK)) if self.n_chars else (0, 0)
+        leaf, at, more = first, begin, 1
+        old: list[str] = []
+        bounds: dict[int, int] = {}
         while True:
-            old: list[str] = []
-            bounds: dict[int, tuple[int, int]] = {}
-            at, b, j, beyond = begin, leaf, i, 0
-            while b < len(self.leaves) and beyond < look:
-                if j >= len(self.leaves[b]):
-                    b, j = b + 1, 0
-                    continue
-                old.append(self.leaves[b][j])
-                at += len(old[-1])
-                j += 1
-                if at >= start + delete:
-                    bounds[at] = (b, j)
-                    beyond += 1
-            at_end = at >= self.n_chars
+            # leaves up to the edit's end, and `more` after it
+            while leaf < self.size and (at < stop or more > 0):
+                more -= at >= stop and bool(self.leaves[leaf])
+                old.append(self.leaves[leaf])
+                at += len(self.leaves[leaf])
+                leaf += 1
+                if at >= stop:
+                    bounds[at] = leaf
             whole = "".join(old)
-            cut = start - begin
-            region = whole[:cut] + insert + whole[cut + delete :]
-            fresh, place = [], begin
-            end = (len(self.leaves) - 1, len(self.leaves[-1])) if at_end else None
-            for piece in self.split(region):
-                fresh.append(piece)
+            region = whole[: start - begin] + insert + whole[stop - begin :]
+            ahead, k = "", leaf
+            while len(ahead) < LOOK and k < self.size:
+                ahead += self.leaves[k][:LOOK]
+                k += 1
+            fresh, place, end = [], begin, self.size if leaf == self.size and not region else None
+            for piece in self.split(region + ahead):
                 place += len(piece)
-                if place - shift in bounds and place - begin <= len(region) - 2:
+                if place > begin + len(region):
+                    break
+                fresh.append(piece)
+                if place - shift in bounds:
                     end = bounds[place - shift]
                     break
             if end is not None:
                 break
-            look *= 4
-        self._replace(leaf, i, *end, fresh)
+            more = 2 * (leaf - first)
+        self._replace(first, end, fresh)
         self.reencoded += len(fresh)
         return self.n_tokens
 
-    def _replace(self, leaf: int, i: int, last: int, j: int, fresh: list[str]) -> None:
-        """Put fresh pre-tokens in the place of those from (leaf, i) up to (last, j)."""
-        if leaf == last:
-            self.leaves[leaf][i:j] = fresh
-        else:
-            self.leaves[leaf][i:] = fresh
-            for b in range(leaf + 1, last):
-                self.leaves[b] = []
-            self.leaves[last] = self.leaves[last][j:]
-        if len(self.leaves[leaf]) > 8 * LEAF:
-            self._plant([p for x in self.leaves for p in x])
+    def _replace(self, first: int, end: int, fresh: list[str]) -> None:
+        """Put fresh pre-tokens in the place of the leaves first to end - 1."""
+        room = max(1, end - first)
+        per = max(LEAF, -(-len(fresh) // room))
+        grows = per > 2 * LEAF
+        per = LEAF if grows else per
+        parts = [fresh[i : i + per] for i in range(0, len(fresh), per)]
+        parts += [[]] * (room - len(parts))
+        leaves = ["".join(p) for p in parts]
+        tokens, pieces = [sum(map(self.count, p)) for p in parts], [len(p) for p in parts]
+        if grows:
+            put = lambda old, new: old[:first] + new + old[first + room :]
+            self._build(put(self.leaves, leaves), put(self.tokens[self.size :], tokens), put(self.pieces[self.size :], pieces))
             return
-        for b in range(leaf, last + 1):
-            node = self.size + b
-            self.chars[node] = sum(map(len, self.leaves[b]))
-            self.tokens[node] = sum(map(self.count, self.leaves[b]))
-            while node > 1:
-                node //= 2
-                self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-                self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
+        for i, (a, t, p) in enumerate(zip(leaves, tokens, pieces, strict=True), first):
+            self.leaves[i] = a
+            self.chars[self.size + i], self.tokens[self.size + i], self.pieces[self.size + i] = len(a), t, p
+        low, high = (self.size + first) // 2, (self.size + first + room - 1) // 2
+        while low:
+            for i in range(low, high + 1):
+                self._sum(i)
+            low, high = low // 2, high // 2
 
 
 class _Counts(dict):
-    """Pre-token -> number of tokens."""
+    """Pre-token -> number of tokens; long ones are counted each time."""
 
     def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
         self.encode = encode
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[piece] = n = len(self.encode(piece))
+        n = len(self.encode(piece))
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = n
         return n
 
 
 @cache
 def tokenizer(path: str) -> tuple[Callable[[str], list[str]], Callable[[str], int], Callable[[str], list[int]]]:
-    """Split, count and whole encoding of a byte-level vocabulary's rank file."""
+    """Split, count and whole encoding of a byte-level vocabulary's rank file. A pre-token
+    is encoded without another split, so runs of white space may have any length."""
     import base64
 
     import public_tokenizers
@@ -177,53 +190,87 @@ def tokenizer(path: str) -> tuple[Callable[[str], list[str]], Callable[[str], in
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     found = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return regex.compile(public_tokenizers.PATTERN).findall, _Counts(found.encode_ordinary).__getitem__, found.encode_ordinary
+    single = found._encode_single_piece
+    split = regex.compile(public_tokenizers.PATTERN).findall
+    return split, _Counts(single).__getitem__, lambda text: [i for p in split(text) for i in single(p)]
 
 
-_EDITS = "array<struct<start:long,delete:long,insert:string>>"
+def _path(path: str) -> str:
+    import public_tokenizers
 
+    return path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-def count_after_edits(df: DataFrame, key: str = "doc_id", text: str = "text", edits: str = "edits", path: str = "") -> DataFrame:
-    """(key, n_tokens_before, n_tokens_after, n_pretokens, n_reencoded, n_chars_after).
 
-    edits: array of (start, delete, insert), applied in order, each in code points of the
-    text as the one before left it; places beyond the text are clamped, null numbers count
-    as 0, a null insert as empty, null edits and a null array as none. A null text counts
-    as empty. Repeated rows are counted each; other columns are not returned. An empty
-    table gives none. One narrow stage."""
-    import public_tokenizers
+_EDITS = "array<struct<start:long,delete:long,insert:string>>"
+_STATE = [T.StructField("text", T.StringType()), *(T.StructField(s, T.ArrayType(T.IntegerType())) for s in SUMS)]
+_TYPES = {"text": pa.string(), **{s: pa.list_(pa.int32()) for s in SUMS}}
+_COUNTS = ("n_tokens_before", "n_tokens_after", "n_pretokens", "n_reencoded", "n_chars_after")
 
+
+def plant(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "") -> DataFrame:
+    """The trees of a table: (key, text, chars, tokens, pieces) of each row, the last three
+    heap arrays of sums with the whole document's at 1 and the leaves in the upper half.
+
+    A null text counts as empty. Null keys and repeated rows have a tree each; other columns
+    are not returned. An empty table gives none. One narrow stage."""
     small_batches(df.sparkSession)
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    names = ["n_tokens_before", "n_tokens_after", "n_pretokens", "n_reencoded", "n_chars_after"]
+    path = _path(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, count, _ = tokenizer(path)
         for b in batches:
-            rows = []
             for _, texts in rows_of([b], "_key", "_text"):
-                for t, changes in zip(texts, b.column("_edits").to_pylist(), strict=True):
-                    tree = TokenTree((t or b"").decode(), split, count)
-                    before = tree.n_tokens
-                    for e in changes or ():
-                        if e is not None:
-                            tree.edit(e["start"] or 0, e["delete"] or 0, e["insert"] or "")
-                    rows.append((before, tree.n_tokens, tree.n_pieces, tree.reencoded, tree.n_chars))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column("_key"), *(pa.array(c, pa.int64()) for c in columns)], [key, *names])
+                trees = [TokenTree.plant((t or b"").decode(), split, count) for t in texts]
+                sums = [pa.array([getattr(t, s) for t in trees], _TYPES[s]) for s in SUMS]
+                yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array([t.text() for t in trees], pa.string()), *sums], [key, "text", *SUMS])
+
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *_STATE])
+    return df.select(df[key].alias("_key"), df[text].alias("_text")).mapInArrow(run, schema)
+
+
+def apply_edits(trees: DataFrame, key: str = "doc_id", edits: str = "edits", path: str = "") -> DataFrame:
+    """The trees after edits, in plant()'s columns, and n_tokens_before, n_tokens_after,
+    n_pretokens, n_reencoded (pre-tokens that were split and counted anew), n_chars_after.
 
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in names)])
-    return df.select(df[key].alias("_key"), df[text].alias("_text"), df[edits].cast(_EDITS).alias("_edits")).mapInArrow(run, schema)
+    trees: plant()'s columns, or this function's own, and `edits`: an array of (start,
+    delete, insert), applied in order, each in code points of the text as the one before
+    left it. Places beyond the text are clamped, null numbers count as 0, a null insert as
+    empty, null edits and a null array as none: such a row is returned as it is. Repeated
+    rows are edited each; other columns are not returned. An empty table gives none."""
+    small_batches(trees.sparkSession)
+    path = _path(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, count, _ = tokenizer(path)
+        for b in batches:
+            texts, changes = b.column("text").to_pylist(), b.column("_edits").to_pylist()
+            todo = [i for i, c in enumerate(changes) if c and any(e is not None for e in c)]
+            sums = {s: b.column(s).to_pylist() for s in SUMS}
+            before = [t[1] for t in sums["tokens"]]
+            again = [0] * len(texts)
+            for i in todo:
+                tree = TokenTree.load(texts[i], {s: sums[s][i] for s in SUMS}, split, count)
+                for e in changes[i]:
+                    if e is not None:
+                        tree.edit(e["start"] or 0, e["delete"] or 0, e["insert"] or "")
+                texts[i], again[i] = tree.text(), tree.reencoded
+                for s in SUMS:
+                    sums[s][i] = getattr(tree, s)
+            counts = (before, *([x[1] for x in sums[s]] for s in ("tokens", "pieces")), again, [x[1] for x in sums["chars"]])
+            state = [pa.array(texts, pa.string()), *(pa.array(sums[s], _TYPES[s]) for s in SUMS)]
+            yield pa.RecordBatch.from_arrays([b.column("_key"), *state, *(pa.array(c, pa.int64()) for c in counts)], [key, *_TYPES, *_COUNTS])
+
+    schema = T.StructType([T.StructField(key, trees.schema[key].dataType), *_STATE, *(T.StructField(n, T.LongType()) for n in _COUNTS)])
+    return trees.select(trees[key].alias("_key"), "text", *SUMS, trees[edits].cast(_EDITS).alias("_edits")).mapInArrow(run, schema)
 
 
 #: Texts that the query's edits insert; a document's hash chooses.
 INSERTS = ("", " amended", "\n\nSee also: notes.", "'s", " 2,048", "  \t", "été 中文")
 
 
-def sample_edits(key: Column, text: Column) -> Column:
-    """Four edits of a document, by its key and length: one in front, two at hashed
-    places, one at the end."""
-    n = F.length(F.coalesce(text, F.lit(""))).cast("long")
+def sample_edits(key: Column, n: Column) -> Column:
+    """Four edits of a document, by its key and number of characters: one in front, two at
+    hashed places, one at the end."""
     words = F.array(*map(F.lit, INSERTS))
 
     def one(start: Column, salt: int) -> Column:
@@ -235,6 +282,8 @@ def sample_edits(key: Column, text: Column) -> Column:
 
 
 def op4_token_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every whole text of documents before and after four edits."""
-    docs = table(spark, sf_dir, "documents")
-    return count_after_edits(docs.select("doc_id", "text", sample_edits(F.col("doc_id"), F.col("text")).alias("edits")))
+    """Token counts of every whole text of documents before and after four edits of its
+    stored tree."""
+    trees = written(plant(table(spark, sf_dir, "documents")), compression="zstd")
+    edits = sample_edits(F.col("doc_id"), F.element_at("chars", 2).cast("long"))
+    return apply_edits(trees.withColumn("edits", edits)).select("doc_id", *_COUNTS)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -324,28 +325,80 @@ def test_fast_and_plain_tokenizer_agree_on_characters():
 
 
 # ------------------------------------------------------------------ token counts under edits
+def changed(text, edits):
+    for s, d, x in edits or []:
+        s = min(s, len(text))
+        text = text[:s] + (x or "") + text[s + d :]
+    return text
+
+
+@pytest.mark.parametrize("leaf", [2, 64])
+def test_token_trees_follow_any_edits(monkeypatch, leaf):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_edit, "LEAF", leaf)
+    split, count, encode = token_edit.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(leaf)
+    for _ in range(400):
+        text = "".join(rng.choice(" ab\n\té中😀.the's12") for _ in range(rng.randrange(0, 300)))
+        tree = token_edit.TokenTree.plant(text, split, count)
+        for _ in range(8):
+            e = (rng.randrange(0, 320), rng.choice([0, 1, 5, 40, 400]), rng.choice([*token_edit.INSERTS, " " * 30, "x y " * 60]))
+            text = changed(text, [e])
+            tree.edit(*e)
+            assert tree.text() == text and tree.n_chars == len(text)
+            assert (tree.n_tokens, tree.n_pieces) == (len(encode(text)), len(split(text)))
+            sums = {s: getattr(tree, s) for s in token_edit.SUMS}
+            assert all(x[i] == x[2 * i] + x[2 * i + 1] for x in sums.values() for i in range(1, tree.size))
+            tree = token_edit.TokenTree.load(text, sums, split, count)
+
+
 def test_token_edit_against_encoding_anew(spark):
     import public_tokenizers
-    from pyspark.sql import functions as F
 
     _, _, encode = token_edit.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rng = random.Random(4)
-    texts = ODD + ["".join(rng.choice(" ab\n\té中😀.the's12") for _ in range(rng.randrange(0, 400))) for _ in range(120)]
-    plan = [[(rng.randrange(0, 420), rng.randrange(0, 30), rng.choice([*token_edit.INSERTS, None])) for _ in range(5)] for _ in texts]
-    plan[1] = None
-    df = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(zip(texts, plan, strict=True))], "doc_id long, text string, edits array<struct<start:long,delete:long,insert:string>>")
-    got = rows(token_edit.count_after_edits(df))
-    for i, (t, p) in enumerate(zip(texts, plan, strict=True)):
-        now = t or ""
-        assert got[i][0]["n_tokens_before"] == len(encode(now))
-        for s, d, x in p or []:
-            s = min(s, len(now))
-            now = now[:s] + (x or "") + now[s + d :]
-        assert (got[i][0]["n_tokens_after"], got[i][0]["n_chars_after"]) == (len(encode(now)), len(now))
-    # a long text's edits touch few pre-tokens
-    assert got[4][0]["n_reencoded"] < 200 < got[4][0]["n_pretokens"]
-    made = rows(token_edit.op4_token_edit(spark, SF).filter(F.col("doc_id") < 5))
-    assert len(made) == 5
+    texts = ODD + LONG_SPACE + ["".join(rng.choice(" ab\n\té中😀.the's12") for _ in range(rng.randrange(0, 400))) for _ in range(80)]
+    ids = [None if i == 9 else 8 if i == 10 else i for i in range(len(texts))]  # a null key and a used one
+    plan = lambda: [[(rng.randrange(0, 420), rng.randrange(0, 30), rng.choice([*token_edit.INSERTS, None])) for _ in range(5)] for _ in texts]
+    first, second = plan(), plan()
+    first[1] = second[4] = None
+    schema = "doc_id long, text string, chars string, i int"
+    state = token_edit.plant(spark.createDataFrame([(k, t, "clash", i) for i, (k, t) in enumerate(zip(ids, texts, strict=True))], schema), key="i")
+    # the table of trees takes one batch of edits after another
+    for edits in (first, second):
+        todo = spark.createDataFrame(list(enumerate(edits)), "i int, edits array<struct<start:long,delete:long,insert:string>>")
+        state = token_edit.apply_edits(state.join(todo, "i"), key="i").cache()
+        got = rows(state, "i")
+        for i, (t, e) in enumerate(zip(texts, edits, strict=True)):
+            now = changed(t or "", e)
+            assert got[i][0]["text"] == now and got[i][0]["n_chars_after"] == len(now)
+            assert got[i][0]["n_tokens_before"] == len(encode(t or "")) and got[i][0]["n_tokens_after"] == len(encode(now))
+            assert e or got[i][0]["n_reencoded"] == 0
+            texts[i] = now
+        # edits of a long text touch few of its pre-tokens
+        assert got[4][0]["n_reencoded"] < 1500 < got[4][0]["n_pretokens"]
+    again = token_edit.apply_edits(token_edit.plant(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")).selectExpr("*", "array(named_struct('start', 0, 'delete', null, 'insert', 'x '), null) AS edits"))
+    assert [r["n_tokens_after"] for r in again.collect()] == [3, 3, 3]
+    made = rows(token_edit.op4_token_edit(spark, SF))
+    assert len(made) == 200 and all(r[0]["n_reencoded"] > 0 for r in made.values())
+
+
+def seconds(f):
+    began = time.perf_counter()
+    f()
+    return time.perf_counter() - began
+
+
+def test_an_edit_of_a_text_of_twice_the_length_encodes_no_more():
+    import public_tokenizers
+
+    split, count, _ = token_edit.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    trees = [token_edit.TokenTree.plant("some words " * n, split, count) for n in (50_000, 100_000)]
+    for t in trees:
+        for at in range(0, 400_000, 40_000):
+            t.edit(at, 3, " new")
+    assert trees[0].reencoded == trees[1].reencoded < 10 * 4 * token_edit.LEAF
 
 
 # ------------------------------------------------------------------ unigram pieces
@@ -466,5 +519,5 @@ def test_fixity_locates_every_damage(spark):
 # ------------------------------------------------------------------ empty tables
 def test_empty_tables(spark):
     none = frame(spark, ["x"]).limit(0)
-    for made in (pii.detect(none), quality.rate(none, None), license_scan.scan_licenses(none), packing.pack(none), unigram.digest(none), lm_score.score(none)):
+    for made in (pii.detect(none), quality.rate(none, None), license_scan.scan_licenses(none), packing.pack(none), token_edit.plant(none), token_edit.apply_edits(token_edit.plant(none).selectExpr('*', 'NULL AS edits')), unigram.digest(none), lm_score.score(none)):
         assert made.count() == 0
