@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -59,21 +60,28 @@ DOUBT = {"tag": 0.1, "base": 0.4, "more": 0.5}
 
 #: Bytes to words: ASCII letters (lower-cased), ASCII digits and all of non-ASCII stay.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_EXPRESSION = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_WORD = re.compile(rb"[^ ]+")
+#: What follows a tag: a colon, and the expression up to the line's or the comment's end.
+_EXPRESSION = re.compile(rb"[ \t]*:[ \t]*([^\r\n]*?)[ \t]*(?:(?:\*/|-->|[\"'])[^\r\n]*)?(?:[\r\n]|\Z)")
+_TOKEN = re.compile(r"[ \t]*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+:-]*))")
 _RANK = {"OR": 1, "AND": 2, "WITH": 3}
 
 
 def parse_expression(text: str) -> list[str] | None:
-    """A licence expression in postfix order (shunting-yard); None if malformed.
+    """A licence expression in postfix order (shunting-yard); None if malformed: other
+    characters, two licences or two operators in a row, open parentheses.
 
     WITH binds closest, then AND, then OR; operators are left-associative and read in
-    any case. Text after the last complete expression on the line is not looked at
-    when it can't continue the expression (two operands in a row end it)."""
+    any case."""
     out: list[str] = []
     stack: list[str] = []
-    operand_next, depth = True, 0
-    for token in _TOKEN.findall(text):
+    operand_next, depth, at, end = True, 0, 0, len(text.rstrip(" \t"))
+    while at < end:
+        m = _TOKEN.match(text, at)
+        if m is None:
+            return None
+        at = m.end()
+        token = m[1] or m[2]
         op = token.upper()
         if op in _RANK:
             if operand_next:
@@ -84,7 +92,7 @@ def parse_expression(text: str) -> list[str] | None:
             operand_next = True
         elif token == "(":
             if not operand_next:
-                break
+                return None
             stack.append(token)
             depth += 1
         elif token == ")":
@@ -96,7 +104,7 @@ def parse_expression(text: str) -> list[str] | None:
             depth -= 1
         else:
             if not operand_next:
-                break
+                return None
             out.append(token)
             operand_next = False
     if operand_next or depth:
@@ -140,36 +148,46 @@ def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     kinds = {TAG: ("tag", "")} | {p: ("more", x) for p, x in MORE_PHRASES.items()} | {p: ("base", x) for p, x in BASE_PHRASES.items()}
     for phrase, (kind, label) in kinds.items():
-        found.add_word(f" {phrase} ", (kind, label, len(phrase) + 2))
+        found.add_word(f" {phrase} ", (kind, label, phrase.count(" ") + 1))
     found.make_automaton()
     return found
 
 
 def scan(text: bytes | None, allowed: frozenset = PERMISSIVE) -> dict:
     """What a text (UTF-8 bytes; None as empty) says of licences, by places in words."""
-    words = (text or b"").translate(_WORD_BYTES).split()
+    text = text or b""
+    spaced = text.translate(_WORD_BYTES)
+    words = spaced.split()
     plain = f" {b' '.join(words).decode()} "
-    base, labels, kinds = [], set(), set()
-    places = []
+    base, labels, kinds, tags = [], set(), set(), []
+    before, counted = 0, 0
     for end, (kind, label, size) in _automaton().iter(plain):
-        start = plain.count(" ", 0, end - size + 1)
-        kinds.add(kind)
+        # matches come by their ends, so one count of spaces runs along with them
+        before, counted = before + plain.count(" ", counted, end), end
         if kind == "tag":
+            tags.append(before - 1)
             continue
-        places.append((start, start + size, kind, label))
+        kinds.add(kind)
         labels.add(label)
         if kind == "base":
-            base.append((start, label))
+            base.append((before - size, label))
     permitted = None
-    expressions = []
-    if "tag" in kinds:
-        for m in _EXPRESSION.finditer((text or b"").decode()):
-            if postfix := parse_expression(m[1]):
-                expressions.append(" ".join(postfix))
-                labels.update(family(x) for x in operands(postfix))
-                permitted = permitted is not False and evaluate(postfix, allowed.__contains__)
-        if not expressions:
-            kinds.discard("tag")
+    expressions, malformed = [], 0
+    if tags:
+        # an expression ends where the next tag begins, so a line is read once
+        first, last = {t - TAG.count(" ") for t in tags}, set(tags)
+        at = [m.span() for i, m in enumerate(_WORD.finditer(spaced)) if i in first or i in last]
+        stops = [a for a, _ in at[2::2]] + [len(text)]
+        for m in filter(None, map(_EXPRESSION.match, repeat(text), (e for _, e in at[1::2]), stops)):
+            postfix = parse_expression(m[1].decode())
+            if postfix is None:
+                malformed += 1
+                permitted = False
+                continue
+            kinds.add("tag")
+            expressions.append(" ".join(postfix))
+            labels.update(family(x) for x in operands(postfix))
+            permitted = permitted is not False and evaluate(postfix, allowed.__contains__)
     doubt = 1.0
     for kind in kinds:
         doubt *= DOUBT[kind]
@@ -182,6 +200,7 @@ def scan(text: bytes | None, allowed: frozenset = PERMISSIVE) -> dict:
         "labels": ",".join(sorted(labels)),
         "score": round(1.0 - doubt, 6) if kinds else 0.0,
         "expressions": "; ".join(expressions),
+        "n_malformed": malformed,
         "permitted": permitted,
     }
 
@@ -195,9 +214,10 @@ _FIELDS = {
     "labels": pa.string(),
     "score": pa.float64(),
     "expressions": pa.string(),
+    "n_malformed": pa.int64(),
     "permitted": pa.bool_(),
 }
-_DDL = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string, permitted boolean"
+_DDL = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string, n_malformed long, permitted boolean"
 
 
 def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", allowed: Iterable[str] = PERMISSIVE) -> DataFrame:
@@ -205,7 +225,8 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", allowe
 
     `labels` holds base labels and the method's own; `permitted` tells whether every
     tagged expression can be met with `allowed` (null without one); malformed expressions
-    count as none. A null text counts as empty: no words, no labels, score 0. A null key
+    (n_malformed) name no licence and permit nothing. A tag is its three words, however they
+    are joined, with a colon behind. A null text counts as empty: no words, no labels, score 0. A null key
     stays null. Repeated rows give repeated rows; other columns are not returned, so
     their names can't clash. An empty table gives none. One narrow stage, no shuffle."""
     small_batches(df.sparkSession)
