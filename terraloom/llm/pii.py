@@ -2,11 +2,14 @@
 
 Built from DataFrame functions alone: the regular expressions run in the JVM, and no
 row leaves it. The patterns are the plain ones with possessive quantifiers and look-around,
-which keep the same matches but need no deep recursion and no second scan of a run.
+which keep the same matches but need no deep recursion and no second scan of a run. Places
+are running sums over blocks of matches, and context is looked up in pieces of the text, so
+a text with very many matches costs little more than its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +97,47 @@ def _confirmed(kind: str, v: Column) -> Column:
 
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
+_FOUND = "array<struct<kind:string,start:int,end:int,score:double>>"
+#: Characters of the pieces in which context is looked up.
+PIECE = 256
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x evaluated once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _blocks(a: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the array a cut into about as many blocks as each has elements."""
+
+    def cut(a: Column) -> Column:
+        n = F.greatest(F.ceil(F.sqrt(F.size(a))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(a) - 1) / n).cast("int"), F.lit(0))), lambda i: F.slice(a, i * n + 1, n))
+
+    return _let(_let(a, cut), f)
+
+
+def _pushed(a: Column, x: Column) -> Column:
+    return F.concat(a["out"], F.array(x))
+
+
+def _places(steps: Column) -> Column:
+    """Spans of steps (gap, value): a step's place is the sum of what comes before it,
+    within its block and over the blocks before."""
+    wide = lambda x: x["gap"] + F.length(x["value"])
+
+    def one(a: Column, x: Column) -> Column:
+        begin, end = a["at"] + x["gap"], a["at"] + wide(x)
+        return F.struct(end.alias("at"), _pushed(a, F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
+
+    def all_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + wide(x)))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sums, none, lambda a, n: F.struct((a["at"] + n).alias("at"), _pushed(a, a["at"]).alias("out")), lambda a: a["out"])
+        inside = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out")), one, lambda a: a["out"])
+        return F.flatten(F.zip_with(blocks, starts, inside))
+
+    return _blocks(steps, all_blocks)
 
 
 def _matches(t: Column, pattern: str, kind: str) -> Column:
@@ -101,36 +145,69 @@ def _matches(t: Column, pattern: str, kind: str) -> Column:
     and the matches themselves add up to the places."""
     between, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     steps = F.filter(F.zip_with(between, found, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value"))), lambda x: x["value"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    return F.filter(_places(steps), lambda s: _confirmed(kind, s["value"]))
+
+
+def _pieces(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + x["gap"]
-        end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    return F.filter(F.aggregate(steps, start, step, lambda a: a["out"]), lambda s: _confirmed(kind, s["value"]))
+def _look(pieces: Column, at: Column, n: Column | int) -> Column:
+    """n characters (PIECE at most) of the text from a place on."""
+    k = F.floor(at / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit("")))
+    return F.substring(two, at - k * PIECE + 1, F.lit(n) if isinstance(n, int) else n)
+
+
+def _overlaps(s: Column, exact: Column) -> Column:
+    """Whether a span meets one of `exact` (sorted, apart from each other): only the last
+    that begins before its end can, which is found by halving."""
+    rounds = F.sequence(F.lit(0), F.floor(F.log2(F.size(exact) + 1)).cast("int"))
+
+    def halve(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        before = F.get(exact, middle)["start"] < s["end"]
+        go = a["low"] < a["high"]
+        return F.struct(F.when(go & before, middle + 1).otherwise(a["low"]).alias("low"), F.when(go & ~before, middle).otherwise(a["high"]).alias("high"))
+
+    begun = F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(exact).alias("high")), halve, lambda a: a["low"])
+    return F.coalesce(F.get(exact, begun - 1)["end"] > s["start"], F.lit(False))
+
+
+def _ibans(t: Column) -> Column:
+    """IBANs of their country's length, then others; no letter or digit touches one."""
+
+    def both(exact: Column) -> Column:
+        other = F.filter(_matches(t, PATTERNS["iban"], "iban"), lambda s: ~_overlaps(s, exact))
+        return F.array_sort(F.concat(exact, other))
+
+    def alone(found: Column) -> Column:
+        beside = lambda p, s: F.concat_ws(" ", F.when(s["start"] > 0, _look(p, s["start"] - 1, 1)), _look(p, s["end"], 1))
+        return F.when(F.size(found) > 0, _let(_pieces(t), lambda p: F.filter(found, lambda s: ~beside(p, s).rlike("[A-Za-z0-9]")))).otherwise(found)
+
+    return _let(_let(_matches(t, COUNTRIES, "iban"), both), alone)
 
 
 def _spans(t: Column, kind: str) -> Column:
     """All spans of a kind, by start."""
-    kept = _matches(t, PATTERNS[kind], kind)
-    if kind == "iban":  # it stands alone: no letter or digit touches it
-        exact = _matches(t, COUNTRIES, kind)
-        other = F.filter(kept, lambda s: ~F.exists(exact, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
-        kept = F.filter(F.array_sort(F.concat(exact, other)), lambda s: ~F.concat_ws(" ", F.substring(t, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substring(t, s["end"] + 1, F.lit(1))).rlike("[A-Za-z0-9]"))
+    kept = _ibans(t) if kind == "iban" else _matches(t, PATTERNS[kind], kind)
     hint = F.contains(t, F.lit(HINTS[kind])) if kind in HINTS else t.rlike("[0-9]" if kind == "card" else "[0-9]{2}")
     return F.when(hint, kept).otherwise(F.array().cast(_SPANS))
 
 
-def _scored(t: Column, kind: str, spans: Column) -> Column:
-    """Spans with kind and score; context words near a span raise it."""
+def _scored(t: Column, kind: str) -> Column:
+    """Spans of a kind with their scores; context words near a span raise it."""
 
-    def score(s: Column) -> Column:
+    def score(p: Column, s: Column) -> Column:
         first = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        near = F.lower(F.concat_ws(" ", F.substring(t, first + 1, s["start"] - first), F.substring(t, s["end"] + 1, F.lit(CONTEXT))))
+        near = F.lower(F.concat_ws(" ", _look(p, first, s["start"] - first), _look(p, s["end"], CONTEXT)))
         return F.lit(SCORES[kind]) + F.when(near.rlike(rf"(?<![a-z])(?:{WORDS[kind]})(?![a-z])"), RAISE).otherwise(0.0)
 
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(score(s), 2).alias("score")))
+    def listed(spans: Column) -> Column:
+        full = _let(_pieces(t), lambda p: F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(score(p, s), 2).alias("score"))))
+        return F.when(F.size(spans) > 0, full).otherwise(F.array().cast(_FOUND))
+
+    return _let(_spans(t, kind), listed)
 
 
 def detect(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
@@ -141,7 +218,7 @@ def detect(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     are each searched. Extra columns pass through; a column already named `into` is
     replaced. An empty table gives an empty table. One narrow stage, no shuffle."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.withColumn(into, F.concat(*(_scored(t, k, _spans(t, k)) for k in PATTERNS)))
+    return df.withColumn(into, F.concat(*(_scored(t, k) for k in PATTERNS)))
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
@@ -150,14 +227,31 @@ def redact(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
     Overlapping spans are covered by the first's mark; a null text stays null."""
     t = F.col(f"`{text}`")
     ordered = F.array_sort(F.transform(F.col(f"`{spans}`"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        mark = F.when(s["start"] >= a["at"], F.concat(F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], mark).alias("out"))
+    def block(b: Column, last: Column, following: Column) -> Column:
+        """The text from the end of what the spans before cover to a block's own such end,
+        with its marks; the last block goes on to the end of the text."""
+        end = F.greatest(last, F.array_max(F.transform(b, lambda s: s["end"])))
+        own = F.substring(t, last + 1, F.coalesce(F.when(following, end - last), F.length(t)))
+
+        def step(whole: Column) -> Callable[[Column, Column], Column]:
+            def one(a: Column, s: Column) -> Column:
+                mark = F.when(s["start"] >= a["at"], F.concat(F.substring(whole, a["at"] - last + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), _pushed(a, mark).alias("out"))
+
+            return one
+
+        start = F.struct(last.alias("at"), F.array().cast("array<string>").alias("out"))
+        closed = lambda whole: lambda a: F.concat(F.array_join(a["out"], ""), F.substring(whole, a["at"] - last + 1, F.length(whole)))
+        return _let(own, lambda whole: F.aggregate(b, start, step(whole), closed(whole)))
+
+    def whole(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        lasts = F.aggregate(ends, none, lambda a, e: F.struct(F.greatest(a["at"], e).alias("at"), _pushed(a, a["at"]).alias("out")), lambda a: a["out"])
+        return _let(lasts, lambda lasts: F.array_join(F.transform(blocks, lambda b, i: block(b, F.get(lasts, i), i < F.size(blocks) - 1)), ""))
 
-    whole = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return df.withColumn(text, F.when(F.size(F.col(f"`{spans}`")) > 0, whole).otherwise(t))
+    return df.withColumn(text, F.when(F.size(F.col(f"`{spans}`")) > 0, _blocks(ordered, whole)).otherwise(t))
 
 
 def _listed(spans: Column) -> Column:
