@@ -1,9 +1,13 @@
 """SentencePiece-style encoding: Viterbi over a double-array trie of scored pieces.
 
-White space becomes a marker, texts get one marker in front, and the best-scoring
-sequence of pieces is found by dynamic programming. A character that no piece covers is
-spelled in byte pieces. As no piece holds a marker behind another character, texts fall
-apart before markers; parts are encoded one by one and remembered.
+The pieces are a public model's; their log scores are estimated on the corpus itself, as
+that model's are merge ranks: the parts of all documents are counted, and the best paths of
+the distinct parts, at first the shortest ones, are counted anew in each of ROUNDS rounds.
+
+White space becomes a marker, texts get one marker in front, and the best-scoring sequence
+of pieces is found by dynamic programming. A character that no piece covers is spelled in
+byte pieces. As no piece holds a marker behind another character, texts fall apart before
+markers; the distinct parts of a batch are encoded together, as rows of arrays.
 """
 
 from __future__ import annotations
@@ -11,26 +15,34 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, small_batches, table
+from .common import small_batches, table, written
 
 MARK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: How far an uncovered character scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Parts that a task remembers.
-REMEMBERED = 1_000_000
+#: Times that scores are estimated, and what is added to each count.
+ROUNDS, ADDED = 2, 0.5
+#: Parts of up to SHORT bytes are encoded together, ROWS at a time; longer ones one by one.
+SHORT, ROWS = 64, 16_384
+#: Distinct parts that a task counts before it passes its counts on, and their bytes.
+DISTINCT, DISTINCT_BYTES = 300_000, 1 << 24
 
 _PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Stands between parts while a batch is split; texts that hold it are split one by one.
+_CUT = "\x01"
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -131,64 +143,44 @@ class DoubleArray:
 
 
 class Unigram:
-    """Encoder and decoder of a set of scored pieces."""
-
-    def __init__(self, pieces: list[tuple[str, float, int]]):
-        normal = [s for _, s, k in pieces if k == NORMAL]
-        self.scores = [s for _, s, _ in pieces]
-        self.trie = DoubleArray({p.encode(): i for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, USER)})
-        best = max(normal, default=0.0)
-        for i, (p, _, k) in enumerate(pieces):
-            if k == USER:
-                self.scores[i] = len(p) * best - 0.1
+    """Encoder and decoder of a set of pieces under given log scores by id (None: every
+    normal piece scores -1, so that the shortest path is best)."""
+
+    def __init__(self, pieces: list[tuple[str, float, int]], scores: np.ndarray | None = None):
+        self.kinds = np.array([k for _, _, k in pieces])
+        self.normal = self.kinds == NORMAL
+        self.trie = _trie(tuple((p, k) for p, _, k in pieces))
+        self.scores = np.where(self.normal, -1.0, 0.0) if scores is None else np.array(scores, np.float64)
+        best, worst = (self.scores[self.normal].max(), self.scores[self.normal].min()) if self.normal.any() else (0.0, 0.0)
+        for i in np.nonzero(self.kinds == USER)[0]:
+            self.scores[i] = len(pieces[i][0]) * best - 0.1
+        self.unknown_score = worst - UNKNOWN_PENALTY
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
-        self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
-        self.unknown_score = min(normal, default=0.0) - UNKNOWN_PENALTY
-        self.texts = [p.replace(MARK, " ") if k in (NORMAL, USER, UNUSED) else "" if k != UNKNOWN else " ⁇ " for p, _, k in pieces]
         self.bytes_of = {i: v for v, i in self.byte_ids.items()}
-        self.memory: dict[str, tuple[tuple[int, ...], float, int]] = {}
-
-    def part(self, text: str) -> tuple[tuple[int, ...], float, int]:
-        """Ids, score and number of byte pieces of a text whose white space is marked."""
-        found = self.memory.get(text)
-        if found is None:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            found = self.memory[text] = self._viterbi(text.encode())
-        return found
-
-    def _viterbi(self, b: bytes) -> tuple[tuple[int, ...], float, int]:
-        """Best path; of equal ones the piece that begins first (the longest) wins."""
+        self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
+        self.texts = [bytes([self.bytes_of[i]]) if k == BYTE else (p.replace(MARK, " ") if k in (NORMAL, USER, UNUSED) else "" if k != UNKNOWN else " ⁇ ").encode() for i, (p, _, k) in enumerate(pieces)]
+        self.spelled = np.array([self.byte_ids.get(x, self.unknown) for x in range(256)])
+        self.arrays = tuple(np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value))
+
+    def one(self, b: bytes) -> tuple[list[int], float, int]:
+        """Ids, score and number of byte pieces of one part's best path; of equal ones the
+        piece that begins first (the longest) wins."""
         n = len(b)
-        best: list[float | None] = [None] * (n + 1)
+        best = [-np.inf] * (n + 1)
         best[0] = 0.0
         came: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         i = 0
         while i < n:
-            here = best[i]
             first = b[i]
             width = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-            state, j, single = 0, i, False
-            while j < n:
-                after = base[state] + b[j] + 1
-                if check[after] != state:
-                    break
-                state = after
-                j += 1
-                v = value[state]
-                if v >= 0:
-                    s = here + scores[v]
-                    if best[j] is None or s > best[j]:
-                        best[j] = s
-                        came[j] = (i, v)
-                    if j == i + width:
-                        single = True
-            if not single:
-                s, j = here + self.unknown_score, i + width
-                if best[j] is None or s > best[j]:
-                    best[j] = s
-                    came[j] = (i, -1)
+            single = False
+            for j, v in self.trie.prefixes(b, i):
+                s = best[i] + float(self.scores[v])
+                if s > best[j]:
+                    best[j], came[j] = s, (i, v)
+                single |= j == i + width
+            if not single and (s := best[i] + self.unknown_score) > best[i + width]:
+                best[i + width], came[i + width] = s, (i, -1)
             i += width
         out: list[int] = []
         fallback, at = 0, n
@@ -202,44 +194,142 @@ class Unigram:
             else:
                 out.append(self.unknown)
             at = start
-        return tuple(out[::-1]), best[n], fallback
-
-    def encode(self, text: str) -> tuple[list[int], float, int]:
-        """Ids, score and number of byte pieces of a whole text; none of an empty one."""
-        if not text:
-            return [], 0.0, 0
-        words = text.split(" ")
-        if "" in words or MARK in text:
-            parts = _PART.findall(MARK + text.replace(" ", MARK))
-        else:
-            parts = [MARK + w for w in words]
-        found = list(map(self.part, parts))
-        return list(chain.from_iterable(x[0] for x in found)), sum(x[1] for x in found), sum(x[2] for x in found)
+        return out[::-1], float(best[n]), fallback
+
+    def _together(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What one() gives for each of some short parts: all ids, ids by part, scores, byte
+        pieces. Positions are gone through in order, each for all parts at once."""
+        base, check, value = self.arrays
+        n, sizes = len(parts), np.array([len(p) for p in parts])
+        most = int(sizes.max(initial=0))
+        text = np.zeros((n, most + 4), np.uint8)
+        text[np.arange(most + 4) < sizes[:, None]] = np.frombuffer(b"".join(parts), np.uint8)
+        width = 1 + (text >= 0xC0).astype(np.int8) + (text >= 0xE0) + (text >= 0xF0)
+        best = np.full((n, most + 4), -np.inf)
+        best[:, 0] = 0.0
+        start, piece = np.zeros((n, most + 4), np.int32), np.zeros((n, most + 4), np.int32)
+
+        def offer(rows: np.ndarray, i: int, j: np.ndarray | int, s: np.ndarray, v: np.ndarray | int) -> None:
+            better = s > best[rows, j]
+            pick = lambda x: x[better] if isinstance(x, np.ndarray) else x
+            at = (rows[better], pick(j))
+            best[at], start[at], piece[at] = s[better], i, pick(v)
+
+        for i in range(most):
+            begun = np.nonzero((sizes > i) & ((text[:, i] & 0xC0) != 0x80))[0]
+            single = np.zeros(n, bool)
+            rows, state, j = begun, np.zeros(len(begun), np.int32), i
+            while len(rows):
+                after = base[state] + text[rows, j] + 1
+                ok = (check[after] == state) & (sizes[rows] > j) & (after > 0)
+                rows, state, j = rows[ok], after[ok], j + 1
+                v = value[state]
+                hit = v >= 0
+                found, v = rows[hit], v[hit]
+                offer(found, i, j, best[found, i] + self.scores[v], v)
+                single[found[width[found, i] == j - i]] = True
+            left = begun[~single[begun]]
+            offer(left, i, i + width[left, i], best[left, i] + self.unknown_score, -1)
+        rows, at = np.arange(n), sizes.copy()
+        steps = []
+        while True:
+            on = at[rows] > 0
+            rows = rows[on]
+            if not len(rows):
+                break
+            end = at[rows]
+            at[rows] = start[rows, end]
+            steps.append((rows, at[rows], end, piece[rows, end]))
+        if not steps:
+            return np.empty(0, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
+        row, begin, end, v = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.lexsort((begin, row))
+        row, begin, end, v = row[order], begin[order], end[order], v[order]
+        spell = (v < 0) & (len(self.byte_ids) == 256)
+        many = np.where(spell, end - begin, 1)
+        of = np.repeat(np.arange(len(v)), many)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        ids = np.where(v[of] >= 0, v[of], np.where(spell[of], self.spelled[text[row[of], np.minimum(begin[of] + within, most)]], self.unknown))
+        return ids, np.bincount(row, many, n).astype(np.int64), best[np.arange(n), sizes], np.bincount(row, spell * many, n).astype(np.int64)
+
+    def segment(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of some parts in their order; numbers of ids, scores and byte pieces."""
+        sizes = np.array([len(p) for p in parts], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        short = int(np.searchsorted(sizes[order], SHORT, "right"))
+        found = [self._together([parts[k] for k in order[i : min(i + ROWS, short)]]) for i in range(0, short, ROWS)]
+        for k in order[short:]:
+            ids, score, fallback = self.one(parts[k])
+            found.append((np.array(ids, np.int64), np.array([len(ids)]), np.array([score]), np.array([fallback])))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        ids, count, score, fallback = (np.concatenate(x) for x in zip(*found, strict=True))
+        back = np.argsort(order, kind="stable")
+        begin = np.cumsum(count) - count
+        return ids[_spread(begin[back], count[back])], count[back], score[back], fallback[back]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of some texts (a string array without nulls) in order; numbers of ids,
+        scores and byte pieces by text."""
+        parts, number = split(texts)
+        coded = parts.dictionary_encode()
+        ids, count, score, fallback = self.segment(coded.dictionary.cast(pa.binary()).to_pylist())
+        which = coded.indices.to_numpy()
+        begin = np.cumsum(count) - count
+        owner = np.repeat(np.arange(len(number)), number)
+        total = lambda x: np.bincount(owner, x[which], len(number))
+        return ids[_spread(begin[which], count[which])], total(count).astype(np.int64), total(score).astype(np.float64), total(fallback).astype(np.int64)
+
+    def join(self, ids: np.ndarray, count: np.ndarray) -> pa.Array:
+        """The bytes of each run of ids, markers as spaces, the front one included."""
+        offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(self.texts, pa.binary()).take(pa.array(ids))), b"")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces join to characters (bad ones become U+FFFD),
-        markers to spaces; the marker in front goes."""
-        if self.bytes_of.keys().isdisjoint(ids):
-            text = "".join(map(self.texts.__getitem__, ids))
-        else:
-            out: list[str] = []
-            run = bytearray()
-            for i in ids:
-                if i in self.bytes_of:
-                    run.append(self.bytes_of[i])
-                    continue
-                if run:
-                    out.append(run.decode(errors="replace"))
-                    run = bytearray()
-                out.append(self.texts[i])
-            text = "".join(out) + run.decode(errors="replace")
+        markers to spaces; the marker in front goes. Ids that name no piece become U+FFFD,
+        nulls nothing."""
+        bad = "\ufffd".encode()
+        text = b"".join(self.texts[i] if 0 <= i < len(self.texts) else bad for i in ids if i is not None).decode(errors="replace")
         return text[1:] if text[:1] == " " else text
 
 
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... (count of them) of each run, one after another."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The parts of some texts (no nulls), marked, in order, and their number by text."""
+    odd = np.nonzero(pc.match_substring(texts, _CUT).to_numpy(zero_copy_only=False))[0]
+    marked = pc.binary_join_element_wise(MARK, pc.replace_substring(texts, " ", MARK), "")
+    lists = pc.split_pattern(pc.replace_substring_regex(marked, f"([^{MARK}]){MARK}", rf"\1{_CUT}{MARK}"), _CUT)
+    parts, number = lists.flatten(), lists.value_lengths().to_numpy().copy()
+    empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+    if len(odd) or empty.any():
+        listed = lists.to_pylist()
+        for i in odd:
+            listed[i] = _PART.findall(marked[i].as_py())
+        for i in np.nonzero(empty)[0]:
+            listed[i] = []
+        parts = pa.array([p for x in listed for p in x], pa.string())
+        number = np.array([len(x) for x in listed], np.int64)
+    return parts, number
+
+
+@cache
+def _trie(pieces: tuple[tuple[str, int], ...]) -> DoubleArray:
+    return DoubleArray({p.encode(): i for i, (p, k) in enumerate(pieces) if k in (NORMAL, USER)})
+
+
 @cache
-def model(path: str) -> Unigram:
-    """The encoder of a model file, built once in each worker."""
-    return Unigram(read_pieces(path))
+def _pieces(path: str) -> list[tuple[str, float, int]]:
+    return read_pieces(path)
+
+
+def model(path: str, scores: np.ndarray | None = None) -> Unigram:
+    """The encoder of a model file's pieces under scores; the trie is built once a worker."""
+    return Unigram(_pieces(path), scores)
 
 
 def _path(path: str) -> str:
@@ -248,62 +338,130 @@ def _path(path: str) -> str:
     return path or public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "") -> DataFrame:
-    """(key, ids: array<int>, score) of each row's whole text. Null and empty texts have
-    no ids and score 0; repeated rows are encoded each; other columns are not returned."""
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    return pc.fill_null(batch.column("_text").cast(pa.string()), "")
+
+
+def count_parts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(part, n) over all texts; tasks count first what they read."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["part", "n"])
+
+        held: Counter = Counter()
+        size = 0
+        for b in batches:
+            found = pc.value_counts(split(_texts(b))[0])
+            for part, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
+                size += 0 if part in held else len(part)
+                held[part] += n
+            if len(held) > DISTINCT or size > DISTINCT_BYTES:
+                yield out()
+                held, size = Counter(), 0
+        if held:
+            yield out()
+
+    return df.select(df[text].alias("_text")).mapInArrow(run, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+
+
+def count_pieces(parts: DataFrame, path: str, scores: np.ndarray | None) -> np.ndarray:
+    """How often each piece is in the best paths of counted parts; a row a piece comes to
+    the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = model(path, scores)
+        total = np.zeros(len(encoder.scores), np.int64)
+        for b in batches:
+            ids, count, _, _ = encoder.segment(b.column("part").cast(pa.binary()).to_pylist())
+            np.add.at(total, ids, np.repeat(b.column("n").to_numpy(), count))
+        some = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
+
+    out = np.zeros(len(_pieces(path)), np.int64)
+    for r in parts.mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        out[r["piece"]] = r["n"]
+    return out
+
+
+def estimate(df: DataFrame, text: str = "text", path: str = "", rounds: int = ROUNDS) -> np.ndarray:
+    """Log scores by id of the normal pieces of a model file, from all texts of df: the
+    smoothed shares of their counts in the best paths. They don't depend on how df is dealt
+    out. Null and empty texts add nothing; without any text all scores are equal."""
+    path = _path(path)
+    parts = written(count_parts(df, text), compression="zstd")
+    normal = np.array([k == NORMAL for _, _, k in _pieces(path)])
+    scores = None
+    for _ in range(rounds):
+        n = np.where(normal, count_pieces(parts, path, scores), 0)
+        scores = np.where(normal, np.log((n + ADDED) / (n.sum() + ADDED * normal.sum())), 0.0)
+    return scores
+
+
+def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "", scores: np.ndarray | None = None) -> DataFrame:
+    """(key, ids: array<int>, score) of each row's whole text, under scores (estimated on df
+    if not given). Null and empty texts have no ids and score 0; repeated rows are encoded
+    each; other columns are not returned. An empty table gives none."""
     small_batches(df.sparkSession)
     path = _path(path)
+    scores = estimate(df, text, path) if scores is None else scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = model(path, scores)
         for b in batches:
-            for _, texts in rows_of([b], "_key", "_text"):
-                found = [model(path).encode((t or b"").decode()) for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.float64())], [key, "ids", "score"])
+            ids, count, score, _ = encoder.encode(_texts(b))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))), pa.array(score)], [key, "ids", "score"])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType())])
     return df.select(df[key].alias("_key"), df[text].alias("_text")).mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = "") -> DataFrame:
-    """(key, text) of each row's ids; a null array gives an empty text."""
+    """(key, text) of each row's ids; a null array gives an empty text, an id that names no
+    piece U+FFFD, a null id nothing. Repeated rows are decoded each; an empty table gives
+    none."""
     path = _path(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = model(path).decode
         for b in batches:
-            texts = [model(path).decode(x or []) for x in b.column("_ids").to_pylist()]
+            texts = [decode(x or []) for x in b.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(texts, pa.string())], [key, "text"])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("text", T.StringType())])
     return df.select(df[key].alias("_key"), df[ids].alias("_ids")).mapInArrow(run, schema)
 
 
-def digest(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "") -> DataFrame:
-    """(key, n_pieces, n_byte_pieces, score, ids_crc32, round_trip) of each row.
+def digest(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "", scores: np.ndarray | None = None) -> DataFrame:
+    """(key, n_pieces, n_byte_pieces, score, ids_crc32, round_trip) of each row, under scores
+    (estimated on df if not given).
 
     ids_crc32 is taken over the ids as little-endian unsigned 32-bit numbers; round_trip
-    tells whether decoding gives the text back (not where it holds the marker itself, or
-    begins in a way that the front marker swallows). A null text counts as empty. An
-    empty table gives none. One narrow stage."""
+    tells whether decoding gives the text back (not where it holds the marker itself). A
+    null text counts as empty. Repeated rows are encoded each; other columns are not
+    returned. An empty table gives none."""
     small_batches(df.sparkSession)
     path = _path(path)
+    scores = estimate(df, text, path) if scores is None else scores
     names = ["n_pieces", "n_byte_pieces", "score", "ids_crc32", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = model(path, scores)
         for b in batches:
-            rows = []
-            for _, texts in rows_of([b], "_key", "_text"):
-                for t in texts:
-                    whole = (t or b"").decode()
-                    ids, score, fallback = model(path).encode(whole)
-                    rows.append((len(ids), fallback, score, zlib.crc32(np.array(ids, "<u4").tobytes()), model(path).decode(ids) == whole))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("_key"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [key, *names])
+            texts = _texts(b)
+            ids, count, score, fallback = encoder.encode(texts)
+            flat, ends = ids.astype("<u4"), np.cumsum(count)
+            crc = [zlib.crc32(flat[e - n : e].tobytes()) for e, n in zip(ends, count, strict=True)]
+            front = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
+            same = pc.equal(encoder.join(ids, count), front.cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(count), pa.array(fallback), pa.array(np.round(score, 6)), pa.array(crc, pa.int64()), same], [key, *names])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *T._parse_datatype_string("n_pieces long, n_byte_pieces long, score double, ids_crc32 long, round_trip boolean").fields])
     return df.select(df[key].alias("_key"), df[text].alias("_text")).mapInArrow(run, schema)
 
 
 def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of documents in pieces and back."""
+    """Every whole text of documents in pieces and back, under scores from all of them."""
     return digest(table(spark, sf_dir, "documents"))
