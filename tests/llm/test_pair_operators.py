@@ -197,11 +197,47 @@ def test_audit_counts_true_links_and_adds_none(spark, monkeypatch):
     assert nn_descent._audit(df, "<f4", 0.9).count() >= 20
     got = near(spark, x)
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want and got[0]["audit_recall"] == 1.0
-    # a graph that finds nothing is not answered by the audit's own links
+    monkeypatch.setattr(nn_descent, "ASKED", 64)
+    assert nn_descent._audit(df, "<f4", 0.9).select("node").distinct().count() <= 64
+
+
+def test_near_duplicates_when_the_graph_finds_nothing(spark, monkeypatch):
+    """The exact way after the last attempt: all nodes in blocks, here of few rows."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([linked_groups(rng, 8), rng.normal(size=(200, 64))])
     monkeypatch.setattr(nn_descent, "ATTEMPTS", 1)
-    monkeypatch.setattr(nn_descent, "_start", lambda nodes, *_: nodes.sparkSession.createDataFrame([], "node long, nbr long, cos double, inside boolean"))
-    with pytest.raises(RuntimeError, match="audited links"):
-        near(spark, np.concatenate([x[:12], x[-12:]]))
+    monkeypatch.setattr(nn_descent, "BLOCK", 32)
+
+    def nothing(nodes, *_):
+        none = written(nodes.sparkSession.createDataFrame([], nn_descent.EDGE))
+        return none, written(none)
+
+    monkeypatch.setattr(nn_descent, "_start", nothing)
+    got = near(spark, x)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute_vectors(x) and got[0]["audit_recall"] == 1.0
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_near_duplicates_of_thousands_with_many_links(spark, monkeypatch, block):
+    """Chains, dense groups and pairs: 2,600 vectors and thousands of links; the audit sees
+    one of them, regions are dealt to few or many blocks."""
+    monkeypatch.setattr(nn_descent, "AUDIT", 1)
+    monkeypatch.setattr(nn_descent, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    turn, _ = np.linalg.qr(rng.normal(size=(32, 32)))
+    chain = []
+    for k in range(0, 30, 2):  # a long chain that turns from axis to axis
+        for a in np.linspace(0, np.pi / 2, 30)[:-1]:
+            chain.append(turn[k] * np.cos(a) + turn[k + 1] * np.sin(a))
+        for a in np.linspace(0, np.pi / 2, 30)[:-1]:
+            chain.append(turn[k + 1] * np.cos(a) + turn[(k + 2) % 32] * np.sin(a))
+    base = rng.normal(size=(1300, 32))
+    dense = base[0] + 0.2 * rng.normal(size=(200, 32))
+    x = np.concatenate([base, dense, chain, base[5:80] + 0.1 * rng.normal(size=(75, 32)), base[100:160]])
+    want = brute_vectors(x)
+    assert sum(n for n, _ in want.values()) > 10_000
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near(spark, x)}
+    assert got == want
 
 
 def test_pipeline_stages_match_brute_force(spark):

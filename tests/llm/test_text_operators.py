@@ -28,6 +28,12 @@ def rows(df, key="doc_id"):
     return out
 
 
+def seconds(f):
+    began = time.perf_counter()
+    f()
+    return time.perf_counter() - began
+
+
 # ------------------------------------------------------------------ personal data
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -98,6 +104,37 @@ def test_pii_ibans_before_words_and_spaced_cards(spark):
     assert [s["kind"] for s in got[len(texts)][0]["pii"]] == ["card"]
 
 
+def test_pii_many_spans(spark):
+    rng = random.Random(13)
+    ibans = ["ES91 2100 0418 4502 0005 1332", "DE89370400440532013000", "XX00 1234 5678 9012", "GB82WEST12345698765432"]
+    bits = ["a@b.cc", "1.2.3.4", "+1 269 555 3296", "4111 1111 1111 1111", *ibans, "é", "😀 x", "word " * 60, " mail ", " "]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", ", ", ""]) for _ in range(n)) for n in (1, 2, 3, 17, 90, 400, 1200)]
+    df = pii.detect(frame(spark, texts)).cache()
+    found, masked = rows(df), rows(pii.redact(df))
+    for i, t in enumerate(texts):
+        spans = found[i][0]["pii"]
+        assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in spans if s["kind"] in pii.BASE] == base_spans(t)
+        out, at = [], 0
+        for s in sorted(spans, key=lambda s: (s["start"], s["end"], s["kind"])):
+            near = f"{t[max(0, s['start'] - 48) : s['start']]} {t[s['end'] : s['end'] + 48]}".lower()
+            raised = re.search(rf"(?<![a-z])(?:{pii.WORDS[s['kind']]})(?![a-z])", near) is not None
+            assert abs(s["score"] - pii.SCORES[s["kind"]] - 0.2 * raised) < 1e-9
+            out.append(t[at : s["start"]] + f"<{s['kind'].upper()}>" if s["start"] >= at else "")
+            at = max(at, s["end"])
+        assert masked[i][0]["text"] == "".join(out) + t[at:]
+    assert sum(s["kind"] == "iban" for g in found.values() for s in g[0]["pii"]) > 200
+
+
+def test_pii_cost_follows_the_number_of_spans(spark):
+    def run(n):
+        df = frame(spark, ["a@b.cc 1.2.3.4 DE89370400440532013000 " * n])
+        return seconds(lambda: pii.redact(pii.detect(df)).selectExpr("sum(length(text))").collect())
+
+    run(10)
+    short, long = (min(run(n) for _ in range(2)) for n in (2_000, 8_000))
+    assert long < 8 * short + 1
+
+
 def test_pii_sql_twin_on_odd_texts(spark, tmp_path):
     import duckdb
 
@@ -213,6 +250,10 @@ def test_licence_places(spark):
         ("(MIT", None, None),
         ("MIT)", None, None),
         ("", None, None),
+        ("MIT/GPL-3.0-only", None, None),
+        ("MIT GPL-3.0", None, None),
+        ("MIT (GPL-3.0)", None, None),
+        ("MIT AND OR BSD", None, None),
     ],
 )
 def test_licence_expressions(text, postfix, permitted):
@@ -221,6 +262,66 @@ def test_licence_expressions(text, postfix, permitted):
         assert license_scan.evaluate(postfix, license_scan.PERMISSIVE.__contains__) is permitted
 
 
+def brute_value(text, allowed):
+    """An expression's value by recursive descent: another way than the shunting-yard."""
+    tokens = re.findall(r"[()]|[^\s()]+", text)
+
+    def level(k):
+        if k == 3:
+            t = tokens.pop(0)
+            if t == "(":
+                v = level(0)
+                assert tokens.pop(0) == ")"
+                return v
+            return license_scan.family(t) in allowed
+        v = level(k + 1)
+        while tokens and tokens[0].upper() == ("OR", "AND", "WITH")[k]:
+            tokens.pop(0)
+            w = level(k + 1)
+            v = (v or w, v and w, v)[k]
+        return v
+
+    v = level(0)
+    assert not tokens
+    return v
+
+
+def test_licence_values_against_recursive_descent():
+    rng = random.Random(20)
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["MIT", "GPL-3.0-only", "BSD-3-Clause", "Apache-2.0", "LGPL-2.1+"])
+        a, op, b = make(depth - 1), rng.choice(["AND", "OR", "or", "With"]), make(depth - 1)
+        return f"({a} {op} {b})" if rng.random() < 0.5 else f"{a} {op} {b}"
+
+    for _ in range(500):
+        e = make(4)
+        assert license_scan.evaluate(license_scan.parse_expression(e), license_scan.PERMISSIVE.__contains__) is brute_value(e, license_scan.PERMISSIVE)
+
+
+def test_licence_tags_come_from_the_automaton(spark):
+    texts = [
+        "SPDX License Identifier: MIT", "spdx-license-identifier : Apache-2.0 */ int x;", "// SPDX-License-Identifier: MIT/GPL-3.0-only", "é <!-- SPDX-License-Identifier: MIT -->",
+        "the spdx license identifier is a tag", "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: GPL-2.0-only\r\nmit license", "spdx license identifierx: MIT", "SPDX-License-Identifier:",
+    ]
+    got = rows(license_scan.scan_licenses(frame(spark, [*texts, texts[0], None, ""])))
+    view = [(g["labels"], g["expressions"], g["n_malformed"], g["permitted"], g["score"]) for g in (got[i][0] for i in range(11))]
+    nothing = ("", "", 0, None, 0.0)
+    assert view == [
+        ("mit", "MIT", 0, True, 0.9), ("apache", "Apache-2.0", 0, True, 0.9), ("", "", 1, False, 0.0), ("mit", "MIT", 0, True, 0.9),
+        nothing, ("gpl,mit", "MIT; GPL-2.0-only", 0, False, 0.96), nothing, ("", "", 1, False, 0.0), ("mit", "MIT", 0, True, 0.9), nothing, nothing,
+    ]
+
+
+def test_licence_scan_is_linear():
+    for end in (b"\n", b" "):
+        text = b"mit license gnu general public license spdx-license-identifier: MIT" + end
+        short, long = (min(seconds(lambda n=n: license_scan.scan(text * n)) for _ in range(2)) for n in (4_000, 16_000))
+        assert long < 8 * short + 0.2
+        assert license_scan.scan(text * 16_000)["n_base"] == 32_000
+
+
 # ------------------------------------------------------------------ packing
 def tokenizer():
     import public_tokenizers
@@ -384,12 +485,6 @@ def test_token_edit_against_encoding_anew(spark):
     assert len(made) == 200 and all(r[0]["n_reencoded"] > 0 for r in made.values())
 
 
-def seconds(f):
-    began = time.perf_counter()
-    f()
-    return time.perf_counter() - began
-
-
 def test_an_edit_of_a_text_of_twice_the_length_encodes_no_more():
     import public_tokenizers
 
@@ -402,43 +497,88 @@ def test_an_edit_of_a_text_of_twice_the_length_encodes_no_more():
 
 
 # ------------------------------------------------------------------ unigram pieces
-def test_unigram_is_the_best_path(spark):
-    import public_tokenizers
+def brute_path(pieces, scores, byte_ids, unknown, b):
+    """Best score, ids and ids of one part, from a plain dictionary of pieces."""
+    best = [(0.0, ())] + [None] * len(b)
+    for i in range(len(b)):
+        if best[i] is None:
+            continue
+        found = [j for j in range(i + 1, len(b) + 1) if b[i:j] in pieces]
+        width = len(b[i : i + 4].decode(errors="ignore")[:1].encode())
+        options = [(j, scores[pieces[b[i:j]]], (pieces[b[i:j]],)) for j in found]
+        if i + width not in found:
+            options.append((i + width, unknown, tuple(byte_ids[x] for x in b[i : i + width])))
+        for j, s, ids in options:
+            if best[j] is None or best[i][0] + s > best[j][0]:
+                best[j] = (best[i][0] + s, best[i][1] + ids)
+    return best[-1]
+
+
+def brute_parts(text):
+    return re.findall(f"{unigram.MARK}*[^{unigram.MARK}]+|{unigram.MARK}+", unigram.MARK + text.replace(" ", unigram.MARK)) if text else []
+
+
+UNIGRAM = [None, "", " ", "the cat sat", "  two  spaces ", "cats and\ttabs\n\nthe end", "é中😀▁x ▁", "one\x01two three", "zqx" * 40, "the the the information"]
+
+
+def test_unigram_scores_and_paths_against_brute_force(spark):
     import sentencepiece
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    m = unigram.model(path)
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    path = unigram._path("")
+    listed = unigram.read_pieces(path)
+    pieces = {p.encode(): i for i, (p, _, k) in enumerate(listed) if k == unigram.NORMAL}
+    byte_ids = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(listed) if k == unigram.BYTE}
     rng = random.Random(6)
+    texts = UNIGRAM + ["".join(rng.choice(" ab\n\té中😀▁.the'") for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+    df = frame(spark, [*texts, texts[3]])
+    counted = {}
+    for t in [*texts, texts[3]]:
+        for p in brute_parts(t or ""):
+            counted[p] = counted.get(p, 0) + 1
+    assert {r["part"]: r["n"] for r in unigram.count_parts(df.repartition(3)).collect()} == counted
+    scores = dict.fromkeys(pieces.values(), -1.0)
+    for _ in range(unigram.ROUNDS):
+        seen = dict.fromkeys(pieces.values(), 0)
+        unknown = min(scores.values()) - unigram.UNKNOWN_PENALTY
+        for p, n in counted.items():
+            for i in brute_path(pieces, scores, byte_ids, unknown, p.encode())[1]:
+                if i in seen:
+                    seen[i] += n
+        total = sum(seen.values()) + unigram.ADDED * len(seen)
+        scores = {i: float(np.log((n + unigram.ADDED) / total)) for i, n in seen.items()}
+    got = unigram.estimate(df)
+    assert max(abs(got[i] - s) for i, s in scores.items()) < 1e-9
+    assert (got == unigram.estimate(df.repartition(7))).all()
+
+    unknown = min(scores.values()) - unigram.UNKNOWN_PENALTY
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    enc = rows(unigram.encode_texts(df))
+    short = unigram.model(path, got)
+    for i, t in enumerate(texts):
+        want = [brute_path(pieces, scores, byte_ids, unknown, p.encode()) for p in brute_parts(t or "")]
+        ids = enc[i][0]["ids"]
+        assert abs(enc[i][0]["score"] - sum(s for s, _ in want)) < 1e-6 * max(1, abs(enc[i][0]["score"]))
+        assert ids == [x for _, y in want for x in y] and short.decode(ids) == sp.decode(ids)
+        assert ids == [x for p in brute_parts(t or "") for x in short.one(p.encode())[0]]
+    back = rows(unigram.decode_ids(unigram.encode_texts(df)))
+    assert [back[i][0]["text"] for i in range(len(UNIGRAM)) if unigram.MARK not in (UNIGRAM[i] or "")] == [t or "" for t in UNIGRAM if unigram.MARK not in (t or "")]
 
-    def brute(b):
-        best = [(0.0, ())] + [None] * len(b)
-        for i in range(len(b)):
-            if best[i] is None:
-                continue
-            found = list(m.trie.prefixes(b, i))
-            width = len(b[i : i + 4].decode(errors="ignore")[:1].encode())
-            options = [(j, m.scores[v], (v,)) for j, v in found]
-            if i + width not in [j for j, _ in found]:
-                options.append((i + width, m.unknown_score, tuple(m.byte_ids[x] for x in b[i : i + width])))
-            for j, s, ids in options:
-                if best[j] is None or best[i][0] + s > best[j][0]:
-                    best[j] = (best[i][0] + s, best[i][1] + ids)
-        return best[-1]
 
-    for _ in range(300):
-        t = "".join(rng.choice(" ab\n\té中😀▁.the'") for _ in range(rng.randrange(1, 30)))
-        ids, score, _ = m.encode(t)
-        want = brute((unigram.MARK + t.replace(" ", unigram.MARK)).encode())
-        assert abs(score - want[0]) <= 1e-6 * abs(want[0]) and m.decode(ids) == sp.decode(ids)
-        if unigram.MARK not in t:
-            assert m.decode(ids) == t
-    df = frame(spark, ODD)
-    enc = unigram.encode_texts(df)
-    back = rows(unigram.decode_ids(enc))
-    assert [back[i][0]["text"] for i in range(len(ODD))] == [t or "" for t in ODD]
-    d = rows(unigram.digest(df))
+def test_unigram_odd_rows(spark):
+    d = rows(unigram.digest(frame(spark, [*ODD, ODD[5]])))
     assert d[0][0]["n_pieces"] == 0 and d[5][0]["n_byte_pieces"] > 0 and all(d[i][0]["round_trip"] for i in range(len(ODD)))
+    assert {k: v for k, v in d[5][0].items() if k != "doc_id"} == {k: v for k, v in d[len(ODD)][0].items() if k != "doc_id"}
+    odd = spark.createDataFrame([(1, [-5, 40_000, None], "x"), (1, [-5, 40_000, None], "x"), (None, None, "y")], "doc_id long, ids array<int>, text string")
+    assert sorted(((r["doc_id"], r["text"]) for r in unigram.decode_ids(odd).collect()), key=str) == [(1, "\ufffd\ufffd"), (1, "\ufffd\ufffd"), (None, "")]
+    assert unigram.decode_ids(odd.limit(0)).count() == 0 and unigram.encode_texts(odd.limit(0)).count() == 0
+    assert len(set(unigram.estimate(frame(spark, [None, ""]))[300:])) == 1
+
+
+def test_unigram_takes_fewer_bits_than_the_first_scores(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole, once = unigram.estimate(docs), unigram.estimate(docs, rounds=1)
+    total = lambda s: unigram.encode_texts(docs, scores=s).selectExpr("sum(score)").first()[0]
+    assert total(whole) >= total(once)
 
 
 def test_double_array_finds_all_prefixes():
@@ -452,42 +592,112 @@ def test_double_array_finds_all_prefixes():
 
 
 # ------------------------------------------------------------------ language model
+def lm_text(rng, n):
+    out = []
+    for _ in range(n):
+        a = rng.randrange(20)
+        out += [f"w{a}", f"w{20 + a}", f"w{a}"]  # the middle word follows from either side
+    return " ".join(out)
+
+
 def test_lm_learns_both_sides(spark):
     rng = random.Random(8)
-    names = [f"w{i}" for i in range(40)]
-
-    def text(n):
-        out = []
-        for _ in range(n):
-            a = rng.randrange(20)
-            out += [names[a], names[20 + a], names[a]]  # the middle word follows from either side
-        return " ".join(out)
-
-    train = [text(120) for _ in range(60)]
-    df = frame(spark, train + ODD, 0)
-    got = rows(lm_score.score(df))
+    train = [lm_text(rng, 120) for _ in range(120)]
     shuffled = " ".join(rng.sample(train[0].split(), len(train[0].split())))
-    both = rows(lm_score.score(frame(spark, train + [shuffled])))
-    assert both[0][0]["mean_log_likelihood"] > both[60][0]["mean_log_likelihood"] + 0.5
-    assert got[60][0]["log_likelihood"] == 0 and got[60][0]["mean_log_likelihood"] is None and got[64][0]["n_tokens"] == 30_000
+    got = rows(lm_score.score(frame(spark, [*train, shuffled, *ODD, train[0]]), min_count=30))
+    assert got[0][0]["mean_log_likelihood"] > got[120][0]["mean_log_likelihood"] + 0.5
+    assert got[121][0]["log_likelihood"] == 0 and got[121][0]["mean_log_likelihood"] is None and got[125][0]["n_tokens"] == 30_000
+    assert got[0][0]["log_likelihood"] == got[129][0]["log_likelihood"]  # a repeated row
+
+
+@pytest.mark.parametrize("v", [0, 1, 60])
+def test_lm_network_against_plain_sums(v):
+    """Probabilities add up to 1 over the vocabulary and the rest, and are those of a plain
+    walk through classes and members."""
+    import math
+
+    rng = np.random.default_rng(v)
+    net = lm_score.Network(np.sort(rng.integers(1, 1000, v))[::-1], 50.0, seed=3)
+    pad = len(net.parts["embedding"]) - 1
+    around = rng.integers(0, pad + 1, (4, 5))
+    for i in range(5):
+        column = np.repeat(around[:, i : i + 1], v + 1, axis=1)
+        lp = net.log_probabilities(np.arange(v + 1), column)  # v stands for any other word
+        assert abs(np.exp(lp).sum() - 1) < 1e-4
+        e, g = net.parts["embedding"], net.parts["gate"]
+        h = [math.tanh(float(g[-1][d]) + sum(float(g[k][d]) * float(e[around[k, i]][d]) for k in range(4))) for d in range(lm_score.WIDTH)]
+        dot = lambda w, b: sum(x * float(y) for x, y in zip(h, w, strict=True)) + float(b)
+        head = [math.exp(dot(net.parts["head"][:-1, c], net.parts["head"][-1, c])) for c in range(net.classes + 1)]
+        for w in range(v + 1):
+            c = net.class_of[w]
+            p = head[c] / sum(head)
+            if w < v:
+                members = [u for u in range(v) if net.class_of[u] == c]
+                z = {u: math.exp(dot(net.parts["member"][u, :-1], net.parts["member"][u, -1])) for u in members}
+                p *= z[w] / sum(z.values())
+            assert abs(lp[w] - math.log(p)) < 1e-4
+
+
+def test_lm_document_sums_against_brute_force(spark, monkeypatch):
+    """A document's sum, word by word, from the weights that the query trains."""
+    rng = random.Random(18)
+    texts = [lm_text(rng, 40) + " " + " ".join(rng.choice(["rare", "odd", "zzz", "é中"]) + str(rng.randrange(9)) for _ in range(5)) for _ in range(30)] + ODD
+    kept = {}
+    train, vocabulary = lm_score.train, lm_score.vocabulary
+    monkeypatch.setattr(lm_score, "train", lambda *a: kept.setdefault("net", train(*a)))
+    monkeypatch.setattr(lm_score, "vocabulary", lambda *a: kept.setdefault("words", vocabulary(*a)))
+    got = rows(lm_score.score(frame(spark, texts), min_count=25))
+    net, (known, counts, spelling, rest) = kept["net"], kept["words"]
+    every = [[x.encode() for x in re.findall("[a-z0-9\u0080-\U0010ffff]+", (t or "").lower())] for t in texts]
+    flat = [w for x in every for w in x]
+    assert {w: flat.count(w) for w in set(flat) if flat.count(w) >= 25} == dict(zip(known, counts.tolist(), strict=True))
+    tail = [w for w in flat if w not in known]
+    assert rest == len(tail)
+    pairs = np.full((257, 257), lm_score.ADDED)
+    for w in tail:
+        for a, b in zip([256, *w], [*w, 256], strict=True):
+            pairs[a, b] += 1
+    p = pairs / pairs.sum(axis=1, keepdims=True)
+    spell = lambda w: float(np.prod([p[a, b] for a, b in zip([256, *w], [*w, 256], strict=True)]))
+    left = 1 - p[256, 256] - sum(map(spell, known))
+    pad = len(net.parts["embedding"]) - 1
+    number = lambda w: known.index(w) if w in known else len(known) + zlib.crc32(w) % lm_score.TAILS
+    for i, x in enumerate(every):
+        ids = [pad, pad, *map(number, x), pad, pad]
+        total = 0.0
+        for k, w in enumerate(x[:200], 2):
+            around = np.array([[ids[k + d]] for d in (-2, -1, 1, 2)])
+            total += float(net.log_probabilities(np.array([ids[k]]), around)[0]) + (0 if w in known else np.log(spell(w) / left))
+        assert got[i][0]["n_tokens"] == len(x) and got[i][0]["n_spelled"] == sum(w not in known for w in x)
+        if len(x) <= 200:
+            assert abs(got[i][0]["log_likelihood"] - total) < 1e-2
+
+
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD", 1 << 14)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, many = (rows(lm_score.score(docs.repartition(n), min_count=10)) for n in (1, 13))
+    assert len(one) == 200
+    pairs = [(one[k][0]["mean_log_likelihood"], many[k][0]["mean_log_likelihood"]) for k in one if one[k][0]["n_tokens"]]
+    assert max(abs(a - b) for a, b in pairs) < 1e-4
 
 
-def test_lm_gradient_is_the_loss_gradient():
-    net = lm_score.Network(12)
+def test_lm_step_descends_the_loss():
+    """Each step's change is along the numeric gradient of the loss."""
     rng = np.random.default_rng(9)
-    center, around = rng.integers(0, 12, 50), rng.integers(0, 13, (4, 50))
-    start = net.flat()
-    loss = lambda f: -lm_score.Network(12).load(f).log_probabilities(center, around).mean()
-    step = net.flat().copy()
-    squares = [np.full(s, 1e12, np.float32) for s in net.shapes]  # plain small steps along the gradient
-    net.step(center, around, squares)
-    g = (step - net.flat()) * 1e6 / lm_score.RATE
-    at = [int(i) for i in rng.choice(len(start), 12)] + [len(start) - 1]
-    for i in at:
-        e = np.zeros_like(start)
-        e[i] = 1e-2
-        numeric = (loss(start + e) - loss(start - e)) / 2e-2
-        assert abs(numeric - g[i]) < 0.02 * max(1.0, abs(numeric)) + 2e-2
+    net = lm_score.Network(np.sort(rng.integers(5, 90, 40))[::-1], 10.0)
+    center, around = rng.integers(0, 45, 60), rng.integers(0, 105, (4, 60))
+    loss = lambda n: -n.log_probabilities(center, around).mean()
+    after = net.copy()
+    after.step(center, around, {k: np.full(x.shape, 1e8, np.float32) for k, x in net.parts.items()})  # plain small steps
+    for k, x in net.parts.items():
+        g = (x.astype(float) - after.parts[k]) * 1e4 / lm_score.RATE
+        for _ in range(6):
+            moved, at = net.copy(), tuple(rng.integers(0, n) for n in x.shape)
+            moved.parts[k][at] += 1e-2
+            up = loss(moved)
+            moved.parts[k][at] -= 2e-2
+            assert abs((up - loss(moved)) / 2e-2 - g[at]) < 0.03 * abs(g[at]) + 0.03, (k, at)
 
 
 # ------------------------------------------------------------------ fixity
