@@ -29,15 +29,18 @@ def small_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where that is unset, as in tests, a folder of this machine is set for it."""
+    Only where that is unset and the session runs on this machine alone, as in tests, a
+    folder of this machine is set for it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
-        else:
+        elif spark.sparkContext.master.partition("[")[0] == "local":
             base = "file://" + tempfile.mkdtemp(prefix="terraloom-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     return f"{base.rstrip('/')}/terraloom-{uuid.uuid4().hex}"
 
 
@@ -95,14 +98,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
+        old = edges
         # large star: each neighbour above a node goes to the smallest node around it
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = written(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        first = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = written(both.filter("b > a").join(first, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: each neighbour below a node, and the node, go to the smallest of them
         least = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select("b", "m").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(old, first, large, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -10,9 +10,12 @@
    each other, as the region is compared in full at the end; so in the next attempt, with
    new starting orders, every node has a further list of LIST neighbours outside its region,
    and so on until an attempt joins no regions and an audit misses nothing.
-6. A region's members are compared in blocks of BLOCK rows; links are counted, not listed.
-7. The audit compares nodes with all others until it has met AUDIT true links or all nodes.
-   It measures and calls for further attempts; its links are no part of the result.
+6. A region's members are compared in blocks of about BLOCK rows that lie together: two
+   blocks meet once, and only if their centres and radii leave room for a link. Links are
+   counted, not listed. Small regions share a block.
+7. The audit compares nodes with all others until it has met AUDIT true links or asked
+   ASKED nodes. It measures and calls for further attempts; its links are no part of the
+   result. If the last attempt still misses links, all nodes are compared as one region.
 """
 
 from __future__ import annotations
@@ -25,18 +28,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, table, written
+from .common import components, discard, table, written
 
 LIST = 12
 TABLES, NEXT = 8, 3
-#: Rounds of an attempt at most, and attempts after which a recall below RECALL is an error.
-ROUNDS, ATTEMPTS = 4, 60
-BLOCK = 64
+#: Rounds of an attempt at most, and attempts before all nodes are compared in blocks.
+ROUNDS, ATTEMPTS = 4, 24
+BLOCK = 1024
+#: Bits of the hyperplane code by which a large region's rows are dealt to blocks.
+CODE = 20
 EDGE = "node long, nbr long, cos double, inside boolean"
 #: True links that the audit finds by brute force, from nodes in order of hash; also the
-#: nodes of its first pass. Passes double up to PASS nodes.
+#: nodes of its first pass. Passes double up to PASS nodes, ASKED at most in all.
 AUDIT, RECALL = 512, 0.98
-PASS = 8192
+PASS, ASKED = 8192, 16_384
 
 
 def _unit(vectors: list[bytes], kind: str) -> np.ndarray:
@@ -63,8 +68,8 @@ def _vectors(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, str]:
     return df.select(df[key].cast("long").alias("id"), df[vector].cast(f"array<{element}>").alias("vec")).mapInArrow(run, "id long, vec binary"), kind
 
 
-def _start(nodes: DataFrame, kind: str, count: int, seed: int) -> DataFrame:
-    """First edges (node, nbr, cos, inside): NEXT followers in each of TABLES orders, and
+def _start(nodes: DataFrame, kind: str, count: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """First edges (node, nbr, cos, inside), and a table they are read from: NEXT followers in each of TABLES orders, and
     the NEXT rows before the run of a row's region. An order sorts by length, hyperplane
     code and projection; it is dealt by range, so that a dense region is split over tasks
     like any other. `inside` tells an edge within a region (nodes has `region`)."""
@@ -119,7 +124,7 @@ def _start(nodes: DataFrame, kind: str, count: int, seed: int) -> DataFrame:
 
     rows = written(nodes.select("node", "region", "vec").mapInArrow(code, "t long, size long, code long, place double, node long, region long, vec binary"))
     order = ["t", "size", "code", "place", "node"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(follow, EDGE)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(follow, EDGE), rows
 
 
 def _best(edges: DataFrame) -> DataFrame:
@@ -128,10 +133,11 @@ def _best(edges: DataFrame) -> DataFrame:
     return edges.groupBy("node", "nbr", "inside").agg(F.max("cos").alias("cos")).select("node", "nbr", "cos", "inside").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= LIST).drop("r")
 
 
-def _refine(graph: DataFrame, nodes: DataFrame, kind: str, threshold: float) -> DataFrame:
+def _refine(graph: DataFrame, nodes: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """New edges among each node's neighbours, between regions, that beat the worst of
     either one's list; and, with a null cosine, pairs that join all of these neighbours
-    whose cosines link them across regions, whether an edge beats a list or not."""
+    whose cosines link them across regions, whether an edge beats a list or not. Also a
+    table that they are read from."""
     back = Window.partitionBy("node", "inside").orderBy(F.desc("cos"), "nbr")
     reverse = graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "cos", "inside").withColumn("r", F.row_number().over(back)).filter(F.col("r") <= LIST).drop("r")
     around = graph.select("node", "nbr").union(reverse.select("node", "nbr")).distinct()
@@ -185,7 +191,7 @@ def _refine(graph: DataFrame, nodes: DataFrame, kind: str, threshold: float) ->
             yield pairs(pa.Table.from_batches(held).combine_chunks())
 
     lists = around.join(known, "nbr").select("node", "nbr", "vec", "floor", "region")
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(local, EDGE)
+    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(local, EDGE), known
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -206,9 +212,9 @@ def _state(graph: DataFrame, threshold: float) -> tuple:
 
 def _audit(nodes: DataFrame, kind: str, threshold: float) -> DataFrame:
     """All true links (node, nbr, cos) of nodes in order of hash: of as many as have AUDIT
-    links together, or of all. A pass sends its nodes' vectors to every task."""
+    links together, or of ASKED. A pass sends its nodes' vectors to every task."""
     order = nodes.select("node", "vec", F.xxhash64("node", F.lit(11)).alias("h"))
-    out, total, size, last = None, 0, AUDIT, None
+    out, total, size, last, left = None, 0, min(AUDIT, ASKED), None, ASKED
     while True:
         rest = order if last is None else order.filter((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("node") > last[1])))
         asked = rest.orderBy("h", "node").limit(size).collect()
@@ -216,9 +222,10 @@ def _audit(nodes: DataFrame, kind: str, threshold: float) -> DataFrame:
             links = written(_links(nodes, asked, kind, threshold))
             out = links if out is None else out.union(links)
             total += links.count()
-        if len(asked) < size or total >= AUDIT:
+        left -= len(asked)
+        if len(asked) < size or total >= AUDIT or not left:
             return out
-        last, size = (asked[-1]["h"], asked[-1]["node"]), min(2 * size, PASS)
+        last, size = (asked[-1]["h"], asked[-1]["node"]), min(2 * size, PASS, left)
 
 
 def _links(nodes: DataFrame, asked: list, kind: str, threshold: float) -> DataFrame:
@@ -244,24 +251,108 @@ def _links(nodes: DataFrame, asked: list, kind: str, threshold: float) -> DataFr
     return nodes.select("node", "vec").mapInArrow(run, "node long, nbr long, cos double")
 
 
-def _regions(nodes: DataFrame, found: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """(node, component, links) of the nodes in regions: their links inside, by weight."""
-    sizes = written(found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    rows = found.join(sizes, "component").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    sides = F.concat(F.transform(others, lambda j: F.struct(F.lit(True).alias("asks"), F.col("block").alias("i"), j.alias("j"))), F.transform(others, lambda i: F.struct(F.lit(False).alias("asks"), i.alias("i"), F.col("block").alias("j"))))
-    dealt = rows.withColumn("at", F.explode(sides)).select("component", "at.*", "node", "vec", "copies")
+def _blocks(nodes: DataFrame, found: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(component, node, vec, copies, block) of the nodes in regions, and the pairs of
+    blocks (i, j) that may hold links, each once.
 
-    def count(t: pa.Table) -> pa.Table:
-        asks = np.array(t["asks"].to_pylist())
-        node, copies = t["node"].to_numpy(), t["copies"].to_numpy()
+    Regions of up to BLOCK / 2 rows share blocks, by a hash. A larger one is dealt by its
+    rows' hyperplane codes, so that a block's rows lie together; a code that still has too
+    many rows is salted. No region is ever in one task."""
+    spark = nodes.sparkSession
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for b in batches:
+            vectors, out = b.column("vec").to_pylist(), np.zeros(len(b), np.int64)
+            sizes = np.array([len(v) for v in vectors])
+            for size in np.unique(sizes):
+                at = np.nonzero(sizes == size)[0]
+                x = _unit([vectors[i] for i in at], kind)
+                if size not in planes:
+                    planes[size] = np.random.default_rng([99, int(size)]).standard_normal((x.shape[1], CODE))
+                # lengths never link, so they begin the code
+                out[at] = (int(size) << CODE) + ((x @ planes[size] > 0) << np.arange(CODE)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "code"])
+
+    sizes = written(found.groupBy("component").agg(F.count("*").alias("n")))
+    shared = max(1, -(-(sizes.filter(F.col("n") <= BLOCK // 2).agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    rows = found.join(sizes, "component").join(nodes, "node").select("component", "n", "node", "vec", "copies")
+    small = rows.filter(F.col("n") <= BLOCK // 2).select("component", "node", "vec", "copies", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(shared))).alias("block"))
+    large = rows.filter(F.col("n") > BLOCK // 2).mapInArrow(code, "component long, n long, node long, vec binary, copies long, code long")
+    bits = F.least(F.lit(CODE), F.ceil(F.log2(F.col("n") / BLOCK)).cast("int") + 2)
+    large = written(large.withColumn("cell", F.shiftright("code", CODE) * (1 << CODE) + F.pmod("code", F.pow(F.lit(2.0), bits).cast("long"))).drop("code"))
+    cells = written(large.groupBy("component", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("salts")))
+    salted = large.join(cells, ["component", "cell"]).withColumn("block", F.concat_ws("-", "component", "cell", F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts"))))
+    placed = written(small.union(salted.select("component", "node", "vec", "copies", "block")))
+
+    def summary(t: pa.Table) -> pa.Table:
         x = _unit(t["vec"].to_pylist(), kind)
-        q, o = np.nonzero(asks)[0], np.nonzero(~asks)[0]
-        linked = (x[q] @ x[o].T >= threshold) & (node[q][:, None] != node[o][None, :])
-        return pa.table({"node": pa.array(node[q]), "links": pa.array((linked * copies[o][None, :]).sum(axis=1).astype(np.int64))})
+        centre = x.mean(axis=0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
+        return pa.table({"component": t["component"][:1], "block": t["block"][:1], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius]})
+
+    balls = written(placed.filter(~F.startswith("block", F.lit("s"))).select("component", "block", "vec").groupBy("block").applyInArrow(summary, "component long, block string, centre array<double>, radius double"))
+    a = balls.select("component", F.col("block").alias("i"), F.col("centre").alias("ci"), F.col("radius").alias("ri"))
+    b = balls.select("component", F.col("block").alias("j"), F.col("centre").alias("cj"), F.col("radius").alias("rj"))
+    apart = F.sqrt(F.aggregate(F.zip_with("ci", "cj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    return placed, a.join(b, "component").filter((F.col("i") <= F.col("j")) & (F.size("ci") == F.size("cj"))).select("i", "j", (apart - F.col("ri") - F.col("rj")).alias("gap"))
+
+
+def _regions(nodes: DataFrame, found: DataFrame, kind: str, threshold: float, joins: bool = False) -> DataFrame:
+    """(node, links) of the nodes in regions: their links inside, by weight. With `joins`,
+    (node, links, other): also rows without links that connect all that links connect."""
+    placed, near = _blocks(nodes, found, kind)
+    # the distance of two unit vectors whose cosine is the threshold, and some for rounding
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    own = placed.select("block").distinct().select(F.col("block").alias("i"), F.col("block").alias("j"))
+    pairs = written(own.union(near.filter((F.col("i") < F.col("j")) & (F.col("gap") <= reach)).select("i", "j")))
+    first = placed.join(pairs.withColumnRenamed("i", "block"), "block").select(F.col("block").alias("i"), "j", F.lit(True).alias("asks"), "component", "node", "vec", "copies")
+    second = placed.join(pairs.filter("i < j").withColumnRenamed("j", "block"), "block").select("i", F.col("block").alias("j"), F.lit(False).alias("asks"), "component", "node", "vec", "copies")
 
-    counts = dealt.groupBy("component", "i", "j").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    return found.join(counts, "node")
+    def count(t: pa.Table) -> pa.Table:
+        vectors, asks = t["vec"].to_pylist(), np.array(t["asks"].to_pylist())
+        node, copies, component = (t[c].to_numpy() for c in ("node", "copies", "component"))
+        sizes = np.array([len(v) for v in vectors])
+        out = [np.empty((3, 0), np.int64)]
+        for size in np.unique(sizes):
+            at = np.nonzero(sizes == size)[0]
+            x = _unit([vectors[i] for i in at], kind)
+            mine, theirs = np.nonzero(asks[at])[0], np.nonzero(~asks[at])[0]
+            one = not len(theirs) and t["i"][0].as_py() == t["j"][0].as_py()
+            theirs = mine if one else theirs
+            q, o = at[mine], at[theirs]
+            linked = (x[mine] @ x[theirs].T >= threshold) & (node[q][:, None] != node[o][None, :]) & (component[q][:, None] == component[o][None, :])
+            out.append(np.stack([node[q], linked @ copies[o], np.full(len(q), -1)]))
+            if not one:
+                out.append(np.stack([node[o], linked.T @ copies[q], np.full(len(o), -1)]))
+            if joins:
+                out.append(_spanning(linked, node[q], node[o]))
+        a, n, b = np.concatenate(out, axis=1)
+        counts = b == -1
+        return pa.table({"node": pa.array(a), "links": pa.array(n, mask=~counts), "other": pa.array(b, mask=counts)})
+
+    both = first.union(second).groupBy("i", "j").applyInArrow(count, "node long, links long, other long")
+    counts = both.filter("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
+    if joins:
+        both = written(both)
+        return both.filter("other IS NOT NULL").select("node", F.lit(None).cast("long").alias("links"), "other").union(both.filter("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links")).select("node", "links", F.lit(None).cast("long")))
+    return counts
+
+
+def _spanning(linked: np.ndarray, q: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Columns (node, 0, other) that connect what a block of links connects: each row and
+    column to the least one it reaches; labels spread and jump until they settle."""
+    n, names = len(q), np.concatenate([q, o])
+    label = np.arange(len(names))
+    while True:
+        before = label.copy()
+        label[:n] = np.minimum(label[:n], np.where(linked, label[None, n:], len(names)).min(axis=1, initial=len(names)))
+        label[n:] = np.minimum(label[n:], np.where(linked, label[:n, None], len(names)).min(axis=0, initial=len(names)))
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.nonzero(label != np.arange(len(names)))[0]
+    return np.stack([names[moved], np.zeros(len(moved), np.int64), names[label[moved]]])
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -271,7 +362,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     or more. A vector that is null, empty, zero, or has null or non-finite components
     links with nothing. Repeated rows are linked copies of one vector; rows with a null key
     count as links but name no component, and are not kept. audit_recall is the share of
-    the audited nodes' true links that the graph has joined, 1 where they have none. Other
+    the audited nodes' true links whose ends the graph has brought into one region, in which
+    all links are counted; 1 where they have none. Other
     columns are not returned. An empty table gives none."""
     spark = df.sparkSession
     rows, kind = _vectors(df, key, vector)
@@ -282,15 +374,19 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     found = written(spark.createDataFrame([], "node long, component long"))
     truth, recall = _audit(nodes, kind, threshold), 1.0
     total = truth.count()
+    caught = lambda found: truth.join(found, "node").join(found.select(F.col("node").alias("nbr"), F.col("component").alias("other")), "nbr").filter("component = other").count()
     for attempt in range(ATTEMPTS if count > 1 else 0):
         placed = written(nodes.select("node", "vec").join(found, "node", "left").select("node", "vec", F.coalesce("component", "node").alias("region")))
-        first = written(_start(placed, kind, count, attempt))
+        begun, source = _start(placed, kind, count, attempt)
+        first = written(begun)
         joins = first.filter(f"cos >= {threshold!r} AND NOT inside").select("node", "nbr")
-        graph = written(_best(_labelled(graph, found).union(first)))
+        done, graph = [placed, source, first, graph], written(_best(_labelled(graph, found).union(first)))
         state = _state(graph, threshold)
         for _ in range(ROUNDS):
-            new = written(_refine(graph, placed, kind, threshold))
+            made, source = _refine(graph, placed, kind, threshold)
+            new = written(made)
             joins = joins.union(new.filter("cos IS NULL").select("node", "nbr"))
+            done += [source, new, graph]
             graph = written(_best(graph.union(_both(new.filter("cos IS NOT NULL")))))
             before, state = state, _state(graph, threshold)
             if state == before:
@@ -299,13 +395,19 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         quiet = joins.isEmpty()
         if not quiet:
             found = written(components(found.union(joins).toDF("a", "b")))
-        joined = truth.join(found, "node").join(found.select(F.col("node").alias("nbr"), F.col("component").alias("other")), "nbr").filter("component = other").count()
-        recall = joined / total if total else 1.0
-        if quiet and joined == total:
+        discard(*done)
+        recall = caught(found) / total if total else 1.0
+        if quiet and recall == 1.0:
             break
+    plain = nodes.select("node", "vec", "copies")
     if recall < RECALL:
-        raise RuntimeError(f"the graph joins {recall:.4f} of the audited links after {ATTEMPTS} attempts")
-    regions = written(_regions(nodes.select("node", "vec", "copies"), found, kind, threshold))
+        everything = written(_regions(plain, nodes.select("node", F.lit(0).cast("long").alias("component")), kind, threshold, joins=True))
+        found = written(components(everything.filter("other IS NOT NULL").select("node", "other").toDF("a", "b")))
+        counts = everything.filter("links IS NOT NULL").select("node", "links")
+        recall = caught(found) / total
+    else:
+        counts = _regions(plain, found, kind, threshold)
+    regions = written(found.join(counts, "node"))
     least = written(regions.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("reached")))
     links = regions.join(least, "component").select("node", "links", "reached")
     final = written(nodes.join(links, "node", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("reached", "least").alias("component_id")))
