@@ -55,8 +55,9 @@ def greedy_top(df: DataFrame, k: int, score: str, overlaps) -> DataFrame:
 
 
 def hashed_sample(df: DataFrame, k: int, seed: int, *keys: str) -> DataFrame:
-    """At most k rows, those of smallest hash: the same rows wherever it runs."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(k)
+    """At most k rows, those of smallest hash (MD5 of the keys and the seed, joined by
+    colons): the same rows wherever it runs."""
+    return df.orderBy(F.md5(F.concat_ws(":", *keys, F.lit(seed))), *keys).limit(k)
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
