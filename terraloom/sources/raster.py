@@ -1,8 +1,9 @@
 """Raster files as DataFrames: binaryFile rows are decoded tile by tile in Arrow batches.
 
 Decoders are plain numpy: PNG (8 and 16 bit, not interlaced), PGM and PPM, SRTM HGT
-(also gzipped), and strip- or tile-organised TIFF, uncompressed or deflated. Each yields
-(bands, rows, cols) in its own type with metadata; other formats are refused by name.
+(also gzipped), and TIFF or BigTIFF in strips or tiles, plain or packed by deflate, LZW or
+PackBits, with either predictor. Each yields (bands, rows, cols) in its own type with
+metadata; other formats are refused by name.
 """
 
 from __future__ import annotations
@@ -107,26 +108,93 @@ def read_hgt(b: bytes, path: str = "") -> tuple[np.ndarray, dict]:
 _SIZES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 
 
-def read_tiff(b: bytes) -> tuple[np.ndarray, dict]:
-    """Bands and georeference of a baseline TIFF; rotated or point-only georeferences are
-    demoted, with the reason."""
-    o = {b"II": "<", b"MM": ">"}[b[:2]]
-    if struct.unpack(o + "H", b[2:4])[0] != 42:
-        raise ValueError("only classic TIFF is read")
-    at = struct.unpack(o + "I", b[4:8])[0]
-    tags: dict = {}
-    for i in range(struct.unpack(o + "H", b[at : at + 2])[0]):
-        tag, kind, n, _ = struct.unpack(o + "HHI4s", b[at + 2 + 12 * i : at + 14 + 12 * i])
+def unpack_lzw(b: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, highest bit first, one bit wider a code early;
+    256 clears the table, 257 ends the data."""
+    out, table, width, bits, held = bytearray(), [], 9, 0, 0
+    last: bytes | None = None
+    for byte in b:
+        bits, held = bits << 8 | byte, held + 8
+        if held < width:
+            continue
+        held -= width
+        code, bits = bits >> held, bits & ((1 << held) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, None
+            continue
+        if last is None:
+            piece = table[code]
+        else:
+            piece = table[code] if code < len(table) else last + last[:1]
+            table.append(last + piece[:1])
+            if len(table) + 1 >= 1 << width and width < 12:
+                width += 1
+        out += piece
+        last = piece
+    return bytes(out)
+
+
+def unpack_bits(b: bytes) -> bytes:
+    """PackBits: runs of literal bytes and repeated ones."""
+    out, i = bytearray(), 0
+    while i < len(b):
+        n = b[i]
+        if n < 128:
+            out += b[i + 1 : i + 2 + n]
+            i += n + 2
+        else:
+            if n > 128:
+                out += b[i + 1 : i + 2] * (257 - n)
+            i += 2
+    return bytes(out)
+
+
+_UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32773: unpack_bits, 32946: zlib.decompress}
+
+
+def _tags(b: bytes, o: str) -> dict:
+    """Tags of the first directory, of a classic or a big file."""
+    big = {42: False, 43: True}.get(struct.unpack(o + "H", b[2:4])[0])
+    if big is None:
+        raise ValueError("a TIFF of an unknown version is not read")
+    word, count, entry, room = ("Q", "Q", 20, 8) if big else ("I", "H", 12, 4)
+    read = lambda code, at: struct.unpack(o + code, b[at : at + struct.calcsize(o + code)])[0]
+    at = read(word, 8 if big else 4)
+    first, tags = at + struct.calcsize(o + count), {}
+    for k in range(first, first + entry * read(count, at), entry):
+        tag, kind, n = read("H", k), read("H", k + 2), read(word, k + 4)
         code = _SIZES.get(kind)
         if not code:
             continue
-        size = struct.calcsize(o + code) * n
-        start = at + 10 + 12 * i if size <= 4 else struct.unpack(o + "I", b[at + 10 + 12 * i : at + 14 + 12 * i])[0]
+        size, value = struct.calcsize(o + code) * n, k + 4 + struct.calcsize(o + word)
+        start = value if size <= room else read(word, value)
         raw = b[start : start + size]
         tags[tag] = raw.split(b"\0")[0].decode("latin-1") if kind == 2 else list(struct.unpack(o + code * n, raw))
+    return tags
+
+
+def _unpredict(raw: bytes, dtype: np.dtype, predictor: int, shape: tuple[int, int, int]) -> np.ndarray:
+    """A block's samples (rows, columns, samples a pixel) without its predictor."""
+    rows, width, per = shape
+    if predictor == 3:
+        # differences of bytes along a row, whose highest bytes stand first
+        flat = np.frombuffer(raw, np.uint8, rows * width * per * dtype.itemsize).reshape(rows, -1)
+        flat = np.cumsum(flat.reshape(rows, -1, per), axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, width * per)
+        return np.ascontiguousarray(flat.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(shape)
+    a = np.frombuffer(raw, dtype, rows * width * per).reshape(shape)
+    return np.cumsum(a.astype(np.int64), axis=1).astype(dtype) if predictor == 2 else a
+
+
+def read_tiff(b: bytes) -> tuple[np.ndarray, dict]:
+    """Bands and georeference of a TIFF; rotated or point-only georeferences are demoted,
+    with the reason."""
+    o = {b"II": "<", b"MM": ">"}[b[:2]]
+    tags = _tags(b, o)
     w, h, bands = tags[256][0], tags[257][0], tags.get(277, [1])[0]
     packed, predictor, planar = tags.get(259, [1])[0], tags.get(317, [1])[0], tags.get(284, [1])[0]
-    if packed not in (1, 8, 32946) or predictor not in (1, 2):
+    if packed not in _UNPACK or predictor not in (1, 2, 3):
         raise ValueError(f"TIFF compression {packed} (predictor {predictor}) is not read")
     dtype = np.dtype(o + {1: "u", 2: "i", 3: "f"}[tags.get(339, [1])[0]] + str(tags.get(258, [8])[0] // 8))
     tiled = 324 in tags
@@ -136,15 +204,11 @@ def read_tiff(b: bytes) -> tuple[np.ndarray, dict]:
     across, down = -(-w // bw), -(-h // bh)
     per = 1 if planar == 2 else bands
     for i, (start, size) in enumerate(zip(offsets, sizes, strict=True)):
-        raw = b[start : start + size]
-        raw = zlib.decompress(raw) if packed != 1 else raw
+        raw = _UNPACK[packed](b[start : start + size])
         plane, k = divmod(i, across * down)
         y, x = k // across * bh, k % across * bw
         rows = bh if tiled else min(bh, h - y)
-        a = np.frombuffer(raw, dtype, rows * bw * per).reshape(rows, bw, per)
-        if predictor == 2:
-            a = np.cumsum(a.astype(np.int64), axis=1).astype(dtype)
-        a = a[: h - y, : w - x]
+        a = _unpredict(raw, dtype, predictor, (rows, bw, per))[: h - y, : w - x]
         for p in range(per):
             out[plane + p, y : y + a.shape[0], x : x + a.shape[1]] = a[..., p]
     meta: dict = {"nodata": float(tags[42113]) if tags.get(42113, "").strip() else None}
@@ -170,6 +234,57 @@ def read_tiff(b: bytes) -> tuple[np.ndarray, dict]:
     return out, meta
 
 
+def write_tiff(a: np.ndarray, transform: list[float] | None = None, epsg: int | None = None, nodata: float = -9999.0) -> bytes:
+    """A one-band float32 TIFF in deflated strips; NaN becomes nodata. transform: (x step,
+    0, left, 0, y step, top)."""
+    h, w = a.shape
+    body = np.where(np.isfinite(a), a, nodata).astype("<f4")
+    strips = [zlib.compress(body[y : y + 64].tobytes()) for y in range(0, h, 64)]
+    tags: list[tuple[int, str, list | bytes]] = [
+        (256, "I", [w]), (257, "I", [h]), (258, "H", [32]), (259, "H", [8]), (262, "H", [1]), (277, "H", [1]),
+        (278, "I", [64]), (279, "I", [len(x) for x in strips]), (339, "H", [3]), (42113, "s", f"{nodata:g}".encode() + b"\0"),
+    ]
+    if transform:
+        tags += [(33550, "d", [transform[0], -transform[4], 0.0]), (33922, "d", [0.0, 0.0, 0.0, transform[2], transform[5], 0.0])]
+    if epsg:
+        projected = not 4000 <= epsg < 5000
+        tags.append((34735, "H", [1, 1, 0, 2, 1024, 0, 1, 1 if projected else 2, 3072 if projected else 2048, 0, 1, epsg]))
+    tags.append((273, "I", [0] * len(strips)))
+    tags.sort(key=lambda t: t[0])
+    kinds = {"H": 3, "I": 4, "d": 12, "s": 2}
+    pack = lambda c, v: v if c == "s" else struct.pack(f"<{len(v)}{c}", *v)
+    far = 8 + 2 + 12 * len(tags) + 4
+    place = far + sum(len(pack(c, v)) + len(pack(c, v)) % 2 for _, c, v in tags if len(pack(c, v)) > 4)
+    starts = [place + sum(map(len, strips[:k])) for k in range(len(strips))]
+    entries, tail = b"", b""
+    for tag, c, v in tags:
+        raw = pack(c, starts if tag == 273 else v)
+        n = len(raw) if c == "s" else len(v)
+        value = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", far + len(tail))
+        tail += b"" if len(raw) <= 4 else raw + b"\0" * (len(raw) % 2)
+        entries += struct.pack("<HHI", tag, kinds[c], n) + value
+    return b"II" + struct.pack("<HIH", 42, 8, len(tags)) + entries + b"\0" * 4 + tail + b"".join(strips)
+
+
+def tile_files(grid: DataFrame, size: int, prefix: str = "tile", transform: list[float] | None = None, epsg: int | None = None) -> DataFrame:
+    """(path, content): a raster (row, col, v) as georeferenced TIFF files of size x size
+    pixels, each made in a task of its own; pixels that are not there are nodata."""
+
+    def run(key, pdf):
+        import pandas as pd
+
+        i, j = key
+        a = np.full((size, size), np.nan)
+        a[pdf["row"] - i * size, pdf["col"] - j * size] = pdf["v"].astype(float)
+        # an image may end within its last tiles
+        a = a[: int((pdf["row"] - i * size).max()) + 1, : int((pdf["col"] - j * size).max()) + 1]
+        t = transform and [transform[0], 0.0, transform[2] + j * size * transform[0], 0.0, transform[4], transform[5] + i * size * transform[4]]
+        return pd.DataFrame({"path": [f"{prefix}_{i}_{j}.tif"], "content": [write_tiff(a, t, epsg)]})
+
+    dealt = grid.select("row", "col", "v", F.floor(F.col("row") / size).alias("i"), F.floor(F.col("col") / size).alias("j"))
+    return dealt.groupBy("i", "j").applyInPandas(run, "path string, content binary")
+
+
 def decode(path: str, b: bytes) -> tuple[np.ndarray, dict]:
     """Bands and metadata by the content's first bytes and the name."""
     if b[:8] == b"\x89PNG\r\n\x1a\n":

@@ -71,6 +71,27 @@ def preview(df: DataFrame, v: str = "v", low: float = 0.02, high: float = 0.98,
     return x.withColumn("level", F.when(F.col(v).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(v) - a, b - a))))).drop("_a", "_b", "_s")
 
 
+#: Colour ramps by a few stops, dark to light; colours between them are mixed.
+RAMPS = {
+    "height": ("#0b3c49", "#3a7d44", "#c9d46c", "#b07d3c", "#f4efe6"),
+    "difference": ("#2b4c9b", "#f2f2f2", "#b3262e"),
+    "grey": ("#000000", "#ffffff"),
+}
+
+
+def coloured(df: DataFrame, ramp: str = "height", level: str = "level") -> DataFrame:
+    """df with r, g, b and a (0 to 255) of a level in [0, 1]; a null level is transparent."""
+    stops = [[int(c[k : k + 2], 16) for k in (1, 3, 5)] for c in RAMPS[ramp]]
+    at = F.col(level) * (len(stops) - 1)
+    low = F.least(F.floor(at), F.lit(len(stops) - 2)).cast("int")
+    out = {}
+    for k, name in enumerate("rgb"):
+        band = F.array(*(F.lit(float(s[k])) for s in stops))
+        a, b = F.get(band, low), F.get(band, low + 1)
+        out[name] = F.coalesce(F.bround(a + (b - a) * (at - low)), F.lit(0.0)).cast("int")
+    return df.withColumns(out | {"a": F.when(F.col(level).isNull(), 0).otherwise(255)})
+
+
 def glb(vertices: np.ndarray, faces: np.ndarray) -> bytes:
     """A binary glTF of a mesh (float32 positions, uint32 triangles)."""
     v, f = np.ascontiguousarray(vertices, "<f4"), np.ascontiguousarray(faces, "<u4")
