@@ -48,31 +48,43 @@ def anchor_masks(df: DataFrame, max_slope: float, edge: int) -> DataFrame:
     return x.withColumn("reason", reason).drop("_h", "_w")
 
 
-def huber(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float, float]:
-    """(a, b, scale) of y ~ a * x + b by Huber's regression with joint scale: weights and
-    scale are renewed in turn until they settle."""
-    mu, sd = x.mean(), x.std()
-    if sd == 0:
+def huber(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, scale) of y ~ a * x + b by Huber's regression with joint scale, along the last
+    axis: rows of a matrix are samples that are fitted together. Weights and scale are
+    renewed in turn until they settle."""
+    x, y = np.atleast_2d(x), np.atleast_2d(y)
+    n = x.shape[1]
+    mu, sd = x.mean(axis=1, keepdims=True), x.std(axis=1, keepdims=True)
+    if (sd == 0).any():
         raise ValueError("no variation in the relative signal on the anchors")
-    z = np.stack([(x - mu) / sd, np.ones(len(x))], axis=1)
-    w, scale, coef = np.ones(len(x)), 0.0, np.zeros(2)
+    z = (x - mu) / sd
+    w, scale = np.ones_like(z), None
+    slope, level = np.zeros((len(x), 1)), np.zeros((len(x), 1))
     for _ in range(rounds):
-        m = z.T * w
-        new = np.linalg.solve(m @ z + np.diag([RIDGE, 0.0]), m @ y)
-        r = np.abs(y - z @ new)
-        scale = scale or 1.4826 * np.median(r) + 1e-12
+        # weighted normal equations of a line, with a ridge on its slope
+        sw, sz, szz = (v.sum(axis=1, keepdims=True) for v in (w, w * z, w * z * z))
+        sy, szy = (w * y).sum(axis=1, keepdims=True), (w * z * y).sum(axis=1, keepdims=True)
+        det = (szz + RIDGE) * sw - sz * sz
+        before = slope, level
+        slope, level = (szy * sw - sz * sy) / det, ((szz + RIDGE) * sy - sz * szy) / det
+        r = np.abs(y - slope * z - level)
+        if scale is None:
+            scale = 1.4826 * np.median(r, axis=1, keepdims=True) + 1e-12
         for _ in range(50):
             out = r > EPSILON * scale
-            left = len(r) - EPSILON**2 * out.sum()
-            fresh = np.sqrt((r[~out] ** 2).sum() / left) if left > 0 else scale
-            if abs(fresh - scale) <= 1e-10 * scale:
+            left = n - EPSILON**2 * out.sum(axis=1, keepdims=True)
+            inner = np.where(out, 0.0, r * r).sum(axis=1, keepdims=True)
+            fresh = np.where(left > 0, np.sqrt(inner / np.where(left > 0, left, 1)), scale)
+            done = np.abs(fresh - scale) <= 1e-10 * scale
+            scale = np.where(done, scale, np.maximum(fresh, 1e-12))
+            if done.all():
                 break
-            scale = max(fresh, 1e-12)
         w = np.minimum(1, EPSILON * scale / np.maximum(r, 1e-12))
-        if np.abs(new - coef).max() < 1e-10 * max(1.0, np.abs(new).max()):
+        moved = np.maximum(np.abs(slope - before[0]), np.abs(level - before[1]))
+        if (moved < 1e-10 * np.maximum(1.0, np.maximum(np.abs(slope), np.abs(level)))).all():
             break
-        coef = new
-    return float(new[0] / sd), float(new[1] - new[0] * mu / sd), float(scale)
+    a = slope / sd
+    return a[:, 0], (level - a * mu)[:, 0], scale[:, 0]
 
 
 def huber_fit(df: DataFrame, x: str, y: str) -> dict:
@@ -132,7 +144,7 @@ def bootstrap_std(df: DataFrame, x: str, y: str, seed: int = 0, times: int = 30)
     def fit(pdf):
         import pandas as pd
 
-        return pd.DataFrame({"a": [huber(pdf["x"].to_numpy(), pdf["y"].to_numpy())[0]]})
+        return pd.DataFrame({"a": huber(pdf["x"].to_numpy(), pdf["y"].to_numpy())[0]})
 
     slopes = draws.join(pts, "i").groupBy("k").applyInPandas(fit, "a double")
     return {"a_std": slopes.agg(F.stddev_pop("a").alias("s")).first()["s"] * (m / n) ** 0.5, "m": m, "n": n}
@@ -152,6 +164,18 @@ def gate_reasons(coverage: Column, a: Column, nmad: Column, gate: Gate, a_std: C
     return F.array_compact(F.array(*tests))
 
 
+def sigma_affine(nmad: Column, a_std: Column, r: Column, mean: Column) -> Column:
+    """Uncertainty of a global affine product: the held-out spread, and the scale's own
+    times the distance from the mean signal."""
+    return F.sqrt(nmad**2 + (a_std * F.abs(r - mean)) ** 2)
+
+
+def sigma_residual(dem_error: Column, a_std: Column, high: Column) -> Column:
+    """Uncertainty of a residual product: the elevation model's error, and the scale's
+    spread times the detail that is added."""
+    return F.sqrt(dem_error**2 + (a_std * F.abs(high)) ** 2)
+
+
 def calibrate(df: DataFrame, method: str, gate: Gate | None = None, max_slope: float = 10.0, edge: int = 0, lowpass_px: int = 5, seed: int = 0) -> tuple[DataFrame, dict]:
     """Metric surface and report of a method over df (row, col, r, dem, slope, water, fit,
     dem_error, cell).
@@ -160,7 +184,7 @@ def calibrate(df: DataFrame, method: str, gate: Gate | None = None, max_slope: f
     the gate refuses. Sums, fits and gates are reports of a row each; pixels stay in
     Spark."""
     gate = gate or Gate()
-    x = graph._cut(df if "low" in df.columns else terrain.lowpass(df, lowpass_px, "r", "low"))
+    x = graph.cut(df if "low" in df.columns else terrain.lowpass(df, lowpass_px, "r", "low"))
     low_conf = F.col("dem").isNull() | F.coalesce(F.col("water"), F.lit(False))
     coverage = x.agg(F.avg(F.col("dem").isNotNull().cast("double")).alias("c")).first()["c"]
     report: dict = {"method": method, "coverage": coverage}
@@ -181,29 +205,28 @@ def calibrate(df: DataFrame, method: str, gate: Gate | None = None, max_slope: f
             if px.std() == 0:
                 report |= {"reasons": ["no variation in the relative signal on the anchors"], "metric": False}
                 return x.select("row", "col", F.lit(None).cast("double").alias("z"), F.lit(None).cast("double").alias("sigma"), low_conf.alias("low_confidence")), report
-            a, b, scale = huber(px, py)
-            f = {"a": a, "b": b, "scale": scale}
+            f = dict(zip(("a", "b", "scale"), (float(v[0]) for v in huber(px, py)), strict=True))
             m, rng = min(len(px), RESAMPLE), np.random.default_rng(seed)
-            draws = [rng.integers(0, len(px), m) for _ in range(gate.bootstrap)]
-            spread = float(np.std([huber(px[i], py[i])[0] for i in draws if px[i].std() > 0])) * (m / len(px)) ** 0.5
+            draws = [i for i in (rng.integers(0, len(px), m) for _ in range(gate.bootstrap)) if px[i].std() > 0]
+            slopes = huber(px[np.stack(draws)], py[np.stack(draws)])[0] if draws else [np.nan]
+            spread = float(np.std(slopes)) * (m / len(px)) ** 0.5
             held = marked.filter("reason = 'held'").withColumn("_p", f["a"] * F.col("low") + f["b"])
-            # a whole scene is one group here: its spread comes from the bounded sketch
-            stats = errors.error_metrics(held, "_p", "dem", exact=False).first()
-            report |= {"a": f["a"], "b": f["b"], "a_std": spread, "heldout": stats.asDict()}
+            stats = errors.scene_metrics(held, "_p", "dem")
+            report |= {"a": f["a"], "b": f["b"], "a_std": spread, "heldout": stats}
             is_m1 = method == "M1"
             found = one.select(gate_reasons(F.lit(coverage), F.lit(f["a"]), F.lit(stats["nmad"]).cast("double"), gate, None if is_m1 else F.lit(spread)).alias("why")).first()["why"]
             fails = list(found)
             if is_m1:
                 mean = x.agg(F.avg("r").alias("m")).first()["m"]
                 z = f["a"] * F.col("r") + f["b"]
-                sigma = F.sqrt(F.lit(stats["nmad"] or 0.0) ** 2 + (spread * F.abs(F.col("r") - F.lit(mean))) ** 2)
+                sigma = sigma_affine(F.lit(stats["nmad"] or 0.0), F.lit(spread), F.col("r"), F.lit(mean))
             else:
                 if method == "M2_cell":
                     x = terrain.cell_mean(x, "r", "cell", "_mean").withColumn("_high", F.col("r") - F.col("_mean"))
                 else:
                     x = x.withColumn("_high", F.col("r") - F.col("low"))
                 z = F.col("dem") + f["a"] * F.col("_high")
-                sigma = F.sqrt(F.col("dem_error") ** 2 + (spread * F.abs("_high")) ** 2)
+                sigma = sigma_residual(F.col("dem_error"), F.lit(spread), F.col("_high"))
     report["reasons"], report["metric"] = fails, not fails
     none = F.lit(None).cast("double")
     out = x.select("row", "col", (none if fails else z).alias("z"), (none if fails else F.when(~low_conf, sigma)).alias("sigma"), low_conf.alias("low_confidence"))

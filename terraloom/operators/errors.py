@@ -61,6 +61,76 @@ def error_metrics(df: DataFrame, pred: str, ref: str, by: list[str] | None = Non
     return out.select(*by, "n", "excluded_nodata", "bias", "mae", "rmse", "median_error", "nmad", "p95_abs_error", "le90", "pearson_r", "r2")
 
 
+#: Distinct values that a quantile's bracket may hold when it comes to the driver.
+BRACKET = 100_000
+
+
+def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> dict[str, float | None]:
+    """Linear-interpolated quantiles (name -> column, share) over all rows, nulls left out.
+
+    For tables of any size: a sketch brackets each quantile, rows beside the brackets are
+    only counted, and brackets are narrowed until few distinct values are inside. The
+    result doesn't depend on the sketch."""
+    names = list(wanted)
+    x = df.select(*(wanted[k][0].cast("double").alias(f"q{i}") for i, k in enumerate(names)))
+    n = x.agg(*(F.count(c).alias(c) for c in x.columns)).first()
+    left = {i for i in range(len(names)) if n[f"q{i}"]}
+    out: dict[str, float | None] = dict.fromkeys(names)
+    inside = {i: F.col(f"q{i}").isNotNull() for i in left}
+    below = dict.fromkeys(left, 0)
+    held, margin = {i: n[f"q{i}"] for i in left}, dict.fromkeys(left, 1e-3)
+    while left:
+        # places of the two order statistics within what is inside now
+        rank = {i: wanted[names[i]][1] * (n[f"q{i}"] - 1) for i in left}
+        share = {i: [max(0.0, (int(rank[i]) - below[i]) / held[i] - margin[i]), min(1.0, (int(rank[i]) + 1 - below[i]) / held[i] + margin[i])] for i in left}
+        got = x.agg(*(F.percentile_approx(F.when(inside[i], F.col(f"q{i}")), F.array(*map(F.lit, share[i])), F.lit(10_000)).alias(f"b{i}") for i in left)).first()
+        for i in left:
+            c, (low, high) = F.col(f"q{i}"), got[f"b{i}"]
+            inside[i] = inside[i] & c.between(low, high)
+        tests = [F.count_if(F.col(f"q{i}") < got[f"b{i}"][0]).alias(f"l{i}") for i in left] + [F.count_if(inside[i]).alias(f"c{i}") for i in left] + [F.approx_count_distinct(F.when(inside[i], F.col(f"q{i}"))).alias(f"d{i}") for i in left]
+        counts = x.agg(*tests).first()
+        for i in sorted(left):
+            lower, many = counts[f"l{i}"], counts[f"c{i}"]
+            if lower > int(rank[i]) or lower + many <= min(int(rank[i]) + 1, n[f"q{i}"] - 1):
+                # beside the bracket: the whole again, with a wider one
+                inside[i], below[i], held[i], margin[i] = F.col(f"q{i}").isNotNull(), 0, n[f"q{i}"], 4 * margin[i]
+                continue
+            below[i], held[i] = lower, many
+            if counts[f"d{i}"] <= BRACKET:
+                values = sorted(tuple(r) for r in x.filter(inside[i]).groupBy(f"q{i}").count().collect())
+                at, ends = lower, []
+                for v, k in values:
+                    at += k
+                    ends.append((at, v))
+                pick = lambda r: next(v for e, v in ends if r < e)  # noqa: B023, E731
+                a, b = pick(int(rank[i])), pick(min(int(rank[i]) + 1, n[f"q{i}"] - 1))
+                out[names[i]] = a + (rank[i] - int(rank[i])) * (b - a)
+                left.discard(i)
+    return out
+
+
+def scene_metrics(df: DataFrame, pred: str, ref: str) -> dict[str, float | None]:
+    """error_metrics() of a whole table as one report, with exact quantiles in bounded
+    memory however many pixels there are."""
+    both = F.col(pred).isNotNull() & F.col(ref).isNotNull()
+    d = df.select(F.when(both, F.col(pred)).alias("p"), F.when(both, F.col(ref)).alias("r")).withColumn("d", F.col("p") - F.col("r"))
+    n, square = F.count("d"), F.sum(F.col("d") * F.col("d"))
+    spread = F.var_pop("r") * n
+    out = d.agg(
+        n.alias("n"),
+        (F.count("*") - n).alias("excluded_nodata"),
+        F.avg("d").alias("bias"),
+        F.avg(F.abs("d")).alias("mae"),
+        F.sqrt(square / F.when(n > 0, n)).alias("rmse"),
+        F.when(n > 1, correlation("p", "r")).alias("pearson_r"),
+        F.when(n > 1, 1 - F.try_divide(square, F.when(spread > 0, spread))).alias("r2"),
+    ).first().asDict()
+    out |= exact_quantiles(d, {"median_error": (F.col("d"), 0.5), "p95_abs_error": (F.abs("d"), 0.95), "le90": (F.abs("d"), 0.9)})
+    middle = out["median_error"]
+    off = None if middle is None else exact_quantiles(d, {"m": (F.abs(F.col("d") - middle), 0.5)})["m"]
+    return out | {"nmad": None if off is None else off * MAD_SCALE}
+
+
 def affine_fit(df: DataFrame, x: str, y: str, by: list[str] | None = None, min_pixels: int = 2) -> DataFrame:
     """Least-squares y ~ a * x + b per group: a, b, fit_n; (1, 0) below min_pixels valid
     pairs or without variation in x."""

@@ -2,69 +2,117 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.operators import graph, regrid, terrain
 
 
+def _plane_residual(row: np.ndarray, col: np.ndarray, z: np.ndarray, percentile: float) -> float:
+    """Height at the origin of a plane through the lower half of some points (fitted three
+    times, each time to what lies below the median), plus a low percentile of what is off it."""
+    a = np.c_[row, col, np.ones(len(z))]
+    keep = np.ones(len(z), bool)
+    for _ in range(3):
+        coef = np.linalg.lstsq(a[keep], z[keep], rcond=None)[0]
+        off = z - a @ coef
+        keep = off <= np.median(off[keep])
+        if keep.sum() < 10:
+            break
+    return float(coef[2] + np.percentile(off, percentile))
+
+
 def lattice_ground(df: DataFrame, win: int, percentile: float = 10.0, max_roughness: float = 0.5, rough_px: int = 3, least: int = 20) -> DataFrame:
     """(row, col, i, j, fraction, ground) on a lattice of overlapping windows: a plane is
     fitted to smooth pixels and refitted on its lower half, then the low percentile of
     the residuals is added at the window's centre; null with fewer than `least` smooth
-    pixels. A window is one bounded group (win + 1 squared pixels)."""
+    pixels.
+
+    Pixels are packed once into blocks between lattice lines, whose arrays then go to the
+    four windows that meet there: a window is one bounded group (win + 1 squared pixels)."""
     x = terrain.with_size(terrain.roughness(df, rough_px))
     step, half = max(4, win // 2), win // 2
     cand = F.col("v").isNotNull() & (F.col("roughness") <= max_roughness)
     if "water" in df.columns:
         cand &= ~F.coalesce("water", F.lit(False))
 
-    def near(k: Column, n: Column) -> Column:
-        low = F.greatest(F.lit(0).cast("long"), F.ceil((k - half) / step).cast("long"))
-        high = F.least(F.floor((n - 1) / step).cast("long"), F.floor((k + half) / step).cast("long"))
-        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))
-
-    dealt = x.withColumn("ok", cand).withColumn("i", F.explode(near(F.col("row"), F.col("_h")))).withColumn("j", F.explode(near(F.col("col"), F.col("_w"))))
-    share = dealt.groupBy("i", "j").agg(F.avg(F.col("ok").cast("double")).alias("fraction"))
-
-    def fit(key, pdf):
-        import pandas as pd
-
-        i, j = key
-        ground = None
-        if len(pdf) >= least:
-            z = pdf["v"].to_numpy()
-            a = np.c_[pdf["row"].to_numpy() - i * step, pdf["col"].to_numpy() - j * step, np.ones(len(z))]
-            keep = np.ones(len(z), bool)
-            for _ in range(3):
-                coef = np.linalg.lstsq(a[keep], z[keep], rcond=None)[0]
-                off = z - a @ coef
-                keep = off <= np.median(off[keep])
-                if keep.sum() < 10:
-                    break
-            ground = float(coef[2] + np.percentile(off, percentile))
-        return pd.DataFrame({"i": [i], "j": [j], "ground": [ground]})
-
-    found = dealt.filter("ok").select("i", "j", "row", "col", "v").groupBy("i", "j").applyInPandas(fit, "i long, j long, ground double")
-    return share.join(found, ["i", "j"], "left").select((F.col("i") * step).alias("row"), (F.col("j") * step).alias("col"), "i", "j", "fraction", "ground")
+    def blocks(axis: Column) -> Column:
+        """A block, and for a pixel on a lattice line the block before it too."""
+        k = F.floor(axis / step)
+        return F.when((axis % step == 0) & (k > 0), F.array(k, k - 1)).otherwise(F.array(k))
+
+    size = x.agg(F.first("_h"), F.first("_w")).first()
+    points = [0 if n is None else (int(n) - 1) // step for n in size]
+    dealt = x.select("row", "col", "v", cand.alias("ok")).withColumn("bi", F.explode(blocks(F.col("row")))).withColumn("bj", F.explode(blocks(F.col("col"))))
+
+    def pack(t: pa.Table) -> pa.Table:
+        arrays = {
+            "rows": t["row"].to_numpy().astype(np.int32),
+            "cols": t["col"].to_numpy().astype(np.int32),
+            "zs": np.array(t["v"].to_numpy(), np.float64),
+            "oks": t["ok"].to_numpy().astype(np.bool_),
+        }
+        return pa.table({"bi": t["bi"][:1], "bj": t["bj"][:1], **{k: pa.array([a.tobytes()], pa.binary()) for k, a in arrays.items()}})
+
+    packed = dealt.groupBy("bi", "bj").applyInArrow(pack, "bi long, bj long, rows binary, cols binary, zs binary, oks binary")
+    ends = lambda b, last: F.filter(F.array(F.col(b), F.col(b) + 1), lambda p: p <= last)
+    windows = packed.withColumn("i", F.explode(ends("bi", points[0]))).withColumn("j", F.explode(ends("bj", points[1])))
+
+    def fit(t: pa.Table) -> pa.Table:
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        parts = []
+        for bi, bj, *raw in zip(*(t[c].to_pylist() for c in ("bi", "bj", "rows", "cols", "zs", "oks")), strict=True):
+            row, col, z, ok = (np.frombuffer(b, d) for b, d in zip(raw, (np.int32, np.int32, np.float64, np.bool_), strict=True))
+            row, col = row - i * step, col - j * step
+            # a line that two blocks hold counts in the later one
+            inside = (np.abs(row) <= half) & (np.abs(col) <= half) & ((row >= 0) == (bi == i)) & ((col >= 0) == (bj == j))
+            parts.append((row[inside], col[inside], z[inside], ok[inside]))
+        row, col, z, ok = (np.concatenate(p) for p in zip(*parts, strict=True))
+        ground = _plane_residual(row[ok], col[ok], z[ok], percentile) if ok.sum() >= least else None
+        fraction = float(ok.mean()) if len(ok) else None
+        return pa.table({"i": pa.array([i], pa.int64()), "j": pa.array([j], pa.int64()), "fraction": pa.array([fraction], pa.float64()), "ground": pa.array([ground], pa.float64())})
+
+    found = windows.groupBy("i", "j").applyInArrow(fit, "i long, j long, fraction double, ground double")
+    return found.select((F.col("i") * step).alias("row"), (F.col("j") * step).alias("col"), "i", "j", "fraction", "ground")
 
 
 def fill_nearest(lattice: DataFrame) -> DataFrame:
     """lattice with empty points filled from the nearest full one (city-block distance,
-    first in row order of equals). The lattice is a thinned raster, its empty points are
-    met with its full ones, which are broadcast while they fit."""
-    full = lattice.filter("ground IS NOT NULL").select(F.col("i").alias("fi"), F.col("j").alias("fj"), F.col("ground").alias("g"))
-    empty = lattice.filter("ground IS NULL")
-    d = F.abs(F.col("i") - F.col("fi")) + F.abs(F.col("j") - F.col("fj"))
-    got = empty.crossJoin(full).groupBy("i", "j").agg(F.min_by("g", F.struct(d, "fi", "fj")).alias("g"))
-    return lattice.join(got, ["i", "j"], "left").withColumn("ground", F.coalesce("ground", "g")).drop("g")
+    first in row order of equals); without a full one they stay empty.
+
+    Points look for full ones in cells around them, whose side doubles until all have
+    found one: joins are on equal cells, and what is found goes into no later round."""
+    found = lattice.filter("ground IS NOT NULL").select(F.col("i").alias("fi"), F.col("j").alias("fj"), F.col("ground").alias("g"))
+    size = lattice.agg(F.max("i") - F.min("i") + 1, F.max("j") - F.min("j") + 1, F.count("ground")).first()
+    left = lattice.filter("ground IS NULL").select("i", "j")
+    near = F.sequence(F.lit(-1), F.lit(1))
+    done, reach = [], 1
+    while size[2]:
+        cell = lambda a, b, r=reach: [F.floor(F.col(a) / r).alias("a"), F.floor(F.col(b) / r).alias("b")]
+        around = left.select("i", "j", *cell("i", "j")).withColumn("x", F.explode(near)).withColumn("y", F.explode(near))
+        around = around.select("i", "j", (F.col("a") + F.col("x")).alias("a"), (F.col("b") + F.col("y")).alias("b"))
+        d = F.abs(F.col("i") - F.col("fi")) + F.abs(F.col("j") - F.col("fj"))
+        pairs = around.join(found.select("fi", "fj", "g", *cell("fi", "fj")), ["a", "b"]).filter(d <= reach)
+        hit = graph.cut(pairs.groupBy("i", "j").agg(F.min_by("g", F.struct(d, "fi", "fj")).alias("g")))
+        done.append(hit)
+        left = graph.cut(left.join(hit, ["i", "j"], "left_anti"))
+        if reach >= size[0] + size[1] or left.isEmpty():
+            break
+        reach *= 2
+    if not done:
+        return lattice
+    every = reduce(DataFrame.union, done)
+    return lattice.join(every, ["i", "j"], "left").withColumn("ground", F.coalesce("ground", "g")).drop("g")
 
 
 def estimate_ground(df: DataFrame, win: int, min_fraction: float = 0.05, **options) -> DataFrame:
     """(row, col, v, ground, ndsm, low_confidence): the lattice's ground interpolated at
     true places, never above the surface; height above it, never below zero."""
-    raw = graph._cut(lattice_ground(df, win, **options))
+    raw = graph.cut(lattice_ground(df, win, **options))
     filled = fill_nearest(raw)
     n = raw.agg(F.max("i") + 1, F.max("j") + 1).first()
     step = max(4, win // 2)

@@ -86,21 +86,37 @@ def rasterize(polygons: DataFrame, min_area: float = 1e-6) -> DataFrame:
     return px.groupBy("row", "col").agg(F.max("id").alias("id"))
 
 
+def _eroded(surface: DataFrame, footprints: DataFrame, kernel: list[tuple[int, int]]) -> DataFrame:
+    """(id, row, col) of footprint pixels whose neighbours in the image, by a kernel of
+    offsets, are all of the same building."""
+    offsets = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in kernel))
+    own, at = footprints.select("id", "row", "col"), F.col("k")
+    back = own.withColumn("k", F.explode(offsets)).select("id", F.col("row").alias("r"), F.col("col").alias("c"), (F.col("row") + at["i"]).alias("row"), (F.col("col") + at["j"]).alias("col"))
+    foreign = back.join(surface.select("row", "col"), ["row", "col"]).join(own, ["id", "row", "col"], "left_anti")
+    return own.join(foreign.select("id", F.col("r").alias("row"), F.col("c").alias("col")).distinct(), ["id", "row", "col"], "left_anti")
+
+
+def heights_over_terrain(surface: DataFrame, terrain: DataFrame, footprints: DataFrame, kernel: list[tuple[int, int]], least: int = 5) -> DataFrame:
+    """(id, height, roof_px, terrain_px): median surface of the eroded footprint minus median
+    terrain under the whole of it, both over valid pixels; buildings with fewer than
+    `least` of either are left out. surface and terrain: row, col, v."""
+    middle = lambda px, raster, name: px.join(raster.filter("v IS NOT NULL").select("row", "col", "v"), ["row", "col"]).groupBy("id").agg(F.median("v").alias(name), F.count("*").alias(f"{name}_px"))
+    both = middle(_eroded(surface, footprints, kernel), surface, "roof").join(middle(footprints.select("id", "row", "col"), terrain, "terrain"), "id")
+    enough = (F.col("roof_px") >= least) & (F.col("terrain_px") >= least)
+    return both.filter(enough).select("id", (F.col("roof") - F.col("terrain")).alias("height"), "roof_px", "terrain_px")
+
+
 def building_heights(surface: DataFrame, footprints: DataFrame, roof: list[tuple[int, int]], ring: list[tuple[int, int]], least: int = 5) -> DataFrame:
     """(id, height, roof_px, ring_px): median of the eroded roof minus median of the ring
     around it outside any building; buildings with fewer pixels than `least` are left out.
 
     surface: row, col, v; footprints: row, col, id > 0. Offsets are exploded for footprint
     pixels only."""
-    kern = lambda offs: F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in offs))
-    move = lambda offs: footprints.withColumn("k", F.explode(kern(offs))).select("id", (F.col("row") + F.col("k.i")).alias("row"), (F.col("col") + F.col("k.j")).alias("col"))
-    inside_image = surface.select("row", "col")
     own = footprints.select("id", "row", "col")
-    # neighbours that exist and are not of the building erode the pixel they belong to
-    back = footprints.withColumn("k", F.explode(kern(roof))).select("id", F.col("row").alias("r"), F.col("col").alias("c"), (F.col("row") + F.col("k.i")).alias("row"), (F.col("col") + F.col("k.j")).alias("col"))
-    lost = back.join(inside_image, ["row", "col"]).join(own, ["id", "row", "col"], "left_anti").select("id", F.col("r").alias("row"), F.col("c").alias("col")).distinct()
-    interior = own.join(lost, ["id", "row", "col"], "left_anti")
-    around = move(ring).distinct().join(own.select("row", "col"), ["row", "col"], "left_anti")
+    offsets = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in ring))
+    moved = own.withColumn("k", F.explode(offsets)).select("id", (F.col("row") + F.col("k.i")).alias("row"), (F.col("col") + F.col("k.j")).alias("col"))
+    interior = _eroded(surface, footprints, roof)
+    around = moved.distinct().join(own.select("row", "col"), ["row", "col"], "left_anti")
     v = surface.filter("v IS NOT NULL")
     top = interior.join(v, ["row", "col"]).groupBy("id").agg(F.median("v").alias("roof"), F.count("*").alias("roof_px"))
     low = around.join(v, ["row", "col"]).groupBy("id").agg(F.median("v").alias("ground"), F.count("*").alias("ring_px"))

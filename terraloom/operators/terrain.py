@@ -40,22 +40,27 @@ def mirrored(df: DataFrame, axis: str, half: int, repeat_edge: bool) -> DataFram
     return df.withColumn(axis, F.explode(F.array_compact(F.array(k, low, high))))
 
 
-def box_sums(df: DataFrame, size: int, sums: dict[str, Column], repeat_edge: bool = True, scene: str | None = None) -> DataFrame:
-    """df with sums over size x size pixels (size odd), borders mirrored."""
+def box_sums(df: DataFrame, size: int, sums: dict[str, Column], repeat_edge: bool = True, scene: str | None = None, running: bool = False) -> DataFrame:
+    """df with sums over size x size pixels (size odd), borders mirrored.
+
+    running: as differences of running sums, so that the cost of a pixel doesn't grow with
+    the window; their rounding is that of the sum over a whole line. Otherwise each window
+    is summed up by itself, for sums that are going to be subtracted from each other."""
     half = size // 2
-    names = list(sums)
     x = with_size(df, scene).withColumns(sums)
     for axis in ("row", "col"):
-        w = line(axis, half, scene)
         n = F.col("_h" if axis == "row" else "_w")
-        x = mirrored(x, axis, half, repeat_edge).withColumns({c: F.sum(c).over(w) for c in names}).filter((F.col(axis) >= 0) & (F.col(axis) < n))
+        first = Window.unboundedPreceding
+        upto, before, around = (line(axis, f, scene) for f in ((first, half), (first, -half - 1), half))
+        total = lambda c: F.sum(c).over(upto) - F.coalesce(F.sum(c).over(before), F.lit(0)) if running else F.sum(c).over(around)  # noqa: B023, E731
+        x = mirrored(x, axis, half, repeat_edge).withColumns({c: total(c) for c in sums}).filter((F.col(axis) >= 0) & (F.col(axis) < n))
     return x.drop("_h", "_w")
 
 
 def lowpass(df: DataFrame, size: int, v: str = "v", into: str = "low", scene: str | None = None) -> DataFrame:
     """Nodata-aware box mean (size made odd); null where half the window or more is nodata."""
     k = max(1, int(size)) | 1
-    out = box_sums(df, k, {"_s": F.coalesce(F.col(v), F.lit(0.0)), "_c": F.col(v).isNotNull().cast("long")}, True, scene)
+    out = box_sums(df, k, {"_s": F.coalesce(F.col(v), F.lit(0.0)), "_c": F.col(v).isNotNull().cast("long")}, True, scene, running=True)
     return out.withColumn(into, F.when(F.col("_c") > 0.5 * k * k, F.col("_s") / F.col("_c"))).drop("_s", "_c")
 
 
