@@ -47,6 +47,15 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 G = """g AS (SELECT vec_id AS "row", CAST(unnest(range(len(embedding))) AS BIGINT) AS col, CAST(unnest(embedding) AS DOUBLE) AS v, label FROM embeddings)"""
 
 
+def extent(g: DataFrame) -> tuple[int, int]:
+    """Numbers of rows and columns of a raster."""
+    return tuple(int(n) for n in g.agg(F.max("row") + 1, F.max("col") + 1).first())
+
+
+#: The raster's numbers of rows and columns as a common table expression `z`.
+Z = """z AS (SELECT CAST(max(vec_id) + 1 AS BIGINT) AS h, CAST(max(len(embedding)) AS BIGINT) AS w FROM embeddings)"""
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit price against list price of each order line: p, q, and two strata."""
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity", "l_returnflag")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from tempfile import mkdtemp
 
 from pyspark.sql import functions as F
 
+from terraloom.operators import graph
 from terraloom.plans.base import Registry
 from terraloom.session import table
 from terraloom.streaming import events as V
@@ -80,8 +80,7 @@ _batch("baseline_sliding_windows", "1 hour", "30 minutes")
 
 def _streamed(spark, sf_dir):
     """The events as a stream: a log written and read again, one file after the other."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="terraloom-")
-    path = f"{base.rstrip('/')}/log-{uuid.uuid4().hex}"
+    path = f"{graph.shared_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
     V.append(table(spark, sf_dir, "events").select(C("user_id").cast("string").alias("job"), C("event_id").alias("seq"), C("ts").cast("timestamp").alias("time"), C("event_type").alias("type"), C("event_type").alias("stage"), F.lit(None).cast("double").alias("seconds"), "value"), path)
     return V.stream(spark, path), path + "-checkpoint"
 
@@ -92,10 +91,12 @@ def sr2(spark, sf_dir):
     return V.drain(x.groupBy("type").agg(F.count("*").alias("n")), f"s{uuid.uuid4().hex}", checkpoint, "complete")
 
 
-@query("sr2_stream_windows_append")
+#: Windows that the watermark, ten minutes behind the last event, has closed.
+@query("sr2_stream_windows_append", "WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2) SELECT start, type, n, total FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def sr2w(spark, sf_dir):
     x, checkpoint = _streamed(spark, sf_dir)
-    return V.drain(V.windowed(x, "time", "type", "1 hour"), f"s{uuid.uuid4().hex}", checkpoint)
+    w = V.drain(V.windowed(x, "time", "type", "1 hour"), f"s{uuid.uuid4().hex}", checkpoint)
+    return w.select(C("start").cast("timestamp_ntz").alias("start"), "type", "n", (F.round("total", 4) + F.lit(0.0)).alias("total"))
 
 
 @query("sr4_stream_state", "SELECT CAST(user_id AS VARCHAR) AS job, max(event_id) AS seq FROM events GROUP BY 1")

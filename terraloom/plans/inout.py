@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terraloom.operators import errors as E
+from terraloom.operators import records as N
 from terraloom.operators import relational as R
 from terraloom.operators import terrain as T
 from terraloom.plans.base import G, P, Registry, S, grid, pairs, points, q6, r6
+from terraloom.plans.calibration import TILES, plan
 from terraloom.plans.windows import H, holes
 from terraloom.sources import catalog as K
 from terraloom.sources import raster, sinks
@@ -82,7 +85,8 @@ def sc11(spark, sf_dir):
 
 @query("sc13_request_keys", f"WITH {P} SELECT id, substr(sha1(printf('%.6f,%.6f', lon, lat)), 1, 16) AS key, sha256(printf('%.6f', lon)) AS content FROM pts")
 def sc13(spark, sf_dir):
-    return points(spark, sf_dir).select("id", F.substring(F.sha1(F.format_string("%.6f,%.6f", "lon", "lat")), 1, 16).alias("key"), F.sha2(F.format_string("%.6f", "lon"), 256).alias("content"))
+    key, content = N.request_key(C("lon"), C("lat")), N.content_hash(F.format_string("%.6f", "lon"))
+    return points(spark, sf_dir).select("id", key.alias("key"), content.alias("content"))
 
 
 @query("sc15_evenly_spaced_subset", """WITH r AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
@@ -93,29 +97,42 @@ def sc15(spark, sf_dir):
 
 @query("sc16_tile_ids", r"SELECT page_id, regexp_replace(url, '[_/][^_/]*$', '') AS stem, regexp_extract(url, '([^/]*)$', 1) AS tile FROM pages")
 def sc16(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[_/][^_/]*$", "").alias("stem"), F.regexp_extract("url", "([^/]*)$", 1).alias("tile"))
+    stem, tile = N.tile_name(C("url"))
+    return table(spark, sf_dir, "pages").select("page_id", stem.alias("stem"), tile.alias("tile"))
 
 
-@query("sc17_corner_crops", "SELECT s_suppkey, CAST(k AS INTEGER) AS k, CASE WHEN k % 2 = 0 THEN 0 ELSE 1024 - 518 END AS c0, CASE WHEN k < 2 THEN 0 ELSE 1024 - 518 END AS r0 FROM supplier, range(4) x(k) WHERE s_nationkey IN (1, 2, 3)")
+@query("sc17_corner_crops", "SELECT s_suppkey, CAST(k AS INTEGER) AS k, CASE WHEN k % 2 = 0 THEN 0 ELSE 1024 - 518 END AS c0, CASE WHEN k < 2 THEN 0 ELSE 1024 - 518 END AS r0 FROM supplier, range(4) x(k)")
 def sc17(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").filter(C("s_nationkey").isin(1, 2, 3)).select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    return s.select("s_suppkey", "k", F.when(C("k") % 2 == 0, 0).otherwise(506).alias("c0"), F.when(C("k") < 2, 0).otherwise(506).alias("r0"))
+    return N.corner_crops(table(spark, sf_dir, "supplier").select("s_suppkey"), 1024, 518)
 
 
 @query("sc18_json_configs", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def sc18(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return N.parsed(table(spark, sf_dir, "events"), "props", "k long").select("event_id", C("config.k").alias("k"))
 
 
 @query("sc19_synthetic_raster", "SELECT y AS \"row\", x AS col, round(sin(y / 9.0) + cos(x / 7.0), 6) + 0.0 AS v FROM range(40) a(y), range(50) b(x)")
 def sc19(spark, sf_dir):
-    p = spark.range(2000).select(F.floor(C("id") / 50).alias("row"), (C("id") % 50).alias("col"))
-    return p.select("row", "col", r6(F.sin(C("row") / 9) + F.cos(C("col") / 7)).alias("v"))
+    return N.wavy(spark, 40, 50).select("row", "col", r6("v").alias("v"))
 
 
-@query("sc20_cached_requests", "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey")
+@query("sc20_cached_requests", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS hit, sha256(CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') THEN printf('content of %.6f', CAST(c_custkey AS DOUBLE)) END) AS sha256 FROM customer")
 def sc20(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(C("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    """Customers with a finished order have been asked for before; a second store of the
+    same keys adds nothing."""
+    from terraloom.operators import graph
+    from terraloom.sources.cache import RequestCache
+
+    ask = lambda c: N.request_key(c.cast("double"))
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(C("o_custkey").cast("double").alias("k"))
+    fetched = done.select(ask(C("k")).alias("key"), F.format_string("content of %.6f", "k").alias("content"))
+    cache = RequestCache(spark, f"{graph.shared_folder(spark).rstrip('/')}/cache-{uuid.uuid4().hex}")
+    cache.store(fetched)
+    cache.store(fetched)
+    wanted = table(spark, sf_dir, "customer").select("c_custkey", ask(C("c_custkey")).alias("key"))
+    hits, misses = cache.split(wanted)
+    found = hits.join(cache.index(), "key").select("c_custkey", F.lit(True).alias("hit"), "sha256")
+    return found.union(misses.select("c_custkey", F.lit(False), F.lit(None).cast("string")))
 
 
 @query("sk2_export_summary", f"WITH {H} SELECT {q6('min(v)')} AS min, {q6('max(v)')} AS max, {q6('avg(v)')} AS mean, count(*) - count(v) AS nan_count FROM z")
@@ -173,26 +190,22 @@ def pf12(spark, sf_dir):
 
 @query("ag28_dataset_audit", f"WITH {G} SELECT label, count(*) AS n, {q6('count(*) / (SELECT count(*) FROM g)')} AS share, {q6('quantile_cont(v, 0.05)')} AS p5, {q6('median(v)')} AS med, {q6('quantile_cont(v, 0.95)')} AS p95, {q6('avg(CAST(v < 0 AS INTEGER))')} AS negative FROM g GROUP BY label")
 def ag28(spark, sf_dir):
-    g = grid(spark, sf_dir)
-    n = g.agg(F.count("*").alias("all"))
-    a = g.groupBy("label").agg(F.count("*").alias("n"), F.percentile("v", F.lit(0.05)).alias("p5"), F.median("v").alias("med"), F.percentile("v", F.lit(0.95)).alias("p95"), F.avg((C("v") < 0).cast("int")).alias("negative"))
-    return a.crossJoin(F.broadcast(n)).select("label", "n", r6(C("n") / C("all")).alias("share"), r6("p5").alias("p5"), r6("med").alias("med"), r6("p95").alias("p95"), r6("negative").alias("negative"))
+    a = N.audit(grid(spark, sf_dir), "label", "v")
+    return a.select("label", "n", *(r6(c).alias(c) for c in ("share", "p5", "med", "p95", "negative")))
 
 
 @query("ag29_summary_medians", f"WITH {S}, t AS (SELECT p_brand, l_returnflag, corr(p, q) AS r, median(p - q) AS m, count(*) AS n FROM s GROUP BY 1, 2) SELECT l_returnflag, {q6('median(r)')} AS median_r, CAST(count_if(r < 0) AS BIGINT) AS negative, {q6('median(m) FILTER (WHERE n > 500)', 4)} AS median_error FROM t GROUP BY 1")
 def ag29(spark, sf_dir):
     t = pairs(spark, sf_dir).groupBy("p_brand", "l_returnflag").agg(E.correlation("p", "q").alias("r"), F.median(C("p") - C("q")).alias("m"), F.count("*").alias("n"))
-    return t.groupBy("l_returnflag").agg(r6(F.median("r")).alias("median_r"), F.count_if(C("r") < 0).alias("negative"), r6(F.median(F.when(C("n") > 500, C("m"))), 4).alias("median_error"))
+    x = N.correlation_summary(t, "l_returnflag", "r", "m", "n", 500)
+    return x.select("l_returnflag", r6("median_r").alias("median_r"), "negative", r6("median_error", 4).alias("median_error"))
 
 
 @query("ag30_scale_shift_invariant_loss", f"""WITH {G}, m AS (SELECT label, quantile_disc(v, 0.5) AS t, quantile_disc(v * v, 0.5) AS u FROM g GROUP BY label), s AS (SELECT g.label AS label, greatest(avg(abs(v - t)), 1e-6) AS a, greatest(avg(abs(v * v - u)), 1e-6) AS b FROM g JOIN m USING (label) GROUP BY 1)
 SELECT label, {q6('avg(abs((v - t) / a - (v * v - u) / b))')} AS loss FROM g JOIN m USING (label) JOIN s USING (label) GROUP BY label""")
 def ag30(spark, sf_dir):
-    g = grid(spark, sf_dir).select("label", C("v").alias("x"), (C("v") * C("v")).alias("y"))
-    med = g.groupBy("label").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY x)").alias("t"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY y)").alias("u"), F.count("*").alias("n")).filter("n >= 16")
-    x = g.join(F.broadcast(med), "label")
-    sc = x.groupBy("label").agg(F.greatest(F.avg(F.abs(C("x") - C("t"))), F.lit(1e-6)).alias("a"), F.greatest(F.avg(F.abs(C("y") - C("u"))), F.lit(1e-6)).alias("b"))
-    return x.join(F.broadcast(sc), "label").groupBy("label").agg(r6(F.avg(F.abs((C("x") - C("t")) / C("a") - (C("y") - C("u")) / C("b")))).alias("loss"))
+    g = grid(spark, sf_dir).select("label", "v", (C("v") * C("v")).alias("square"))
+    return N.scale_shift_invariant_loss(g, "label", "v", "square").select("label", r6("loss").alias("loss"))
 
 
 @query("ag31_validation_medians", f"""WITH {S}, f AS (SELECT p_brand, l_returnflag, regr_slope(q, p) AS a, regr_intercept(q, p) AS b, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) >= 100), e AS (SELECT s.p_brand AS p_brand, s.l_returnflag AS k, sqrt(avg((a * p + b - q) * (a * p + b - q))) AS rmse FROM s JOIN f ON s.p_brand = f.p_brand AND s.l_returnflag = f.l_returnflag GROUP BY 1, 2)
@@ -204,48 +217,49 @@ def ag31(spark, sf_dir):
 
 @query("ag32_latency_stats", f"SELECT event_type, {q6('avg(value)')} AS mean, {q6('stddev_pop(value)')} AS std, {q6('min(value)')} AS lowest, {q6('median(value)')} AS med FROM events GROUP BY 1")
 def ag32(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"), r6(F.min("value")).alias("lowest"), r6(F.median("value")).alias("med"))
+    x = N.latency(table(spark, sf_dir, "events"), "event_type", "value")
+    return x.select("event_type", *(r6(c).alias(c) for c in ("mean", "std", "lowest", "med")))
 
 
 @query("ag41_content_hashes", "SELECT page_id, sha256(html) AS sha256 FROM pages")
 def ag41(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha256"))
+    return table(spark, sf_dir, "pages").select("page_id", N.content_hash(C("html")).alias("sha256"))
 
 
 @query("ag44_queue_counters_ag45_statuses", "SELECT o_orderpriority, CAST(count_if(o_orderstatus = 'O') AS BIGINT) AS queued, CAST(count_if(o_orderstatus = 'P') AS BIGINT) AS running, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS done FROM orders GROUP BY 1")
 def ag44(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*(F.count_if(C("o_orderstatus") == s).alias(n) for n, s in (("queued", "O"), ("running", "P"), ("done", "F"))))
+    return N.queue_counters(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", {"queued": "O", "running": "P", "done": "F"})
 
 
 @query("ag46_environment_report", "SELECT p_partkey, concat_ws('; ', CASE WHEN p_size < 8 THEN 'little memory' END, CASE WHEN p_retailprice < 1000 THEN 'old driver' END) AS issues, p_size >= 8 AND p_retailprice >= 1000 AS ready FROM part")
 def ag46(spark, sf_dir):
-    why = F.array_compact(F.array(F.when(C("p_size") < 8, F.lit("little memory")), F.when(C("p_retailprice") < 1000, F.lit("old driver"))))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(why, "; ").alias("issues"), (F.size(why) == 0).alias("ready"))
+    found, ready = N.issues([(C("p_size") < 8, "little memory"), (C("p_retailprice") < 1000, "old driver")])
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("issues"), ready.alias("ready"))
 
 
 @query("tk5_done_jobs_newest_first", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def tk5(spark, sf_dir):
-    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50)
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate")
+    return N.newest_first(done, "o_orderdate", "o_orderkey", 50)
 
 
-@query("tk6_layers_by_stage", "SELECT o_orderkey, r FROM orders JOIN (VALUES ('1-URGENT', 0), ('2-HIGH', 1), ('3-MEDIUM', 2), ('4-NOT SPECIFIED', 3), ('5-LOW', 4)) AS x(p, r) ON o_orderpriority = p WHERE o_orderkey < 2000")
+@query("tk6_layers_by_stage", "SELECT o_orderkey, r FROM orders JOIN (VALUES ('1-URGENT', 0), ('2-HIGH', 1), ('3-MEDIUM', 2), ('4-NOT SPECIFIED', 3), ('5-LOW', 4)) AS x(p, r) ON o_orderpriority = p")
 def tk6(spark, sf_dir):
-    st = spark.createDataFrame([("1-URGENT", 0), ("2-HIGH", 1), ("3-MEDIUM", 2), ("4-NOT SPECIFIED", 3), ("5-LOW", 4)], "o_orderpriority string, r int")
-    return table(spark, sf_dir, "orders").filter("o_orderkey < 2000").join(F.broadcast(st), "o_orderpriority").select("o_orderkey", "r").orderBy("r", "o_orderkey")
+    order = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return N.ranked_layers(table(spark, sf_dir, "orders"), "o_orderpriority", order, "o_orderkey").select("o_orderkey", "r")
 
 
 @query("tk8_best_checkpoint", "SELECT user_id, arg_min(event_id, (value, event_id)) AS best, min(value) AS value FROM events GROUP BY 1")
 def tk8(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("best"), F.min("value").alias("value"))
+    return N.best_by(table(spark, sf_dir, "events"), "user_id", "value", "event_id")
 
 
 @query("tk8_running_minimum", "SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS best FROM events")
 def tk8r(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.min("value").over(w).alias("best"))
+    return N.running_minimum(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", "best")
 
 
-@query("tk9_hashed_sample")
+@query("tk9_hashed_sample", f"WITH {G} SELECT \"row\", col, v FROM g ORDER BY md5(concat_ws(':', \"row\", col, 7)), \"row\", col LIMIT 5000")
 def tk9(spark, sf_dir):
     return R.hashed_sample(grid(spark, sf_dir).select("row", "col", "v"), 5000, 7, "row", "col")
 
@@ -259,31 +273,31 @@ def so1(spark, sf_dir):
 @query("so2_mask_union", f'WITH {G} SELECT "row", col FROM g WHERE v > 0.2 OR label = 3')
 def so2(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return g.filter("v > 0.2").select("row", "col").union(g.filter("label = 3").select("row", "col")).distinct()
+    return N.union_of(g.filter("v > 0.2"), g.filter("label = 3"))
 
 
 @query("so3_mask_intersection", f'WITH {G} SELECT "row", col FROM g WHERE v > 0.1 AND label = 3')
 def so3(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return g.filter("v > 0.1").select("row", "col").intersect(g.filter("label = 3").select("row", "col"))
+    return N.common_to(g.filter("v > 0.1"), g.filter("label = 3"))
 
 
 @query("so4_mask_difference", f'WITH {G} SELECT "row", col FROM g WHERE v > 0.1 AND label <> 3')
 def so4(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return g.filter("v > 0.1").select("row", "col").exceptAll(g.filter("label = 3").select("row", "col"))
+    return N.without(g.filter("v > 0.1"), g.filter("label = 3"))
 
 
 @query("so6_ordered_dedup", "WITH o AS (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS types FROM o GROUP BY 1")
 def so6(spark, sf_dir):
-    o = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("f"))
-    listed = F.array_sort(F.collect_list(F.struct("f", "event_type")))
-    return o.groupBy("user_id").agg(F.array_join(F.transform(listed, lambda x: x["event_type"]), ",").alias("types"))
+    x = N.in_order_once(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+    return x.select("user_id", F.array_join("items", ",").alias("types"))
 
 
 @query("so7_id_intersection", "SELECT DISTINCT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def so7(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").distinct()
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return N.common_to(table(spark, sf_dir, "documents"), good, ("doc_id",))
 
 
 @query("sk1_guarded_surface_kinds", "SELECT * FROM (VALUES ('relative', 'none', false), ('relative', 'metres', true), ('absolute', 'metres', false), ('absolute', 'feet', true)) AS x(kind, units, refused)")
@@ -306,24 +320,24 @@ def sk4(spark, sf_dir):
     return b.select("row", "col", X.confidence_level(C("v"), C("bits")).alias("band1"), C("bits").alias("band2"))
 
 
-@query("sk7_slope_levels", f"WITH {G} SELECT \"row\", col, {q6('greatest(0, least(1, abs(v) * 200 / 60))')} AS level FROM g")
+@query("sk7_slope_levels", f"""WITH {G}, n AS (SELECT "row", col, v, lag(v) OVER c AS west, lead(v) OVER c AS east, lag(v) OVER r AS north, lead(v) OVER r AS south FROM g WINDOW c AS (PARTITION BY "row" ORDER BY col), r AS (PARTITION BY col ORDER BY "row")),
+d AS (SELECT "row", col, (coalesce(east, v) - coalesce(west, v)) / CASE WHEN east IS NULL OR west IS NULL THEN 0.1e0 ELSE 0.2e0 END AS gx, (coalesce(south, v) - coalesce(north, v)) / CASE WHEN south IS NULL OR north IS NULL THEN 0.1e0 ELSE 0.2e0 END AS gy FROM n)
+SELECT "row", col, {q6('greatest(0, least(1, degrees(atan(sqrt(gx * gx + gy * gy))) / 60))')} AS level FROM d""")
 def sk7(spark, sf_dir):
-    return grid(spark, sf_dir).select("row", "col", r6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.abs("v") * 200 / 60))).alias("level"))
+    x = T.slope(grid(spark, sf_dir).select("row", "col", "v"), (0.1, 0.1))
+    return x.select("row", "col", r6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), C("slope") / 60))).alias("level"))
 
 
-@query("sk8_tile_overlay", "SELECT CAST(t AS INTEGER) AS tile_id, 150.0e0 * t / 2 AS top, 0.0e0 AS left_, 100.0e0 AS height, 32.0e0 AS width FROM range(3) x(t)")
+@query("sk8_tile_overlay", f"WITH {TILES} SELECT CAST(i AS INTEGER) AS tile_id, r / 2.0e0 AS top, 0.0e0 AS left_, th / 2.0e0 AS height, tw / 2.0e0 AS width FROM t")
 def sk8(spark, sf_dir):
-    from terraloom.operators import tiles as L
+    return plan(spark, sf_dir)[3].select("tile_id", (C("row0") / 2).alias("top"), (C("col0") / 2).alias("left_"), (C("h") / 2).alias("height"), (C("w") / 2).alias("width"))
 
-    p = L.plan(spark, 500, 64, 200, 50)
-    return p.select("tile_id", (C("row0") / 2).alias("top"), (C("col0") / 2).alias("left_"), (C("h") / 2).alias("height"), (C("w") / 2).alias("width"))
 
-
-@query("sk10_binary_mesh", f"WITH {G} SELECT CAST(1 AS BIGINT) AS files, CAST(16 * 64 AS BIGINT) AS vertices, CAST(15 * 63 * 2 AS BIGINT) AS faces")
+@query("sk10_binary_mesh", f"WITH {G} SELECT CAST(1 AS BIGINT) AS files, count(*) AS vertices, CAST((max(\"row\") * max(col)) * 2 AS BIGINT) AS faces FROM g")
 def sk10(spark, sf_dir):
-    v, f = T.mesh(grid(spark, sf_dir).filter("row < 16").select("row", "col", "v"), 1.0, 1.0)
-    vs = np.array([[r["x"], r["y"], r["z"]] for r in v.orderBy("vid").collect()])
-    fs = np.array([[r["a"], r["b"], r["c"]] for r in f.collect()])
+    v, f = T.mesh(grid(spark, sf_dir).select("row", "col", "v"), 1.0, 1.0)
+    # one file is one scene's mesh: it is put together where it is written
+    vs, fs = v.orderBy("vid").select("x", "y", "z").toPandas().to_numpy(), f.toPandas().to_numpy()
     return spark.createDataFrame([(int(sinks.glb(vs, fs)[:4] == b"glTF"), len(vs), len(fs))], "files long, vertices long, faces long")
 
 
@@ -363,18 +377,16 @@ def pf48(spark, sf_dir):
 
 @query("ag45_benchmark_matrix", "SELECT p_brand, CASE WHEN p_size > 45 THEN 'OOM' WHEN p_retailprice < 950 THEN 'ERROR' ELSE 'OK' END AS status, count(*) AS n FROM part GROUP BY 1, 2")
 def ag45(spark, sf_dir):
-    status = F.when(C("p_size") > 45, "OOM").when(C("p_retailprice") < 950, "ERROR").otherwise("OK")
+    status = N.first_status([(C("p_size") > 45, "OOM"), (C("p_retailprice") < 950, "ERROR")], "OK")
     return table(spark, sf_dir, "part").groupBy("p_brand", status.alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("sk12_job_log_append", "SELECT event_id, event_type FROM events")
 def sk12(spark, sf_dir):
-    from tempfile import mkdtemp
-
+    from terraloom.operators import graph
     from terraloom.streaming import events as V
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="terraloom-")
-    path = f"{base.rstrip('/')}/log-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 60)}"
+    path = f"{graph.shared_folder(spark).rstrip('/')}/log-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 60)}"
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
     V.append(e.filter("event_id % 2 = 0"), path)
     V.append(e.filter("event_id % 2 = 1"), path)

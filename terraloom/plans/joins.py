@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terraloom.operators import errors as E
+from terraloom.operators import records as N
 from terraloom.operators import regrid as J
 from terraloom.operators import terrain as T
-from terraloom.plans.base import G, Registry, S, grid, pairs, q6, r6
+from terraloom.plans.base import G, Registry, S, extent, grid, pairs, q6, r6
 from terraloom.sources import osm
 from terraloom.session import table
 
@@ -89,17 +89,17 @@ def jn5(spark, sf_dir):
     return J.cells_inside(coarse(spark, sf_dir).select("row", "col"), 8.0, 1.0, -8.0, 500.0, 5.0, 33.0, 60.0, 470.0)
 
 
-XML = """<osm><node id="1" lon="1.0" lat="1.0"/><node id="2" lon="4.0" lat="1.0"/><node id="3" lon="4.0" lat="5.0"/><node id="4" lon="1.0" lat="5.0"/>
-<way id="10"><nd ref="1"/><nd ref="2"/><nd ref="3"/><nd ref="4"/><nd ref="1"/><tag k="building" v="yes"/><tag k="height" v="12"/></way>
-<way id="11"><nd ref="1"/><nd ref="2"/><nd ref="3"/><tag k="building" v="house"/></way><way id="12"><nd ref="1"/><nd ref="9"/><nd ref="3"/><nd ref="1"/><tag k="building" v="yes"/></way>
-<way id="13"><nd ref="1"/><nd ref="2"/><tag k="highway" v="path"/></way><relation id="20"><tag k="building" v="yes"/></relation></osm>"""
+XML = """<osm><bounds minlon="7" minlat="50" maxlon="8" maxlat="51"/><node id="101" lon="7.25" lat="50.5"/><node id="102" lon="7.75" lat="50.5"/><node id="103" lon="7.75" lat="50.75"/><node id="104" lon="7.5" lat="50.75"/><node id="105" lon="7.25" lat="50.625"/>
+<way id="31"><nd ref="101"/><nd ref="102"/><nd ref="103"/><nd ref="104"/><nd ref="105"/><nd ref="101"/><tag k="building" v="barn"/><tag k="height" v="6.5"/></way>
+<way id="32"><nd ref="102"/><nd ref="103"/><nd ref="105"/><tag k="building" v="shed"/></way><way id="33"><nd ref="101"/><nd ref="104"/><nd ref="777"/><nd ref="101"/><tag k="building" v="garage"/></way>
+<way id="34"><nd ref="104"/><nd ref="105"/><tag k="waterway" v="ditch"/></way><relation id="41"><tag k="building" v="church"/></relation></osm>"""
 
 
 def _xml(spark):
     return spark.createDataFrame([(XML,)], "xml string")
 
 
-@query("sc12_osm_buildings", "SELECT CAST(10 AS BIGINT) AS id, 'yes' AS building, '12' AS height_tag, 5 AS points, 12.0::DOUBLE AS area")
+@query("sc12_osm_buildings", "SELECT CAST(31 AS BIGINT) AS id, 'barn' AS building, '6.5' AS height_tag, 6 AS points, 0.109375::DOUBLE AS area")
 def sc12(spark, sf_dir):
     b, _ = osm.buildings(_xml(spark))
     ring = F.transform("coords", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
@@ -111,7 +111,7 @@ def jn9(spark, sf_dir):
     return osm.buildings(_xml(spark))[1]
 
 
-@query("jn9_unknown_references", "SELECT CAST(12 AS BIGINT) AS id, '9' AS ref")
+@query("jn9_unknown_references", "SELECT CAST(33 AS BIGINT) AS id, '777' AS ref")
 def jn9u(spark, sf_dir):
     w = osm.building_ways(_xml(spark)).select("id", F.explode("refs").alias("ref"))
     return w.join(osm.nodes(_xml(spark)), "ref", "left_anti").select("id", "ref")
@@ -155,12 +155,13 @@ def dt2(spark, sf_dir):
     return J.require_grids(spark.createDataFrame([("egm08",), ("egm96",)], "grid string"), spark.createDataFrame([("egm96",), ("egm08",), ("navd",)], "grid string"))
 
 
-@query("dt3_offset_lattice_error", f"""WITH {G}, f AS (SELECT "row", col, sin("row" / 40.0) + cos(col / 40.0) AS t FROM g), p AS (SELECT "row", col, t, least("row" // 16, 30) AS r0, least(col // 16, 2) AS c0 FROM f WHERE "row" <= 496 AND col <= 48),
+@query("dt3_offset_lattice_error", f"""WITH {G}, f AS (SELECT "row", col, sin("row" / 40.0) + cos(col / 40.0) AS t FROM g), p AS (SELECT "row", col, t, least("row" // 16, h - 1) AS r0, least(col // 16, w - 1) AS c0 FROM f, (SELECT max("row") // 16 AS h, max(col) // 16 AS w FROM g)),
 q AS (SELECT "row", col, t, (sin((r0 * 16) / 40.0) * (1 - "row" / 16.0 + r0) + sin((r0 + 1) * 16 / 40.0) * ("row" / 16.0 - r0)) + (cos(c0 * 16 / 40.0) * (1 - col / 16.0 + c0) + cos((c0 + 1) * 16 / 40.0) * (col / 16.0 - c0)) AS a FROM p) SELECT {q6('max(abs(a - t))', 5)} AS worst FROM q""")
 def dt3(spark, sf_dir):
-    f = grid(spark, sf_dir).select("row", "col", (F.sin(C("row") / 40) + F.cos(C("col") / 40)).alias("t")).filter("row <= 496 AND col <= 48")
+    f = grid(spark, sf_dir).select("row", "col", (F.sin(C("row") / 40) + F.cos(C("col") / 40)).alias("t"))
+    h, w = extent(f)
     lattice = f.filter("row % 16 = 0 AND col % 16 = 0").select(F.floor(C("row") / 16).alias("row"), F.floor(C("col") / 16).alias("col"), C("t").alias("v"))
-    x = J.bilinear(f, lattice, C("row") / 16, C("col") / 16, ["row", "col"], "v", "a", True, (32, 4))
+    x = J.bilinear(f, lattice, C("row") / 16, C("col") / 16, ["row", "col"], "v", "a", True, ((h - 1) // 16 + 1, (w - 1) // 16 + 1))
     return x.agg(r6(F.max(F.abs(C("a") - C("t"))), 5).alias("worst"))
 
 
@@ -184,39 +185,42 @@ def ag22(spark, sf_dir):
     return h.select("id", r6("height").alias("height"), "roof_px", "ring_px")
 
 
-@query("ag23_lidar_heights")
+_CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+
+
+@query("ag23_lidar_heights", f"""WITH {G}, {_FP}, k(i, j) AS (VALUES {", ".join(map(str, _CROSS))}), dt AS (SELECT "row", col, v * 0.25 - 1 AS t FROM g WHERE label <> 4),
+bad AS (SELECT DISTINCT a.id, a."row", a.col FROM fp a, k JOIN g ON g."row" = a."row" + i AND g.col = a.col + j LEFT JOIN fp b ON b."row" = g."row" AND b.col = g.col AND b.id = a.id WHERE b.id IS NULL),
+roof AS (SELECT id, median(v) AS m, count(*) AS n FROM fp JOIN g USING ("row", col) ANTI JOIN bad USING (id, "row", col) GROUP BY id), ter AS (SELECT id, median(t) AS m, count(*) AS n FROM fp JOIN dt USING ("row", col) GROUP BY id)
+SELECT roof.id AS id, {q6('roof.m - ter.m')} AS height, roof.n AS roof_px, ter.n AS terrain_px FROM roof JOIN ter USING (id) WHERE roof.n >= 5 AND ter.n >= 5""")
 def ag23(spark, sf_dir):
-    """Roof median after a small erosion minus the median terrain under the footprint."""
-    cross = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
-    roof = J.building_heights(grid(spark, sf_dir), footprints(spark, sf_dir), cross, T.ellipse(1)).select("id", "roof_px")
-    under = footprints(spark, sf_dir).join(grid(spark, sf_dir), ["row", "col"]).groupBy("id").agg(r6(F.median(C("v") - 1)).alias("terrain"))
-    return roof.join(under, "id")
+    """Heights over a terrain raster with nodata, as measured by laser."""
+    g = grid(spark, sf_dir)
+    terrain = g.filter("label <> 4").select("row", "col", (C("v") * 0.25 - 1).alias("v"))
+    h = J.heights_over_terrain(g, terrain, footprints(spark, sf_dir), _CROSS)
+    return h.select("id", r6("height").alias("height"), "roof_px", "terrain_px")
 
 
 @query("ag25_centroid_blocks", f"WITH {G}, {_FP} SELECT id, (CAST(trunc(avg(\"row\")) AS BIGINT) // 50 + CAST(trunc(avg(col)) AS BIGINT) // 20) % 2 = 0 AS fit FROM fp GROUP BY id")
 def ag25(spark, sf_dir):
-    from terraloom.functions.scalars import checkerboard
-
-    c = footprints(spark, sf_dir).groupBy("id").agg(F.avg("row").cast("long").alias("r"), F.avg("col").cast("long").alias("c"))
-    return c.select("id", (F.pmod(F.floor(C("r") / 50) + F.floor(C("c") / 20), F.lit(2)) == 0).alias("fit"))
+    return N.centroid_fit(footprints(spark, sf_dir), 50, 20)
 
 
 @query("ag26_majority_level", f"WITH {G}, {_FP} SELECT id, avg(CAST(v < 0 AS INTEGER)) > 0.5 AS low FROM fp JOIN g USING (\"row\", col) GROUP BY id")
 def ag26(spark, sf_dir):
-    return footprints(spark, sf_dir).join(grid(spark, sf_dir), ["row", "col"]).groupBy("id").agg((F.avg((C("v") < 0).cast("int")) > 0.5).alias("low"))
+    return N.majority(footprints(spark, sf_dir), grid(spark, sf_dir), C("v") < 0, "low")
 
 
 @query("ag27_ratio_calibration", f"WITH {S} SELECT p_brand, {q6('median(q / p)')} AS k, {q6('quantile_cont(q / p, 0.75) - quantile_cont(q / p, 0.25)')} AS iqr FROM s GROUP BY p_brand HAVING count(*) >= 5")
 def ag27(spark, sf_dir):
-    x = C("q") / C("p")
-    return pairs(spark, sf_dir).groupBy("p_brand").agg(r6(F.median(x)).alias("k"), r6(F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))).alias("iqr"), F.count("*").alias("n")).filter("n >= 5").drop("n")
+    x = N.ratio_fit(pairs(spark, sf_dir), "p_brand", "p", "q")
+    return x.select("p_brand", r6("k").alias("k"), r6("iqr").alias("iqr"))
 
 
 @query("jn10_estimates_truth_held", "SELECT o_orderkey, o_totalprice, c_acctbal, c_mktsegment = 'BUILDING' AS held FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
 def jn10(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", (C("c_mktsegment") == "BUILDING").alias("held"))
-    return o.join(c, C("o_custkey") == C("c_custkey")).select("o_orderkey", "o_totalprice", "c_acctbal", "held")
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    x = N.evaluation_set(o, table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", C("c_mktsegment") == "BUILDING")
+    return x.select("o_orderkey", "o_totalprice", "c_acctbal", "held")
 
 
 @query("jn12_overlap_refusal", f'WITH {G} SELECT count(*) AS shared FROM (SELECT "row", col FROM g WHERE ("row" // 5 + col // 5) % 2 = 0) a SEMI JOIN (SELECT "row", col FROM g WHERE ("row" // 5 + col // 5) % 2 <> 0) b USING ("row", col)')
@@ -225,7 +229,8 @@ def jn12(spark, sf_dir):
 
     g = grid(spark, sf_dir)
     fit = checkerboard(C("row"), C("col"), 5)
-    return g.filter(fit).join(g.filter(~fit), ["row", "col"], "left_semi").agg(F.count("*").alias("shared"))
+    N.refuse_overlap(g.filter(fit), g.filter(~fit), ["row", "col"])
+    return N.shared_keys(g.filter(fit), g.filter(~fit), ["row", "col"])
 
 
 @query("jn13_new_neighbour_tiles", "WITH t AS (SELECT DISTINCT s_nationkey AS a, s_suppkey % 7 AS b FROM supplier), n AS (SELECT DISTINCT a + i AS a, b + j AS b FROM t, range(-1, 2) x(i), range(-1, 2) y(j)) SELECT a, b FROM n ANTI JOIN t USING (a, b)")
@@ -238,27 +243,31 @@ def jn13(spark, sf_dir):
 
 @query("jn17_lookup", "SELECT l_returnflag, sum(l_quantity) FILTER (WHERE l_linestatus = 'O') AS o, sum(l_quantity) FILTER (WHERE l_linestatus = 'F') AS f FROM lineitem GROUP BY 1")
 def jn17(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.sum("l_quantity"))
+    p = N.lookup(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", ["O", "F"])
     return p.select("l_returnflag", C("O").alias("o"), C("F").alias("f"))
 
 
 @query("jn18_evidence_lookup", "SELECT o_orderkey, x.error FROM orders LEFT JOIN (VALUES ('F', 4.7e0), ('O', 4.4e0)) AS x(level, error) ON o_orderstatus = level")
 def jn18(spark, sf_dir):
     e = spark.createDataFrame([("F", 4.7), ("O", 4.4)], "o_orderstatus string, error double")
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(F.broadcast(e), "o_orderstatus", "left").select("o_orderkey", "error")
+    return N.with_evidence(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), e, "o_orderstatus").select("o_orderkey", "error")
 
 
-@query("jn19_incomplete_triples", "SELECT o_orderkey FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey")
+@query("jn19_incomplete_triples", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def jn19(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(li, "o_orderkey", "left_anti")
+    """Orders without a line, or without a returned one."""
+    li = table(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    return N.incomplete(table(spark, sf_dir, "orders"), [li, li.filter("l_returnflag = 'R'")], "o_orderkey")
 
 
-@query("jn20_optional_layer", f'WITH {G} SELECT "row", col, CAST(NULL AS INTEGER) AS landcover, \'no land cover\' AS note FROM g WHERE label = 1')
+@query("jn20_optional_layer", f"""WITH {G} SELECT "row", col, CASE WHEN label <> 2 THEN CAST(label * 10 AS INTEGER) END AS landcover, CASE WHEN label = 2 THEN 'no landcover' END AS note, CAST(NULL AS INTEGER) AS water, 'no water' AS water_note FROM g""")
 def jn20(spark, sf_dir):
-    layer = None  # the optional table is absent: a null column and a note stand for it
-    g = grid(spark, sf_dir).filter("label = 1").select("row", "col")
-    return g.join(layer, ["row", "col"], "left") if layer else g.withColumn("landcover", F.lit(None).cast("int")).withColumn("note", F.lit("no land cover"))
+    """One layer that has pixels for most of the raster, and one that is not there."""
+    g = grid(spark, sf_dir)
+    layer = g.filter("label <> 2").select("row", "col", (C("label") * 10).alias("v"))
+    x = N.optional_layer(g.select("row", "col"), layer, "landcover", "int").withColumnRenamed("note", "land_note")
+    x = N.optional_layer(x, None, "water", "int")
+    return x.select("row", "col", "landcover", C("land_note").alias("note"), "water", C("note").alias("water_note"))
 
 
 _FACTORS = "r AS (SELECT DISTINCT l_returnflag AS f FROM lineitem), b AS (SELECT DISTINCT p_brand FROM part), m(method) AS (VALUES ('a'), ('b'))"
@@ -270,16 +279,15 @@ def jn21(spark, sf_dir):
 
 
 def _factors(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").select(C("l_returnflag").alias("f")).distinct()
-    b = table(spark, sf_dir, "part").select("p_brand").distinct()
-    m = spark.createDataFrame([("a",), ("b",)], "method string")
-    return r.crossJoin(b).crossJoin(m)
+    flags = table(spark, sf_dir, "lineitem").select(C("l_returnflag").alias("f"))
+    brands = table(spark, sf_dir, "part").select("p_brand")
+    return N.factor_grid(flags, brands, spark.createDataFrame([("a",), ("b",)], "method string"))
 
 
 @query("jn22_not_evaluated_kept", f"WITH {_FACTORS}, {S}, s2 AS (SELECT l_returnflag AS f, p_brand, 'a' AS method, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) > 800) SELECT f, p_brand, method, n, n IS NOT NULL AS evaluated FROM r CROSS JOIN b CROSS JOIN m LEFT JOIN s2 USING (f, p_brand, method)")
 def jn22(spark, sf_dir):
     res = pairs(spark, sf_dir).groupBy(C("l_returnflag").alias("f"), "p_brand").agg(F.count("*").alias("n")).filter("n > 800").withColumn("method", F.lit("a"))
-    return _factors(spark, sf_dir).join(res, ["f", "p_brand", "method"], "left").withColumn("evaluated", C("n").isNotNull())
+    return N.with_results(_factors(spark, sf_dir), res, ["f", "p_brand", "method"], "n")
 
 
 @query("baseline_as_of_join", "SELECT a.event_id, (SELECT arg_max(b.value, (b.ts, b.event_id)) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase' AND b.ts <= a.ts) AS last_purchase FROM events a WHERE a.event_type = 'click'")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terraloom.operators import errors as E
-from terraloom.plans.base import G, P, Registry, S, grid, pairs, points, q6, r6  # noqa: F401
+from terraloom.operators import records as N
+from terraloom.plans.base import G, P, Registry, S, Z, grid, pairs, points, q6, r6  # noqa: F401
 from terraloom.session import table
 
 query = Registry()
@@ -142,7 +143,12 @@ def ag34(spark, sf_dir):
     return cell_pairs(spark, sf_dir).groupBy("label").agg(r6(hole).alias("nan_fraction"), r6(F.min("ref")).alias("lowest"), r6(F.max("ref")).alias("highest"), r6(1 - hole).alias("coverage"))
 
 
-@query("ag36_evaluate_by_slope", None)
+_SLOPE = """sg AS (SELECT "row", col, v, ref, CASE WHEN col = 0 THEN (lead(ref) OVER c - ref) / 0.05e0 WHEN col = w - 1 THEN (ref - lag(ref) OVER c) / 0.05e0 ELSE (lead(ref) OVER c - lag(ref) OVER c) / 0.1e0 END AS gx,
+CASE WHEN "row" = 0 THEN (lead(ref) OVER r - ref) / 0.05e0 WHEN "row" = h - 1 THEN (ref - lag(ref) OVER r) / 0.05e0 ELSE (lead(ref) OVER r - lag(ref) OVER r) / 0.1e0 END AS gy FROM cp, z WINDOW c AS (PARTITION BY "row" ORDER BY col), r AS (PARTITION BY col ORDER BY "row")),
+sd AS (SELECT v, ref, degrees(atan(sqrt(gx * gx + gy * gy))) AS s FROM sg), sc AS (SELECT v, ref, CASE WHEN s IS NULL THEN -1 WHEN s < 5 THEN 0 WHEN s < 15 THEN 1 ELSE 2 END AS slope_class FROM sd)"""
+
+
+@query("ag36_evaluate_by_slope", f"SELECT x.slope_class, x.name, coalesce(n, 0) AS n, coalesce(excluded_nodata, 0) AS excluded_nodata, {', '.join(_STATS)} FROM (VALUES (0, 'flat'), (1, 'moderate'), (2, 'steep')) AS x(slope_class, name) LEFT JOIN ({metrics_sql(f'{CELLS}, {Z}, {_SLOPE}', 'sc', 'v', 'ref', 'slope_class')}) m ON m.slope_class = x.slope_class")
 def ag36(spark, sf_dir):
     from terraloom.operators import terrain
 
@@ -165,9 +171,8 @@ u AS (SELECT "row", col, v, 'a' AS variant, a AS x, a IS NOT NULL AND b IS NOT N
 SELECT variant, count(x) AS n, count(*) AS total, {q6('sqrt(avg((x - v) * (x - v)))')} AS rmse_all, {q6('sqrt(avg((x - v) * (x - v)) FILTER (WHERE common))')} AS rmse_common FROM u GROUP BY variant""")
 def ag43(spark, sf_dir):
     t = cell_pairs(spark, sf_dir).select("v", F.when(F.col("col") % 5 != 0, F.col("ref")).alias("a"), F.when(F.col("row") % 7 != 0, F.col("ref") * 0.9).alias("b"))
-    u = t.selectExpr("v", "a IS NOT NULL AND b IS NOT NULL AS common", "stack(3, 'a', a, 'b', b, 'hybrid', coalesce(a, b)) AS (variant, x)")
-    e = (F.col("x") - F.col("v")) ** 2
-    return u.groupBy("variant").agg(F.count("x").alias("n"), F.count("*").alias("total"), r6(F.sqrt(F.avg(e))).alias("rmse_all"), r6(F.sqrt(F.avg(F.when(F.col("common"), e)))).alias("rmse_common"))
+    x = N.compare_variants(t, "v", ["a", "b"])
+    return x.select("variant", "n", "total", r6("rmse_all").alias("rmse_all"), r6("rmse_common").alias("rmse_common"))
 
 
 @query("jn11_common_subset", f"""WITH {S}, b AS (SELECT p_brand FROM s GROUP BY p_brand HAVING count(DISTINCT l_returnflag) = (SELECT count(DISTINCT l_returnflag) FROM s)) SELECT p_brand, count(*) AS n FROM s WHERE p_brand IN (SELECT p_brand FROM b) GROUP BY p_brand""")

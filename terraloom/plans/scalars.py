@@ -190,7 +190,7 @@ def ag37(spark, sf_dir):
     return sums.selectExpr("n", "stack(4, 1, b1, 2, b2, 4, b4, 8, b8) AS (bit, k)").select("bit", r6(C("k") / F.greatest(C("n"), F.lit(1))).alias("fraction"))
 
 
-@query("pf25_describe_reasons", "SELECT bits, array_to_string(list_transform(list_filter([{'b': 1, 't': 'no visible ground nearby (ground estimate unreliable)'}, {'b': 2, 't': 'tree cover (canopy hides the ground)'}, {'b': 4, 't': 'water'}, {'b': 8, 't': 'height below 2x the DSM uncertainty (not distinguishable from noise)'}], lambda x: (bits & x.b) <> 0), lambda x: x.t), '; ') AS texts FROM (SELECT CAST(unnest(range(16)) AS INTEGER) AS bits)")
+@query("pf25_describe_reasons", "SELECT bits, array_to_string(list_transform(list_filter([{'b': 1, 't': 'too little open ground around for a ground estimate'}, {'b': 2, 't': 'trees stand between the sensor and the ground'}, {'b': 4, 't': 'open water'}, {'b': 8, 't': 'the height is less than two standard errors'}], lambda x: (bits & x.b) <> 0), lambda x: x.t), '; ') AS texts FROM (SELECT CAST(unnest(range(16)) AS INTEGER) AS bits)")
 def pf25(spark, sf_dir):
     return spark.range(16).select(C("id").cast("int").alias("bits")).select("bits", F.array_join(X.describe_reasons(C("bits")), "; ").alias("texts"))
 
@@ -243,11 +243,11 @@ def pf30(spark, sf_dir):
     return points(spark, sf_dir).select("id", r6(el, 5).alias("elevation"), r6(az, 4).alias("azimuth"))
 
 
-@query("tk3_time_for_azimuth", f"""WITH {P}, times AS (SELECT id, lon, lat, CAST(1718928000 - 43200 + 60 * i AS DOUBLE) AS t FROM pts, range(2880) r(i) WHERE id <= 40 AND abs(lat) < 55), {_SUN},
+@query("tk3_time_for_azimuth", f"""WITH {P}, times AS (SELECT id, lon, lat, CAST(1718928000 - 43200 + 60 * i AS DOUBLE) AS t FROM pts, range(2880) r(i) WHERE abs(lat) < 55), {_SUN},
 ok AS (SELECT id, t, elevation, CASE WHEN ha > 0 THEN (az0 + 180) % 360 ELSE (540 - az0) % 360 END AS az FROM sun WHERE elevation > 5 AND CAST(floor((t + lon * 240) / 86400) AS BIGINT) = 19895)
 SELECT id, CAST(arg_min(t, round(abs((az - 135 + 180 + 360) % 360 - 180), 6) * 1e7 + (t - 1718884800) / 60 * 1e-3) AS BIGINT) AS t FROM ok GROUP BY id""")
 def tk3(spark, sf_dir):
-    p = points(spark, sf_dir).filter((C("id") <= 40) & (F.abs("lat") < 55))
+    p = points(spark, sf_dir).filter(F.abs("lat") < 55)
     t = p.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(2879)))).withColumn("t", (1718928000 - 43200 + 60 * C("t")).cast("double"))
     el, az = X.solar_position(C("lon"), C("lat"), C("t"))
     day = F.floor((C("t") + C("lon") * 240) / 86400)
