@@ -55,6 +55,14 @@ def _method(name):
 
 
 query("pf21_method_m0", f"""WITH {G}, w AS (SELECT label = 9 AS water FROM g) SELECT count(*) AS n, CAST(count_if(water) AS BIGINT) AS low, true AS metric, 0.5::DOUBLE AS mean_sigma FROM w""")(lambda spark, sf_dir: _method("M0")(spark, sf_dir).select("n", "low", "metric", "mean_sigma"))
+@query("ud4_method_registry", f"WITH {G} SELECT method, count(*) AS n, {q6('avg(4 * v + 2 + CASE WHEN (31 * \"row\" + 17 * col + \"row\" * col) % 20 = 0 THEN 80 ELSE 0 END)', 3)} AS mean FROM g, (VALUES ('M0'), ('own')) AS m(method) GROUP BY method")
+def ud4(spark, sf_dir):
+    """A registered method and one of one's own, through the same interface."""
+    methods = {"M0": K.METHODS["M0"], "own": lambda df, **_: (df.select("row", "col", C("dem").alias("z")), {"metric": True})}
+    made = [f(world(spark, sf_dir), gate=K.Gate(bootstrap=5))[0].agg(F.count("z").alias("n"), r6(F.avg("z"), 3).alias("mean")).select(F.lit(m).alias("method"), "n", "mean") for m, f in methods.items()]
+    return made[0].union(made[1])
+
+
 query("pf35_method_m1")(_method("M1"))
 query("pf34_method_m2_cell")(_method("M2_cell"))
 query("pf34_method_m2_smooth")(_method("M2_smooth"))

@@ -85,6 +85,28 @@ def pf6(spark, sf_dir):
     return _names(spark, sf_dir, "skadi")
 
 
+def _aux(layer):
+    """The tile query's text with the names of an auxiliary layer."""
+    return _name_sql("copernicus").replace("|| '_00_DEM' AS tile", f"|| '_00_DEM/AUXFILES/' || {_CORNER} || '_{layer}.tif' AS tile")
+
+
+_CORNER = "'Copernicus_DSM_COG_10_' || CASE WHEN la >= 0 THEN 'N' ELSE 'S' END || lpad(CAST(abs(la) AS VARCHAR), 2, '0') || '_00_' || CASE WHEN lo >= 0 THEN 'E' ELSE 'W' END || lpad(CAST(abs(lo) AS VARCHAR), 3, '0') || '_00'"
+
+
+@query("sc5_sc6_connectors_ud5", f"SELECT 'copernicus_wbm' AS source, * FROM ({_aux('WBM')}) UNION ALL SELECT 'copernicus_hem', * FROM ({_aux('HEM')}) UNION ALL SELECT 'tilezen_skadi', * FROM ({_name_sql('skadi')}) UNION ALL SELECT 'own', id, 'la' || la || 'lo' || lo FROM ({_name_sql('skadi').replace('SELECT id, CASE', 'SELECT id, la, lo, CASE')})")
+def connectors(spark, sf_dir):
+    """Files of the connectors that are found by name, and of a naming function of one's own."""
+    from terraloom.sources import catalog
+
+    p = points(spark, sf_dir)
+    areas = p.select("id", C("lon").alias("west"), C("lat").alias("south"), (C("lon") + 0.75).alias("east"), (C("lat") + 1.5).alias("north"))
+    own = lambda lat, lon: F.concat(F.lit("la"), lat.cast("string"), F.lit("lo"), lon.cast("string"))
+    made = [(k, catalog.tile_requests(areas, k)) for k in ("copernicus_wbm", "copernicus_hem", "tilezen_skadi")]
+    made.append(("own", catalog.tile_requests(areas, "own", own)))
+    out = [x.select(F.lit(k).alias("source"), "id", "tile") for k, x in made]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
 @query("pf7_auxiliary_urls", "SELECT page_id, regexp_replace(url, '^https?://', '') || '_WBM.tif' AS aux FROM pages")
 def pf7(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", "^https?://", ""), F.lit("_WBM.tif")).alias("aux"))

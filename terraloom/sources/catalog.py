@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.functions import scalars
+
 #: Key, kind, tile naming, vertical datum, units.
 SOURCES = [
     ("copernicus_glo30", "surface", "copernicus", "EGM2008", "metres"),
@@ -44,6 +48,32 @@ def landcover_classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LANDCOVER.items()), "code int, name string")
 
 
+#: How a source's files are named: a function of the columns (lat, lon) of a degree tile's
+#: south-west corner. Sources that are found by a search have none.
+NAMING: dict[str, Callable[[Column, Column], Column]] = {
+    "copernicus_glo30": lambda lat, lon: scalars.degree_tile_name(lat, lon),
+    "copernicus_wbm": lambda lat, lon: _auxiliary(lat, lon, "WBM"),
+    "copernicus_hem": lambda lat, lon: _auxiliary(lat, lon, "HEM"),
+    "tilezen_skadi": lambda lat, lon: scalars.degree_tile_name(lat, lon, "skadi"),
+}
+
+
+def _auxiliary(lat: Column, lon: Column, layer: str) -> Column:
+    """The file of a layer that lies beside an elevation tile, on the same grid."""
+    tile = scalars.degree_tile_name(lat, lon)
+    return F.concat(tile, F.lit("/AUXFILES/"), F.regexp_replace(tile, "_DEM$", f"_{layer}.tif"))
+
+
+def tile_requests(areas: DataFrame, source: str, naming: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """areas (id, west, south, east, north) with the `tile` names of a source that cover
+    each, a row a tile. naming: another function than the source's own."""
+    name = naming or NAMING.get(source)
+    if name is None:
+        raise ValueError(f"files of {source!r} are found by a search, not by name")
+    tiles = scalars.degree_tiles(*(F.col(c) for c in ("west", "south", "east", "north")))
+    return areas.withColumn("_t", F.explode(tiles)).withColumn("tile", name(F.col("_t.lat"), F.col("_t.lon"))).drop("_t")
+
+
 def wanted_and_missing(wanted: DataFrame, present: DataFrame, key: str = "tile") -> DataFrame:
     """wanted with `missing`: tiles that are not there are recorded, not fatal."""
     return wanted.join(present.select(key).distinct().withColumn("_ok", F.lit(True)), key, "left").withColumn("missing", F.col("_ok").isNull()).drop("_ok")
