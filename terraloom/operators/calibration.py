@@ -113,7 +113,7 @@ def _indexed(df: DataFrame, x: str, y: str, seed: int) -> DataFrame:
 def ransac_fit(df: DataFrame, x: str, y: str, seed: int = 0, trials: int = 100) -> dict:
     """Least squares on the inliers of the best of `trials` lines through two hashed
     points; inliers lie within the median absolute deviation of y."""
-    pts = _indexed(df, x, y, seed).cache()
+    pts = graph.cut(_indexed(df, x, y, seed))
     n = pts.count()
     if n < 2:
         raise ValueError("two points at least are needed")
@@ -136,7 +136,7 @@ def ransac_fit(df: DataFrame, x: str, y: str, seed: int = 0, trials: int = 100)
 def bootstrap_std(df: DataFrame, x: str, y: str, seed: int = 0, times: int = 30) -> dict:
     """Standard deviation of Huber slopes over resamples of at most RESAMPLE points with
     replacement, scaled to the whole sample's size. A resample is one bounded group."""
-    pts = _indexed(df, x, y, seed).cache()
+    pts = graph.cut(_indexed(df, x, y, seed))
     n = pts.count()
     m = min(n, RESAMPLE)
     draws = df.sparkSession.range(times * m).select(F.floor(F.col("id") / m).alias("k"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("i"))

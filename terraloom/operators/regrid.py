@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,24 @@ def bilinear(fine: DataFrame, coarse: DataFrame, row: Column, col: Column, keys:
     return got.withColumn(into, F.try_divide(total, known)).drop("_r0", "_c0", "_fr", "_fc", "_v0", "_v1", "_v2", "_v3")
 
 
+def on_grid(fine: DataFrame, transform: tuple, sources: list[tuple[DataFrame, tuple, Callable[[Column, Column], tuple[Column, Column]] | None]], into: str = "ref") -> DataFrame:
+    """fine (row, col, more) with a mosaic of sources on its grid: at each pixel the first
+    source with a value, interpolated between its own cells' centres; null where none has.
+
+    A source is a grid (row, col, v), its transform and, where its coordinates are others
+    than fine's, a function from fine's x and y to its own; resolutions may differ. A
+    transform is (x step, left, y step, top). Every source costs one equality join."""
+    sx, left, sy, top = transform
+    out, found = fine, []
+    for k, (grid, (cx, cleft, cy, ctop), place) in enumerate(sources):
+        x, y = left + (F.col("col") + 0.5) * sx, top + (F.col("row") + 0.5) * sy
+        x, y = place(x, y) if place else (x, y)
+        out = bilinear(out, grid, (y - ctop) / cy - 0.5, (x - cleft) / cx - 0.5, fine.columns, "v", f"_m{k}")
+        found.append(f"_m{k}")
+    value = F.coalesce(*found) if found else F.lit(None).cast("double")
+    return out.withColumn(into, value).drop(*found)
+
+
 def cells_inside(cells: DataFrame, a: float, b: float, c: float, d: float, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
     """Cells (row, col) whose four corners, at (a * col + b, c * row + d), lie in a box."""
     corners = F.array(*(F.struct((a * (F.col("col") + j) + b).alias("x"), (c * (F.col("row") + i) + d).alias("y")) for i in (0, 1) for j in (0, 1)))

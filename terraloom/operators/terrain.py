@@ -20,7 +20,7 @@ def with_size(df: DataFrame, scene: str | None = None) -> DataFrame:
     """df with _h and _w, the raster's numbers of rows and columns (one row a scene is
     joined)."""
     size = df.groupBy(*_keys(scene)).agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
-    return df.join(F.broadcast(size), scene) if scene else df.crossJoin(F.broadcast(size))
+    return df.join(size, scene) if scene else df.crossJoin(F.broadcast(size))
 
 
 def line(axis: str, half: int | tuple[int, int], scene: str | None = None) -> WindowSpec:
@@ -69,7 +69,7 @@ def roughness(df: DataFrame, size: int, scene: str | None = None) -> DataFrame:
     raster's mean, and the border is mirrored without its edge."""
     k = max(3, int(size) | 1)
     mean = df.groupBy(*_keys(scene)).agg(F.avg("v").alias("_mean"))
-    x = df.join(F.broadcast(mean), scene) if scene else df.crossJoin(F.broadcast(mean))
+    x = df.join(mean, scene) if scene else df.crossJoin(F.broadcast(mean))
     z = F.coalesce("v", "_mean")
     out = box_sums(x, k, {"_s": z, "_q": z * z}, False, scene)
     m = F.col("_s") / (k * k)
@@ -115,7 +115,7 @@ def grey_opening(df: DataFrame, size: int, scene: str | None = None) -> DataFram
     surface; nodata counts as the highest value and stays nodata."""
     half = max(3, int(size) | 1) // 2
     top = df.groupBy(*_keys(scene)).agg(F.max("v").alias("_top"))
-    x = df.join(F.broadcast(top), scene) if scene else df.crossJoin(F.broadcast(top))
+    x = df.join(top, scene) if scene else df.crossJoin(F.broadcast(top))
     x = x.withColumn("ground", F.coalesce("v", "_top"))
     x = rank_filter(rank_filter(x, half, False, "ground", scene), half, True, "ground", scene)
     return x.withColumn("ground", F.when(F.col("v").isNotNull(), F.least("ground", "v"))).drop("_top")

@@ -56,6 +56,28 @@ def ag35(spark, sf_dir):
     return x.agg(F.count(e).alias("n"), r6(F.sqrt(F.avg(e * e)), 4).alias("rmse"), r6(F.percentile(F.abs(e), F.lit(0.98)), 4).alias("colour_limit"), r6(F.avg(C("ref").isNotNull().cast("int"))).alias("coverage")).withColumn("datum", datum_check(F.lit("EGM2008"), F.lit("EGM2008 (converted)")))
 
 
+def _interpolated(cells: str, size: int) -> str:
+    """Text of the bilinear value at each pixel of cells (r, c, m) of size x size pixels."""
+    weight = "(CASE i WHEN 1 THEN fr - floor(fr) ELSE 1 - fr + floor(fr) END) * (CASE j WHEN 1 THEN fc - floor(fc) ELSE 1 - fc + floor(fc) END)"
+    return f"""SELECT "row", col, sum(w * m) / sum(w) FILTER (WHERE m IS NOT NULL) AS v FROM (SELECT "row", col, floor(fr) + i AS r, floor(fc) + j AS c, {weight} AS w
+FROM (SELECT "row", col, ("row" + 0.5e0) / {size} - 0.5e0 AS fr, (col + 0.5e0) / {size} - 0.5e0 AS fc FROM g), range(2) a(i), range(2) b(j)) LEFT JOIN {cells} USING (r, c) GROUP BY 1, 2"""
+
+
+@query("sc3_mosaic_on_grid", f"""WITH {G}, ka AS (SELECT CAST(floor("row" / 8.0) AS BIGINT) AS r, CAST(floor(col / 8.0) AS BIGINT) AS c, avg(v) AS m FROM g GROUP BY 1, 2 HAVING CAST(floor(min("row") / 8.0) AS BIGINT) % 6 < 3),
+kb AS (SELECT CAST(floor("row" / 20.0) AS BIGINT) AS r, CAST(floor(col / 20.0) AS BIGINT) AS c, avg(v) AS m FROM g GROUP BY 1, 2), a AS ({_interpolated('ka', 8)}), b AS ({_interpolated('kb', 20)})
+SELECT "row", col, {q6('coalesce(a.v, b.v)')} AS ref FROM a JOIN b USING ("row", col)""")
+def mosaic(spark, sf_dir):
+    """A fine source with bands missing over a coarse one that has its axes the other way
+    round, on the raster's grid of 2 m pixels."""
+    g = grid(spark, sf_dir)
+    blocks = lambda n: g.groupBy(F.floor(C("row") / n).alias("row"), F.floor(C("col") / n).alias("col")).agg(F.avg("v").alias("v"))
+    first = blocks(8).filter("row % 6 < 3")
+    second = blocks(20).select(C("col").alias("row"), C("row").alias("col"), "v")
+    turned = lambda x, y: (1000.0 - y, x)
+    x = J.on_grid(g.select("row", "col"), (2.0, 500.0, -2.0, 1000.0), [(first, (16.0, 500.0, -16.0, 1000.0), None), (second, (40.0, 0.0, 40.0, 500.0), turned)])
+    return x.select("row", "col", r6("ref").alias("ref"))
+
+
 @query("rs1_bilinear_resize", f"""WITH {K}, p AS (SELECT CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, (y + 0.5e0) * 62 / 40 - 0.5e0 AS fr, (x + 0.5e0) * 8 / 20 - 0.5e0 AS fc FROM range(40) a(y), range(20) b(x)),
 q AS (SELECT y, x, floor(fr) + i AS r, floor(fc) + j AS c, (CASE i WHEN 1 THEN fr - floor(fr) ELSE 1 - fr + floor(fr) END) * (CASE j WHEN 1 THEN fc - floor(fc) ELSE 1 - fc + floor(fc) END) AS w FROM p, range(2) a(i), range(2) b(j))
 SELECT y AS "row", x AS col, {q6('sum(w * m) / sum(w) FILTER (WHERE m IS NOT NULL)')} AS v FROM q LEFT JOIN k USING (r, c) GROUP BY 1, 2""")
