@@ -43,7 +43,7 @@ def layout(rows: DataFrame, per_file: int = PAGES_PER_FILE) -> DataFrame:
 
     A file takes one record each of per_file successive ids. Further records of an id,
     copies, and records without an id go to files of their own, per_file copies each, so
-    no file grows with a hot id."""
+    no file grows with a hot id. An empty table gives none."""
     names = rows.columns
     counted = written(rows.groupBy(*names).agg(F.count("*").alias("_n")))
     first = written(counted.filter("page_id IS NOT NULL").groupBy("page_id").agg(F.min("hash").alias("_first")))
@@ -61,7 +61,8 @@ def warc_leaves(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     Records are hashed where they are read; only hashes and lengths are shuffled. damaged
     is the hash of the record with a byte overwritten where the id leaves 5 by _HIT, lost
     tells whether it leaves 3 by _LOST: a replica of known damage. A null url or page
-    counts as empty; records without an id are never damaged."""
+    counts as empty; records without an id are never damaged. Repeated rows are records
+    each, very long pages one; other columns are not read. An empty table gives none."""
     k = pages[key].cast("long")
     r = record(k, pages[url], pages[html])
     rows = pages.select(k.alias("page_id"), r.alias("r"))
