@@ -31,13 +31,13 @@ from .common import rows_of, small_batches, table, written
 
 #: Least count of a word of the vocabulary; MAX_WORDS bounds the memory of a worker (beyond
 #: it the least frequent are spelled like all others).
-MIN_COUNT, MAX_WORDS = 100, 1 << 18
+MIN_COUNT, MAX_WORDS = 400, 1 << 18
 #: Embeddings of words outside the vocabulary, by hash, as neighbours only.
 TAILS = 64
-SIDE, WIDTH = 2, 16
+SIDE, WIDTH = 2, 8
 #: Classes by the square root of the vocabulary.
 CLASSES = 0.6
-SHARD, BATCH, RATE = 1 << 19, 8192, 0.15
+SHARD, BATCH, RATE = 1 << 19, 1 << 14, 0.4
 #: Words of a class softmax that are worked on at once.
 PART = 2048
 #: What is added to each count of byte pairs.
@@ -138,7 +138,7 @@ class Network:
         self.parts = {
             "embedding": normal(0, 0.3, v + TAILS + 1, WIDTH),
             "member": np.hstack([normal(0, 0.1, v, WIDTH), np.log((counts + 1.0) / mass[self.class_of[:v]])[:, None].astype(np.float32)]),
-            "head": np.vstack([normal(0, 0.1, WIDTH, len(mass)), np.log(mass / mass.sum()).astype(np.float32)[None]]),
+            "head": np.hstack([normal(0, 0.1, len(mass), WIDTH), np.log(mass / mass.sum())[:, None].astype(np.float32)]),
             "gate": np.vstack([normal(1, 0.3, 2 * SIDE, WIDTH), np.zeros((1, WIDTH), np.float32)]),
         }
 
@@ -157,81 +157,108 @@ class Network:
         return np.tanh(h, out=h), near
 
     @staticmethod
-    def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unnormalised probabilities and their sums."""
-        z = h @ w
-        z += b
+    def _exponentials(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unnormalised probabilities of rows of h (with a column of ones) under weights w
+        (a row an output, its bias last), and their sums."""
+        z = h @ w.T
         with np.errstate(over="ignore"):
             p = np.exp(z)
             total = p.sum(axis=1)
-        if not (np.isfinite(total).all() and total.min() > 0):
+        if not (np.isfinite(total).all() and total.min(initial=1.0) > 0):
             p = np.exp(z - z.max(axis=1, keepdims=True))
             total = p.sum(axis=1)
         return p, total
 
-    def _by_class(self, cls: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """Places of the words of each class of several members, and its first and last rank."""
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            if ends[k + 1] > ends[k] and self.low[k + 1] - self.low[k] > 1:
-                yield order[ends[k] : ends[k + 1]], int(self.low[k]), int(self.low[k + 1])
+    def _sorted(self, center: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order by word, hence by class; the words so; and where each class ends."""
+        order = _order(center)
+        words = center[order]
+        return order, words, np.searchsorted(words, self.low)
 
     def log_probabilities(self, center: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Log-probability of each center word given its neighbours (2 * SIDE rows); of a
         word outside the vocabulary, that it is one."""
         head, member = self.parts["head"], self.parts["member"]
         out = np.empty(len(center))
-        for low in range(0, len(center), 8 * BATCH):
-            c = center[low : low + 8 * BATCH]
-            h, _ = self._hidden(around[:, low : low + 8 * BATCH])
-            cls, lp = self.class_of[c], np.empty(len(c))
+        for low in range(0, len(center), 2 * BATCH):
+            c = center[low : low + 2 * BATCH]
+            order, words, ends = self._sorted(c)
+            h = _with_ones(self._hidden(around[:, low : low + 2 * BATCH])[0])[order]
+            cls, lp = self.class_of[words], np.empty(len(c))
             for i in range(0, len(c), PART):
-                p, total = self._softmax(h[i : i + PART], head[:-1], head[-1])
+                p, total = self._exponentials(h[i : i + PART], head)
                 lp[i : i + PART] = np.log(np.maximum(p[np.arange(len(p)), cls[i : i + PART]], 1e-30) / total)
-            for at, a, b in self._by_class(cls):
-                p, total = self._softmax(h[at], member[a:b, :-1].T, member[a:b, -1])
-                lp[at] += np.log(np.maximum(p[np.arange(len(at)), c[at] - a], 1e-30) / total)
-            out[low : low + len(c)] = lp
+            for k in range(self.classes):
+                a, b = ends[k], ends[k + 1]
+                if b > a and self.low[k + 1] - self.low[k] > 1:
+                    p, total = self._exponentials(h[a:b], member[self.low[k] : self.low[k + 1]])
+                    lp[a:b] += np.log(np.maximum(p[np.arange(b - a), words[a:b] - self.low[k]], 1e-30) / total)
+            out[low + order] = lp
         return out
 
-    def step(self, center: np.ndarray, around: np.ndarray, squares: dict[str, np.ndarray]) -> None:
-        """One batch of Adagrad on the mean negative log-probability."""
+    def gradients(self, center: np.ndarray, around: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the mean negative log-probability by part, and the rows of
+        embeddings that theirs belong to. Words are gone through sorted, so that a class
+        is a slice; what a softmax pushes away is summed by matrix products, what it pulls
+        to the words that are there by runs of equal ones."""
         n = len(center)
-        head, member, gate, embedding = (self.parts[k] for k in ("head", "member", "gate", "embedding"))
+        head, member, gate = (self.parts[k] for k in ("head", "member", "gate"))
+        order, words, ends = self._sorted(center)
+        around = around[:, order]
         h, near = self._hidden(around)
-        cls = self.class_of[center]
-        gh, ghead = np.empty_like(h), np.zeros_like(head)
-        scale = np.float32(1 / n)
-
-        def descend(name: str, rows: slice | np.ndarray, g: np.ndarray) -> None:
-            square = squares[name][rows] + g * g
-            squares[name][rows] = square
-            self.parts[name][rows] -= RATE * g / np.sqrt(square)
-
+        h1 = _with_ones(h)
+        cls, scale = self.class_of[words], np.float32(1 / n)
+        gh, ghead, gmember = np.empty((n, WIDTH + 1), np.float32), np.zeros_like(head), np.zeros_like(member)
         for i in range(0, n, PART):
-            hi = h[i : i + PART]
-            p, total = self._softmax(hi, head[:-1], head[-1])
-            p *= (scale / total)[:, None]
-            p[np.arange(len(p)), cls[i : i + PART]] -= scale
-            gh[i : i + PART] = p @ head[:-1].T
-            ghead[:-1] += hi.T @ p
-            ghead[-1] += p.sum(axis=0)
-        for at, a, b in self._by_class(cls):
-            w, hi = member[a:b], h[at]
-            p, total = self._softmax(hi, w[:, :-1].T, w[:, -1])
-            p *= (scale / total)[:, None]
-            p[np.arange(len(at)), center[at] - a] -= scale
-            gh[at] += p @ w[:, :-1]
-            descend("member", slice(a, b), np.hstack([p.T @ hi, p.sum(axis=0)[:, None]]))
-        gh *= 1 - h * h
-        ids, grads = around.ravel(), np.concatenate([gh * gate[k] for k in range(2 * SIDE)])
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        first = np.concatenate([[0], np.nonzero(ids[1:] != ids[:-1])[0] + 1])
-        descend("gate", slice(None), np.stack([*((gh * x).sum(axis=0) for x in near), gh.sum(axis=0)]))
-        descend("embedding", ids[first], np.add.reduceat(grads[order], first, axis=0))
-        descend("head", slice(None), ghead)
+            hi = h1[i : i + PART]
+            p, total = self._exponentials(hi, head)
+            weight = (scale / total)[:, None]
+            gh[i : i + PART] = (p @ head) * weight
+            ghead += p.T @ (hi * weight)
+        for k in range(self.classes):
+            a, b, u, v = ends[k], ends[k + 1], self.low[k], self.low[k + 1]
+            if b > a and v - u > 1:
+                p, total = self._exponentials(h1[a:b], member[u:v])
+                weight = (scale / total)[:, None]
+                gh[a:b] += (p @ member[u:v]) * weight
+                gmember[u:v] = p.T @ (h1[a:b] * weight)
+        inside = ends[-1]
+        for of, g, last in ((cls, ghead, n), (words[:inside], gmember, inside)):
+            if last:
+                first = _runs(of[:last])
+                g[of[first]] -= scale * np.add.reduceat(h1[:last], first, axis=0)
+        alone = np.diff(self.low) == 1
+        gmember[self.low[:-1][alone]] = 0
+        gh -= scale * head[cls]
+        several = np.append(~alone, False)[cls[:inside]]
+        gh[:inside][several] -= scale * member[words[:inside][several]]
+        g = gh[:, :WIDTH] * (1 - h * h)
+        ids, grads = around.ravel(), np.concatenate([g * gate[k] for k in range(2 * SIDE)])
+        by_id = _order(ids)
+        ids = ids[by_id]
+        first = _runs(ids)
+        ggate = np.stack([*((g * x).sum(axis=0) for x in near), g.sum(axis=0)])
+        return {"head": ghead, "member": gmember, "gate": ggate, "embedding": np.add.reduceat(grads[by_id], first, axis=0)}, ids[first]
+
+    def step(self, center: np.ndarray, around: np.ndarray, squares: dict[str, np.ndarray]) -> None:
+        """One batch of Adagrad."""
+        gradients, rows = self.gradients(center, around)
+        for name, g in gradients.items():
+            part, square = self.parts[name], squares[name]
+            at = rows if name == "embedding" else None
+            total = g * g
+            total += square if at is None else square[at]
+            if at is None:
+                square[:] = total
+            else:
+                square[at] = total
+            np.sqrt(total, out=total)
+            g /= total
+            g *= RATE
+            if at is None:
+                part -= g
+            else:
+                part[at] -= g
 
     def squares(self) -> dict[str, np.ndarray]:
         """Fresh sums of squared gradients."""
@@ -244,6 +271,23 @@ class Network:
         return {"embedding": np.bincount(around.ravel(), minlength=len(self.parts["embedding"])), "member": by_class[self.class_of[: self.size]], "head": every("head"), "gate": every("gate")}
 
 
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    out = np.ones((len(h), WIDTH + 1), np.float32)
+    out[:, :WIDTH] = h
+    return out
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """Places of values below 2^31 in order, equal ones as they stand: value and place are
+    sorted as one number."""
+    return np.sort((x << 32) | np.arange(len(x))) & 0xFFFFFFFF
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of a sorted array begins."""
+    return np.concatenate([[0], np.nonzero(x[1:] != x[:-1])[0] + 1])
+
+
 def windows(ids: np.ndarray, counts: np.ndarray, pad: int) -> np.ndarray:
     """The 2 * SIDE neighbours of each word of documents of given lengths."""
     at = np.arange(len(ids)) + SIDE * np.repeat(np.arange(1, len(counts) + 1), counts)
