@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -37,8 +36,11 @@ UNKNOWN_PENALTY = 10.0
 ROUNDS, ADDED = 2, 0.5
 #: Parts of up to SHORT bytes are encoded together, ROWS at a time; longer ones one by one.
 SHORT, ROWS = 64, 16_384
-#: Distinct parts that a task counts before it passes its counts on, and their bytes.
-DISTINCT, DISTINCT_BYTES = 300_000, 1 << 24
+#: Distinct parts that a task counts before it passes its counts on, and bytes of parts
+#: that are counted at once.
+DISTINCT, DISTINCT_BYTES = 400_000, 1 << 24
+#: Bytes of rows that are worked on together.
+GATHER = 1 << 23
 
 _PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Stands between parts while a batch is split; texts that hold it are split one by one.
@@ -342,26 +344,45 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
     return pc.fill_null(batch.column("_text").cast(pa.string()), "")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to GATHER bytes or somewhat more: more of their parts are equal."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= GATHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def count_parts(df: DataFrame, text: str = "text") -> DataFrame:
     """(part, n) over all texts; tasks count first what they read."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["part", "n"])
-
-        held: Counter = Counter()
+        def add(new: list[pa.Array]) -> pa.Table:
+            """Counts of some parts, and of the counts held before."""
+            found = pc.value_counts(pa.chunked_array(new))
+            fresh = pa.table({"part": found.field("values"), "n": found.field("counts")})
+            whole = fresh if held is None else pa.concat_tables([held, fresh])
+            return whole.group_by("part").aggregate([("n", "sum")]).rename_columns(["part", "n"]).select(["part", "n"])
+
+        held: pa.Table | None = None
+        new: list[pa.Array] = []
         size = 0
         for b in batches:
-            found = pc.value_counts(split(_texts(b))[0])
-            for part, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
-                size += 0 if part in held else len(part)
-                held[part] += n
-            if len(held) > DISTINCT or size > DISTINCT_BYTES:
-                yield out()
-                held, size = Counter(), 0
-        if held:
-            yield out()
+            new.append(split(_texts(b))[0])
+            size += new[-1].nbytes
+            if size > DISTINCT_BYTES:
+                held, new, size = add(new), [], 0
+                if len(held) > DISTINCT or held.nbytes > 2 * DISTINCT_BYTES:
+                    yield from held.to_batches()
+                    held = None
+        if new:
+            held = add(new)
+        if held is not None:
+            yield from held.to_batches()
 
     return df.select(df[text].alias("_text")).mapInArrow(run, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
 
@@ -373,9 +394,9 @@ def count_pieces(parts: DataFrame, path: str, scores: np.ndarray | None) -> np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = model(path, scores)
         total = np.zeros(len(encoder.scores), np.int64)
-        for b in batches:
+        for b in _gathered(batches):
             ids, count, _, _ = encoder.segment(b.column("part").cast(pa.binary()).to_pylist())
-            np.add.at(total, ids, np.repeat(b.column("n").to_numpy(), count))
+            total += np.bincount(ids, np.repeat(b.column("n").to_numpy(), count), len(total)).astype(np.int64)
         some = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
 
@@ -409,7 +430,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = model(path, scores)
-        for b in batches:
+        for b in _gathered(batches):
             ids, count, score, _ = encoder.encode(_texts(b))
             offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("_key"), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))), pa.array(score)], [key, "ids", "score"])
@@ -449,7 +470,7 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = model(path, scores)
-        for b in batches:
+        for b in _gathered(batches):
             texts = _texts(b)
             ids, count, score, fallback = encoder.encode(texts)
             flat, ends = ids.astype("<u4"), np.cumsum(count)
