@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terraloom.llm import fixity, license_scan, lm_score, packing, pii, quality, token_edit, unigram
 
@@ -627,7 +628,7 @@ def test_lm_network_against_plain_sums(v):
         e, g = net.parts["embedding"], net.parts["gate"]
         h = [math.tanh(float(g[-1][d]) + sum(float(g[k][d]) * float(e[around[k, i]][d]) for k in range(4))) for d in range(lm_score.WIDTH)]
         dot = lambda w, b: sum(x * float(y) for x, y in zip(h, w, strict=True)) + float(b)
-        head = [math.exp(dot(net.parts["head"][:-1, c], net.parts["head"][-1, c])) for c in range(net.classes + 1)]
+        head = [math.exp(dot(net.parts["head"][c, :-1], net.parts["head"][c, -1])) for c in range(net.classes + 1)]
         for w in range(v + 1):
             c = net.class_of[w]
             p = head[c] / sum(head)
@@ -726,6 +727,19 @@ def test_fixity_locates_every_damage(spark):
     assert {(r["file"], r["offset"], r["status"]) for r in fixity.op3_warc_fixity(spark, SF).collect()} == want
 
 
+def test_fixity_of_odd_tables(spark, tmp_path):
+    pages = [(1, "u", "x", "clash", 5, "h"), (1, "u", "x", "clash", 5, "h"), (16, "u", "y" * 2_000_000, None, None, None), (None, None, None, None, None, None)]
+    schema = "page_id long, url string, html string, file string, offset int, hash string"
+    df = spark.createDataFrame(pages, schema)
+    a = fixity.warc_leaves(df)
+    assert a.count() == 4 and a.select("file", "offset").distinct().count() == 4 and a.agg(F.max("length")).first()[0] > 2_000_000
+    df.coalesce(1).write.parquet(f"{tmp_path}/odd/pages.parquet")
+    got = fixity.op3_warc_fixity(spark, f"{tmp_path}/odd").collect()
+    assert [(r["page_id"], r["status"]) for r in got] == [(16, "corrupt")]
+    df.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert fixity.op3_warc_fixity(spark, f"{tmp_path}/none").count() == 0 and fixity.warc_leaves(df.limit(0)).count() == 0
+
+
 # ------------------------------------------------------------------ empty tables
 def test_empty_tables(spark):
     none = frame(spark, ["x"]).limit(0)
