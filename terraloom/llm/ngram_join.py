@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, rows_of, small_batches, table, written
@@ -84,22 +84,44 @@ class Bound:
 
 
 def _source(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(df[key].cast("long").alias("_id"), df[text].alias("_text")).select("_id", "_text", F.coalesce("_id", F.xxhash64("_text")).alias("_key"))
+    rows = df.select(df[key].cast("long").alias("_id"), df[text].alias("_text"))
+    return rows.select("_id", "_text", *row_names(F.col("_id"), F.col("_text")))
 
 
-def _signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(_id, _key, n, fp) of each row."""
+def row_names(key: Column, text: Column) -> list[Column]:
+    """_key and _hash, which name a row by its id (its text, without one) and its text."""
+    return [F.coalesce(key.cast("long"), F.xxhash64(text)).alias("_key"), F.xxhash64(text).alias("_hash")]
+
+
+def _signatures(docs: DataFrame, words: int, bound: Bound) -> DataFrame:
+    """(_id, _key, _hash, n, fp, prefix) of each row: the size and hash of its set, and its longer
+    prefix by hash value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, texts in rows_of([b], "_key", "_text"):
                 sets = [shingles(t, words) for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], ["_id", "_key", "n", "fp"])
+                prefix = _lists([s[: bound.prefix(len(s))] for s in sets])
+                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_key"), b.column("_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), prefix], ["_id", "_key", "_hash", "n", "fp", "prefix"])
+
+    return docs.select("_id", "_key", "_hash", "_text").mapInArrow(run, "_id long, _key long, _hash long, n long, fp long, prefix array<long>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """A list column of token arrays."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.uint64, copy=False).view(np.int64)))
 
-    return docs.select("_id", "_key", "_text").mapInArrow(run, "_id long, _key long, n long, fp long")
 
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The token arrays of a list column."""
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy().view(np.uint64)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-def _prefix_rows(docs: DataFrame, words: int, bound: Bound) -> DataFrame:
+
+def _prefix_rows(signed: DataFrame) -> DataFrame:
     """(token, fp, credit): for a token that one set of the task has in its prefix, that
     set; for one that several have, a row without fp; for each set, under a key of its
     own, the tokens of the latter sort as credit."""
@@ -131,25 +153,24 @@ def _prefix_rows(docs: DataFrame, words: int, bound: Bound) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         size = 0
-        for _, texts in rows_of(batches, "_key", "_text"):
-            for t in texts:
-                s = shingles(t, words)
-                if len(s) and (fp := fingerprint(s)) not in held:
-                    held[fp] = s[: bound.prefix(len(s))].copy()
-                    size += len(held[fp])
+        for b in batches:
+            for fp, prefix in zip(b.column("fp").to_pylist(), _arrays(b.column("prefix")), strict=True):
+                if len(prefix) and fp not in held:
+                    held[fp] = prefix.copy()
+                    size += len(prefix)
                     if size >= CHUNK:
                         yield flush(held)
                         held, size = {}, 0
         if held:
             yield flush(held)
 
-    return docs.select("_key", "_text").mapInArrow(run, "token long, fp long, credit long")
+    return signed.select("fp", "prefix").mapInArrow(run, "token long, fp long, credit long")
 
 
-def _alive(docs: DataFrame, classes: DataFrame, words: int, bound: Bound) -> DataFrame:
+def _alive(signed: DataFrame, classes: DataFrame, bound: Bound) -> DataFrame:
     """Classes (fp, _key, n) that share enough of their longer prefix with other sets."""
     w = Window.partitionBy("token")
-    rows = _prefix_rows(docs, words, bound).select(
+    rows = _prefix_rows(signed).select(
         "fp",
         "credit",
         ((F.min("fp").over(w) != F.max("fp").over(w)) | (F.count("*").over(w) > F.count("fp").over(w))).alias("shared"),
@@ -168,10 +189,8 @@ def _sets(docs: DataFrame, alive: DataFrame, words: int) -> DataFrame:
             for _, texts in rows_of([b], "_key", "_text"):
                 sets = [shingles(t, words) for t in texts]
                 ok = [len(s) > 0 and fingerprint(s) == fp for s, fp in zip(sets, b.column("fp").to_pylist(), strict=True)]
-                kept = [s.view(np.int64) for s, x in zip(sets, ok, strict=True) if x]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
-                values = np.concatenate(kept) if kept else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("fp").filter(pa.array(ok)), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["fp", "n", "tokens"])
+                kept = [s for s, x in zip(sets, ok, strict=True) if x]
+                yield pa.RecordBatch.from_arrays([b.column("fp").filter(pa.array(ok)), pa.array([len(s) for s in kept], pa.int64()), _lists(kept)], ["fp", "n", "tokens"])
 
     texts = docs.select("_key", "_text").join(alive.select("_key", "fp").hint("shuffle_hash"), "_key")
     return texts.select("fp", "_key", "_text").mapInArrow(run, "fp long, n long, tokens array<long>").dropDuplicates(["fp"])
@@ -287,6 +306,22 @@ def _links(sets: DataFrame, bound: Bound) -> DataFrame:
     return direct.union(dealt.groupBy("leader", "with", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
+def _grouped(df: DataFrame, key: str, text: str, words: int, num: int, den: int) -> DataFrame:
+    """(_id, _key, _hash, n, root, least) of each row: root names its component, least is
+    the smallest id in it."""
+    small_batches(df.sparkSession)
+    bound = Bound(num, den)
+    docs = _source(df, key, text)
+    signed = written(_signatures(docs, words, bound))
+    classes = written(signed.filter("n > 0").groupBy("fp").agg(F.min("_id").alias("least"), F.min("_key").alias("_key"), F.max("n").alias("n")))
+    sets = written(_sets(docs, written(_alive(signed, classes, bound)), words))
+    found = written(components(written(_links(sets, bound))))
+    named = classes.select("fp", "least").join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    reached = written(found.join(classes.select(F.col("fp").alias("node"), "least"), "node").groupBy(F.col("component").alias("root")).agg(F.min("least").alias("reached")))
+    final = written(named.join(reached, "root", "left").select("fp", "root", F.coalesce("reached", "least").alias("least")))
+    return signed.select("_id", "_key", "_hash", "n", "fp").join(final, "fp", "left").select("_id", "_key", "_hash", "n", "root", "least")
+
+
 def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(key, n_shingles, component_id) of each row: rows whose n-gram sets have a Jaccard
     similarity of num / den or more are linked; component_id is the smallest key in reach.
@@ -295,17 +330,21 @@ def jaccard_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
     nothing: its component is its own key. Rows with a null key link like others but
     don't name a component; one of nulls alone has none. Repeated rows are members of one
     component. Other columns are not returned. An empty table gives none."""
-    small_batches(df.sparkSession)
-    bound = Bound(num, den)
-    docs = _source(df, key, text)
-    signed = written(_signatures(docs, words))
-    classes = written(signed.filter("n > 0").groupBy("fp").agg(F.min("_id").alias("least"), F.min("_key").alias("_key"), F.max("n").alias("n")))
-    sets = written(_sets(docs, written(_alive(docs, classes, words, bound)), words))
-    found = written(components(written(_links(sets, bound))))
-    least = written(found.join(classes.select(F.col("fp").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("reached")))
-    named = found.join(least, "component").select(F.col("node").alias("fp"), "reached")
-    final = written(classes.select("fp", "least").join(named, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id")))
-    return signed.join(final, "fp", "left").select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    rows = _grouped(df, key, text, words, num, den)
+    return rows.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_id")).alias("component_id"))
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(_key, _hash, copies, stays) of each different row with words, as row_names() names
+    it: how often it is there, and whether it is the one row of its component that stays:
+    that of smallest id, of rows with one id that of smallest hash; rows without an id
+    stay only where the component has none with one. An empty table gives none."""
+    rows = _grouped(df, key, text, words, num, den).filter("n > 0")
+    once = written(rows.groupBy("_key", "_hash", "_id", "root").agg(F.count("*").alias("copies")))
+    rank = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "_key")
+    first = once.groupBy("root").agg(F.min(rank).alias("first"))
+    mine = once.join(first, "root")
+    return mine.select("_key", "_hash", "copies", ((F.col("_key") == F.col("first._key")) & (F.col("_hash") == F.col("first._hash"))).alias("stays"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,7 +257,7 @@ def test_pipeline_stages_match_brute_force(spark):
     groups = brute_groups([(r["doc_id"], r["text"]) for r in kept.collect()], 5, 80, 100)
     stays = {g for k, _, g in groups if k is not None}
     assert {r["doc_id"] for r in one.collect() if r["doc_id"] is not None} == stays
-    assert one.groupBy("doc_id", "text").count().filter("doc_id IS NOT NULL AND count > 1").count() == 0
+    assert one.groupBy("doc_id", "text").count().filter("length(trim(text)) > 0 AND count > 1").count() == 0
     assert one.columns == list(corpus_pipeline.COLUMNS)
 
     clean = written(mask(spark, one, SF))
@@ -271,6 +271,15 @@ def test_pipeline_stages_match_brute_force(spark):
     assert packed.agg(F.sum("length")).first()[0] == packing.pack(clean.repartition(1)).agg(F.sum("length")).first()[0]
 
 
+def test_near_duplicates_are_told_apart_by_id_and_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, near, other, third = " ".join(words), " ".join([*words, "x"]), " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    texts = [(1, a), (1, a), (2, near), (2, other), (3, near), (None, a), (None, third), (None, third), (None, None), (4, None), (5, " "), (5, " ")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.STAGES[1][1](spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, a), (2, other), (None, third), (None, None), (4, None), (5, " "), (5, " ")], key=str)
+
+
 def test_pipeline_on_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
