@@ -21,17 +21,21 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar 5-word shingle sets: that of smallest id.
-
-    Documents without an id or without words are not in any group and stay. Of repeated
-    rows (same id, same text) one stays."""
-    groups = written(ngram_join.jaccard_groups(docs, words=5, num=80, den=100).filter("doc_id IS NOT NULL"))
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    again = written(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    """One row of each group of similar 5-word shingle sets: that of smallest id.
+
+    Rows are told apart by id and text: another text under a used id goes only if it is in
+    the group itself. Of repeated rows one stays; rows without an id are members like
+    others, and one of them stays where no member has an id. Rows without words, a null
+    text among them, are in no group and stay. An empty table gives none."""
+    rows = written(ngram_join.representatives(docs, words=5, num=80, den=100))
+    named = docs.select(*COLUMNS, *ngram_join.row_names(F.col("doc_id"), F.col("text")))
+    names = ["_key", "_hash"]
+    again = rows.filter("stays AND copies > 1").select(*names)
+    gone = rows.filter("NOT stays").select(*names)
     if again.isEmpty():
-        return docs.join(written(gone), "doc_id", "left_anti").select(*COLUMNS)
-    once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(written(gone.union(again)), "doc_id", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
+        return named.join(gone, names, "left_anti").select(*COLUMNS)
+    once = named.join(again, names, "left_semi").dropDuplicates(names)
+    return named.join(gone.union(again), names, "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
