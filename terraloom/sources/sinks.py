@@ -6,9 +6,12 @@ import json
 import struct
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.operators import graph
+
 
 def summary(df: DataFrame, v: str = "v") -> DataFrame:
     """(min, max, mean, nan_count) of finite values, one row."""
@@ -92,17 +95,16 @@ def coloured(df: DataFrame, ramp: str = "height", level: str = "level") -> DataF
     return df.withColumns(out | {"a": F.when(F.col(level).isNull(), 0).otherwise(255)})
 
 
-def glb(vertices: np.ndarray, faces: np.ndarray) -> bytes:
-    """A binary glTF of a mesh (float32 positions, uint32 triangles)."""
-    v, f = np.ascontiguousarray(vertices, "<f4"), np.ascontiguousarray(faces, "<u4")
-    body = v.tobytes() + f.tobytes()
+def _glb_head(n: int, low: list[float], high: list[float], m: int) -> bytes:
+    """What stands before the body in a binary glTF of n vertices and m triangles."""
+    places, indices = 12 * n, 12 * m
     doc = {
         "asset": {"version": "2.0"},
-        "buffers": [{"byteLength": len(body)}],
-        "bufferViews": [{"buffer": 0, "byteOffset": 0, "byteLength": v.nbytes, "target": 34962}, {"buffer": 0, "byteOffset": v.nbytes, "byteLength": f.nbytes, "target": 34963}],
+        "buffers": [{"byteLength": places + indices}],
+        "bufferViews": [{"buffer": 0, "byteOffset": 0, "byteLength": places, "target": 34962}, {"buffer": 0, "byteOffset": places, "byteLength": indices, "target": 34963}],
         "accessors": [
-            {"bufferView": 0, "componentType": 5126, "count": len(v), "type": "VEC3", "min": v.min(axis=0).tolist(), "max": v.max(axis=0).tolist()},
-            {"bufferView": 1, "componentType": 5125, "count": int(f.size), "type": "SCALAR"},
+            {"bufferView": 0, "componentType": 5126, "count": n, "type": "VEC3", "min": low, "max": high},
+            {"bufferView": 1, "componentType": 5125, "count": 3 * m, "type": "SCALAR"},
         ],
         "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "indices": 1}]}],
         "nodes": [{"mesh": 0}],
@@ -111,8 +113,57 @@ def glb(vertices: np.ndarray, faces: np.ndarray) -> bytes:
     }
     text = json.dumps(doc).encode()
     text += b" " * (-len(text) % 4)
-    body += b"\0" * (-len(body) % 4)
-    return b"".join([struct.pack("<4sII", b"glTF", 2, 28 + len(text) + len(body)), struct.pack("<I4s", len(text), b"JSON"), text, struct.pack("<I4s", len(body), b"BIN\0"), body])
+    size = 28 + len(text) + places + indices
+    if size > 0xFFFFFFFF:
+        raise ValueError(f"a binary glTF holds 4 GB at most, this mesh takes {size} bytes")
+    return b"".join([struct.pack("<4sII", b"glTF", 2, size), struct.pack("<I4s", len(text), b"JSON"), text, struct.pack("<I4s", places + indices, b"BIN\0")])
+
+
+def glb(vertices: np.ndarray, faces: np.ndarray) -> bytes:
+    """A binary glTF of a mesh (float32 positions, uint32 triangles)."""
+    v, f = np.ascontiguousarray(vertices, "<f4"), np.ascontiguousarray(faces, "<u4")
+    return _glb_head(len(v), v.min(axis=0).tolist(), v.max(axis=0).tolist(), len(f)) + v.tobytes() + f.tobytes()
+
+
+def _packed(df: DataFrame, kind: str) -> DataFrame:
+    """(n, low, high, content): rows of three columns as bytes, a batch a piece, in order;
+    `at`, where df has it, is the first row's."""
+    columns = [c for c in df.columns if c != "at"]
+
+    def run(batches):
+        for x in batches:
+            if len(x):
+                a = np.ascontiguousarray(x[columns].to_numpy(), kind)
+                yield pd.DataFrame({"at": [int(x["at"].iloc[0]) if "at" in x else 0], "n": [len(a)], "low": [a.min(axis=0).tolist()], "high": [a.max(axis=0).tolist()], "content": [a.tobytes()]})
+
+    return graph.cut(df.mapInPandas(run, "at long, n long, low array<double>, high array<double>, content binary"))
+
+
+def write_glb(path: str, vertices: DataFrame, faces: DataFrame) -> tuple[int, int]:
+    """Write a mesh (vid, x, y, z) and (a, b, c) as one binary glTF through Hadoop's file
+    system, so that path may be in any store; numbers of vertices and faces.
+
+    Executors pack the bytes; the driver passes them on piece by piece and never holds
+    the mesh. The file is that of glb()."""
+    spark = vertices.sparkSession
+    v = _packed(vertices.orderBy("vid").select(F.col("vid").alias("at"), "x", "y", "z"), "<f4")
+    f = _packed(faces.select("a", "b", "c"), "<u4")
+    ends = [g(F.col(c)[k]) for g, c in ((F.min, "low"), (F.max, "high")) for k in range(3)]
+    n, *box = v.agg(F.sum("n"), *ends).first()
+    m = f.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not n:
+        raise ValueError("a mesh without vertices")
+    head = _glb_head(n, box[:3], box[3:], m)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(head)
+        for pieces in (v.orderBy("at"), f):
+            for r in pieces.select("content").toLocalIterator():
+                out.write(bytes(r["content"]))
+    finally:
+        out.close()
+    return n, m
 
 
 def markdown(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:

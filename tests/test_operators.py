@@ -308,6 +308,26 @@ def test_glb_and_mesh(spark):
         terrain.mesh(raster_df(spark, np.full((2, 2), np.nan)), 1.0, 1.0)[0].collect()
 
 
+def test_mesh_is_written_in_pieces(spark, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir("/tmp/terraloom-test-checkpoints")
+    a = np.random.default_rng(6).normal(size=(30, 20))
+    a[4, 5] = np.nan
+    v, f = terrain.mesh(raster_df(spark, a), 1.5, 2.0)
+    vs = np.array([[r["x"], r["y"], r["z"]] for r in v.orderBy("vid").collect()])
+    fs = sorted((r["a"], r["b"], r["c"]) for r in f.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    # the driver holds pieces, never the mesh
+    monkeypatch.setattr(type(v), "toPandas", None)
+    try:
+        assert sinks.write_glb(f"file://{tmp_path}/m.glb", v, f) == (600, len(fs))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got, want = (tmp_path / "m.glb").read_bytes(), sinks.glb(vs, np.array(fs))
+    body = len(want) - 12 * len(fs)
+    assert got[:body] == want[:body] and len(got) == len(want)
+    assert sorted(map(tuple, np.frombuffer(got[body:], "<u4").reshape(-1, 3).tolist())) == fs
+
+
 def test_radiometry(spark):
     df = spark.range(256).select((F.col("id") * 8).cast("int").alias("v"))
     x = sinks.radiometry(df, "v", "bit_depth", nbits=11).collect()
