@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from terraloom.operators import graph
 
 #: Scale that makes a median absolute deviation a standard deviation under normality.
 MAD_SCALE = 1.4826
@@ -131,6 +134,84 @@ def scene_metrics(df: DataFrame, pred: str, ref: str) -> dict[str, float | None]
     return out | {"nmad": None if off is None else off * MAD_SCALE}
 
 
+#: Groups of as many values go without a sketch.
+SMALL_GROUP = 10_000
+
+
+def group_quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Linear-interpolated quantiles (name -> column, share) per group, nulls left out: by
+    and a column a name, null where a group has no value.
+
+    exact_quantiles() by group, for groups that are few and larger than memory: a sketch
+    brackets each quantile, rows below are counted, and only distinct values inside are put
+    in order. The result doesn't depend on the sketch. A row a group comes to the driver."""
+    names = list(wanted)
+    every = range(len(names))
+    x = df.select(*by, *(wanted[k][0].cast("double").alias(f"_q{i}") for i, k in enumerate(names)))
+    keys, margin = [x.schema[k] for k in by], 1e-3
+    while True:
+        ends = [F.array(*(F.lit(min(1.0, max(0.0, wanted[k][1] + m))) for m in (-margin, margin))) for k in names]
+        got = x.groupBy(*by).agg(*(F.count(f"_q{i}").alias(f"_n{i}") for i in every), *(F.percentile_approx(f"_q{i}", ends[i], F.lit(10_000)).alias(f"_b{i}") for i in every))
+        # small groups, and all where no bracket is narrower, are taken whole
+        bounded = lambda i: F.when((F.col(f"_n{i}") > SMALL_GROUP) & F.lit(margin < 1), F.col(f"_b{i}"))  # noqa: B023, E731
+        got = got.select(*by, *(F.col(f"_n{i}") for i in every), *(bounded(i).alias(f"_b{i}") for i in every))
+        groups = x.sparkSession.createDataFrame(got.collect(), got.schema)
+        y = null_safe_join(x, F.broadcast(groups), by)
+        under = {i: F.col(f"_q{i}") < F.col(f"_b{i}")[0] for i in every}
+        inside = {i: F.col(f"_b{i}").isNull() | F.col(f"_q{i}").between(F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]) for i in every}
+        below = y.groupBy(*by).agg(*(F.count_if(under[i]).alias(f"_l{i}") for i in every))
+        held = F.array_compact(F.array(*(F.when(inside[i] & F.col(f"_q{i}").isNotNull(), F.struct(F.lit(i).alias("i"), F.col(f"_q{i}").alias("q"))) for i in every)))
+        values = y.select(*by, F.explode(held).alias("_x")).groupBy(*by, F.col("_x.i").alias("_i"), F.col("_x.q").alias("_q")).agg(F.count("*").alias("_k"))
+        upto = F.sum("_k").over(Window.partitionBy(*by, "_i").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0))
+        facts = null_safe_join(groups.select(*by, *(f"_n{i}" for i in every)), below, by)
+        ranked = null_safe_join(values.withColumn("_upto", upto), F.broadcast(facts), by)
+        picked = []
+        for i, k in enumerate(names):
+            mine, rank = F.col("_i") == i, F.lit(float(wanted[k][1])) * (F.col(f"_n{i}") - 1)
+            last = F.col(f"_l{i}") + F.col("_upto")
+            for name, place in (("low", F.floor(rank)), ("high", F.least(F.floor(rank) + 1, F.col(f"_n{i}") - 1))):
+                picked.append(F.min(F.when(mine & (last > place) & (F.col(f"_l{i}") <= F.floor(rank)), F.col("_q"))).alias(f"_{name}{i}"))
+        picked = ranked.groupBy(*by).agg(*picked)
+        rows = null_safe_join(groups, picked, by, "left").collect() if by else groups.crossJoin(picked).collect()
+        if all(r[f"_n{i}"] == 0 or (r[f"_low{i}"] is not None and r[f"_high{i}"] is not None) for r in rows for i in every):
+            break
+        if margin >= 1:
+            raise RuntimeError("quantiles of whole groups were not found")
+        margin *= 10
+
+    def between(r, i):
+        if not r[f"_n{i}"]:
+            return None
+        a, b, rank = r[f"_low{i}"], r[f"_high{i}"], wanted[names[i]][1] * (r[f"_n{i}"] - 1)
+        return a if a == b else a + (rank - int(rank)) * (b - a)
+
+    schema = StructType([*keys, *(StructField(k, DoubleType()) for k in names)])
+    return x.sparkSession.createDataFrame([(*(r[k] for k in by), *(between(r, i) for i in every)) for r in rows], schema)
+
+
+def group_metrics(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataFrame:
+    """error_metrics() of few large groups, with exact quantiles in bounded memory. Pairs
+    are written to the shared folder once and read in several passes."""
+    both = F.col(pred).isNotNull() & F.col(ref).isNotNull()
+    d = graph.cut(df.select(*by, F.when(both, F.col(pred)).alias("_p"), F.when(both, F.col(ref)).alias("_r"))).withColumn("_d", F.col("_p") - F.col("_r"))
+    n, square = F.count("_d"), F.sum(F.col("_d") * F.col("_d"))
+    spread = F.var_pop("_r") * n
+    first = d.groupBy(*by).agg(
+        n.alias("n"),
+        (F.count("*") - n).alias("excluded_nodata"),
+        F.avg("_d").alias("bias"),
+        F.avg(F.abs("_d")).alias("mae"),
+        F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rmse"),
+        F.when(n > 1, correlation("_p", "_r")).alias("pearson_r"),
+        F.when(n > 1, 1 - F.try_divide(square, F.when(spread > 0, spread))).alias("r2"),
+    )
+    q = group_quantiles(d, by, {"median_error": (F.col("_d"), 0.5), "p95_abs_error": (F.abs("_d"), 0.95), "le90": (F.abs("_d"), 0.9)})
+    off = null_safe_join(d, F.broadcast(q.select(*by, "median_error")), by)
+    spreads = group_quantiles(off, by, {"nmad": (F.abs(F.col("_d") - F.col("median_error")), 0.5)})
+    out = null_safe_join(null_safe_join(first, q, by), spreads.withColumn("nmad", F.col("nmad") * MAD_SCALE), by)
+    return out.select(*by, "n", "excluded_nodata", "bias", "mae", "rmse", "median_error", "nmad", "p95_abs_error", "le90", "pearson_r", "r2")
+
+
 def affine_fit(df: DataFrame, x: str, y: str, by: list[str] | None = None, min_pixels: int = 2) -> DataFrame:
     """Least-squares y ~ a * x + b per group: a, b, fit_n; (1, 0) below min_pixels valid
     pairs or without variation in x."""

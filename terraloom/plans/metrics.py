@@ -70,7 +70,7 @@ def ag3_empty(spark, sf_dir):
 
 @query("ag39_price_agreement", metrics_sql(S, "s", "p", "q", "l_returnflag"))
 def ag39(spark, sf_dir):
-    return shown(E.error_metrics(pairs(spark, sf_dir), "p", "q", ["l_returnflag"]), "l_returnflag")
+    return shown(E.group_metrics(pairs(spark, sf_dir), "p", "q", ["l_returnflag"]), "l_returnflag")
 
 
 _FIT = f"""WITH {S}, f AS (SELECT l_returnflag AS k, regr_slope(q, p) AS a, regr_intercept(q, p) AS b FROM s GROUP BY 1),

@@ -116,6 +116,21 @@ def test_exact_quantiles_of_any_table(spark, monkeypatch):
     assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in two)
 
 
+def test_group_metrics_in_bounded_memory(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = [(g, float(a), float(b)) for g, n in (("a", 6000), ("b", 41), (None, 300), ("one", 1)) for a, b in rng.normal(size=(n, 2))]
+    data += [("ties", float(k % 3), 0.0) for k in range(600)] + [("none", None, 1.0), ("a", None, 1.0)]
+    df = spark.createDataFrame(data, "g string, p double, r double").repartition(3)
+    want = {r["g"]: r.asDict() for r in errors.error_metrics(df, "p", "r", ["g"]).collect()}
+    # no state that grows with a group
+    monkeypatch.setattr(F, "percentile", None)
+    monkeypatch.setattr(errors, "SMALL_GROUP", 1000)
+    got = {r["g"]: r.asDict() for r in errors.group_metrics(df, "p", "r", ["g"]).collect()}
+    assert got.keys() == want.keys()
+    for g, m in want.items():
+        assert got[g] == {k: v if v is None or isinstance(v, str) else pytest.approx(v, abs=1e-12) for k, v in m.items()}, g
+
+
 def test_lowpass_far_from_zero_and_over_gaps(spark):
     a = 1e4 + np.random.default_rng(5).normal(size=(40, 70))
     df = spark.createDataFrame([(r, c, float(a[r, c])) for r in range(40) for c in range(70)], "row long, col long, v double")
