@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraloom import catalog
-from terraloom.plans.base import grid
+from terraloom.plans.base import grid, pairs
 
 SF = "/root/testdata/sf0.1"
 
@@ -60,3 +60,11 @@ def test_sun_is_found_once_a_place(spark, tmp_path):
     want = [k for k in range(1, 57_601) if abs(k * 53 % 160 - 80 + 0.375) < 55]
     assert sorted(got) == want and all(got[k] == got[(k - 1) % 1440 + 1] for k in want)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("ASIN") <= 2
+
+
+def test_histogram_limits_without_a_group_in_memory(spark, monkeypatch):
+    small = "/root/testdata/sf0.001"
+    e = [abs(r["p"] - r["q"]) for r in pairs(spark, small).collect()]
+    monkeypatch.setattr(F, "percentile", None)
+    got = catalog.queries()["sk9_fit_plot_histogram"](spark, small).collect()
+    assert sum(r["n"] for r in got) == sum(x <= np.quantile(e, 0.99) for x in e) and all(0 <= r["bin"] < 60 for r in got)
